@@ -81,20 +81,22 @@ def top_n(archive: DataFrame, n: int = 1, metric: str = "accuracy", task: str |
 def feature_usage(code: DataFrame, features: DataFrame, agent: str = "agent_id", text: str = "code") -> DataFrame:
     """Known features found in the lines of an agent's code that touch its data.
 
-    ``features``: (agent, feature). Lines that drop columns do not count. Agents with
-    known features but no use keep a row with an empty list.
+    ``features``: (agent, feature), as many rows per agent as its model has inputs. Lines
+    that drop columns do not count. Lines and features are matched inside one row, so no
+    pairs are emitted; agents without known features get an empty list.
     """
-    lines = code.select(agent, F.explode(F.split(text, "\n")).alias("line")).filter(
-        (F.contains("line", F.lit("X[")) | F.contains("line", F.lit("X.")))
-        & ~(F.contains("line", F.lit("drop")) & F.contains("line", F.lit("columns")))
+    known = features.groupBy(agent).agg(F.collect_set("feature").alias("__known"))
+    lines = F.filter(
+        F.split(text, "\n"),
+        lambda s: (F.contains(s, F.lit("X[")) | F.contains(s, F.lit("X.")))
+        & ~(F.contains(s, F.lit("drop")) & F.contains(s, F.lit("columns"))),
     )
-    used = join_on(lines, features.select(agent, "feature").distinct(), [agent]).filter(
-        F.contains("line", F.col("feature"))
-    ).select(agent, "feature").distinct()
-    per_agent = used.groupBy(agent).agg(F.array_sort(F.collect_list("feature")).alias("features_used"))
-    every = join_on(code.select(agent).distinct(), per_agent, [agent], "left")
-    listed = F.coalesce("features_used", F.array().cast("array<string>"))
-    return every.select(agent, listed.alias("features_used"), F.size(listed).alias("num_features_used"))
+    rows = join_on(code.select(agent, lines.alias("__lines")), known, [agent], "left")
+    used = F.array_sort(
+        F.filter("__known", lambda f: F.exists("__lines", lambda s: F.contains(s, f)))
+    )
+    listed = F.coalesce(used, F.array().cast("array<string>"))
+    return rows.select(agent, listed.alias("features_used"), F.size(listed).alias("num_features_used"))
 
 
 def rarity_scores(archive: DataFrame, usage: DataFrame, task: str = "task_id", agent: str = "agent_id") -> DataFrame:

@@ -274,8 +274,8 @@ def fit_preprocess(
 ) -> list[Step]:
     """Fill, scale and encode parameters, fitted on ``df`` only.
 
-    Scaling after a fill needs the moments of the filled column; they follow from the
-    counts and moments of the known values, so both come out of one aggregation.
+    One aggregation per kind of parameter (fill values, moments, levels), each over all
+    columns at once; nothing but these parameters reaches the driver.
     """
     steps: list[Step] = []
     if numeric:
