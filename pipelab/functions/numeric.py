@@ -55,13 +55,27 @@ def numeric_sort_key(df: DataFrame, name: str) -> Column:
     return F.coalesce(key, F.lit(float("-inf")))
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
-    """Null-safe join on equally named keys, kept once. ``small``: size was checked."""
-    if not keys:
-        raise ValueError("join_on needs at least one key")
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """The frame as a broadcast table when it has at most ``max_rows`` rows.
+
+    One row more than the bound is asked for, so the check itself is bounded; a larger
+    frame comes back unchanged and is joined by shuffle.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Join on equally named keys, kept once; with ``null_safe`` null keys match."""
+    if not null_safe:
+        return left.join(right, keys, how)
     on = F.lit(True)
     for k in keys:
         right = right.withColumnRenamed(k, f"__r_{k}")
         on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`"))
-    side = F.broadcast(right) if small else right
-    return left.join(side, on, how).drop(*[f"__r_{k}" for k in keys])
+    return left.join(right, on, how).drop(*[f"__r_{k}" for k in keys])

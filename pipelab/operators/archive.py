@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelab.functions.numeric import hash_int, hash_key, hash_unit, join_on
+from pipelab.functions.numeric import hash_int, hash_key, hash_unit, join_on, small_side
 from pipelab.operators.ordering import HOT_ROWS, exact_quantiles, preceding, ranked
 from pipelab.session import cut_lineage
 
@@ -31,7 +31,7 @@ def admit(candidates: DataFrame, archive: DataFrame, score: str, task: str = "ta
     medians = exact_quantiles(scores, ["__s"], [0.5], [task]).select(task, F.col("value").alias("__median"))
     best = scores.groupBy(task).agg(F.max("__s").alias("__best"))
     bars = join_on(medians, best, [task])
-    judged = join_on(candidates, bars, [task], "left")
+    judged = join_on(candidates, small_side(bars), [task], "left")
     good = (F.col(score) >= F.col("__median")) | (F.col(score) >= F.col("__best"))
     return judged.filter(F.col("__best").isNull() | good).drop("__median", "__best")
 

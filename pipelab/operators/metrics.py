@@ -93,7 +93,7 @@ def _auc_parts(counts: DataFrame, keys: list[str], pos: Column, splits: list[flo
     placed = preceding(per_score, keys, ["score"], {"pos_below": ("sum", F.col("pos"))}, splits=splits)
     totals = per_score.groupBy(*keys).agg(F.sum("pos").alias("pos_all"))
     above = 2 * (F.col("pos_all") - F.col("pos_below")) - F.col("pos")
-    return join_on(placed, totals, keys).select(*keys, "score", "pos_all", above.alias("twice_above"))
+    return join_on(placed, totals, keys, null_safe=True).select(*keys, "score", "pos_all", above.alias("twice_above"))
 
 
 def _binary_auc(counts: DataFrame, groups: list[str], positive, splits: list[float] | None) -> DataFrame:
@@ -139,7 +139,7 @@ def _class_pair_auc(df: DataFrame, groups: list[str], y_true: str, cls: str, sco
     keys = [*groups, "cls"]
     own = F.when(F.col("y_true") == F.col("cls"), F.col("n")).otherwise(0)
     above = _auc_parts(counts, keys, own, splits)
-    negatives = join_on(counts, above, [*keys, "score"]).filter("y_true <> cls")
+    negatives = join_on(counts, above, [*keys, "score"], null_safe=True).filter("y_true <> cls")
     return negatives.groupBy(*keys, F.col("y_true").alias("other")).agg(
         F.max("pos_all").alias("pos"),
         F.sum("n").alias("neg"),

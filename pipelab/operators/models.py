@@ -163,8 +163,8 @@ def tune(
     return trials[best], table
 
 
-def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
-    """(feature, importance): tree importances, or mean absolute coefficients over classes."""
+def importance_values(trained: Trained) -> dict[str, float]:
+    """Tree importances, or mean absolute coefficients over classes, by feature."""
     model = trained.model.stages[-1]
     if hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
@@ -172,7 +172,12 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
         values = abs(model.coefficientMatrix.toArray()).mean(axis=0)
     else:
         raise ValueError(f"{trained.kind} has no feature importance")
-    rows = [(f, float(v)) for f, v in zip(trained.features, values)]
+    return {f: float(v) for f, v in zip(trained.features, values)}
+
+
+def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
+    """(feature, importance), strongest first."""
+    rows = list(importance_values(trained).items())
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelab.functions.numeric import join_on, numeric_sort_key
+from pipelab.functions.numeric import SMALL_ROWS, join_on, numeric_sort_key
 
 HOT_ROWS = 1_000_000
 MAX_BUCKETS = 4096
@@ -45,7 +45,10 @@ def range_splits(df: DataFrame, column: str, buckets: int) -> list[float]:
 
 
 def _mark_hot(df: DataFrame, groups: list[str], lead: str, hot_rows: int):
-    """Rows flagged by hot group, plus split points for them; None when no group is hot."""
+    """Rows flagged by hot group, split points for them and a bound on (group, range) pairs.
+
+    None when no group is hot.
+    """
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
     total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
     if not total or largest <= hot_rows:
@@ -57,12 +60,12 @@ def _mark_hot(df: DataFrame, groups: list[str], lead: str, hot_rows: int):
         return None
     if groups:
         local = df.sparkSession.createDataFrame(rows, hot.schema).select(*groups, F.lit(True).alias("__hot"))
-        marked = join_on(df, local, groups, "left", small=True).withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+        marked = join_on(df, F.broadcast(local), groups, "left", null_safe=True).withColumn("__hot", F.coalesce("__hot", F.lit(False)))
     else:
         marked = df.withColumn("__hot", F.lit(True))
     hot_total = sum(r["n"] for r in rows)
     splits = range_splits(marked.filter("__hot"), lead, -(-2 * hot_total // hot_rows))
-    return marked, splits
+    return marked, splits, len(rows) * (len(splits) + 1)
 
 
 def _aggregate(kind: str, column: Column) -> Column:
@@ -95,11 +98,11 @@ def preceding(
                 value = _aggregate(kind, column).over(w)
                 out = out.withColumn(name, value if kind == "max" else F.coalesce(value, F.lit(0)))
             return out
-        keyed, splits = marked
+        keyed, splits, pairs = marked
         keyed = with_bucket(keyed, order[0], splits, _BUCKET)
         keyed = keyed.withColumn(_BUCKET, F.when(F.col("__hot"), F.col(_BUCKET)).otherwise(F.lit(-1.0))).drop("__hot")
     else:
-        keyed = with_bucket(df, order[0], splits, _BUCKET)
+        keyed, pairs = with_bucket(df, order[0], splits, _BUCKET), None
 
     totals = keyed.filter(F.col(_BUCKET) >= 0).groupBy(*groups, _BUCKET).agg(
         *[_aggregate(kind, column).alias(f"__t_{name}") for name, (kind, column) in aggs.items()]
@@ -113,7 +116,9 @@ def preceding(
             for name, (kind, _) in aggs.items()
         ],
     )
-    joined = join_on(keyed, starts, [*groups, _BUCKET], "left")
+    if pairs is not None and pairs <= SMALL_ROWS:
+        starts = F.broadcast(starts)
+    joined = join_on(keyed, starts, [*groups, _BUCKET], "left", null_safe=True)
     inside = Window.partitionBy(*groups, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for name, (kind, column) in aggs.items():
@@ -169,7 +174,7 @@ def exact_quantiles(
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     placed = preceding(counts, keys, ["value"], {"below": ("sum", F.col("n"))}, splits=splits)
     sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    sized = join_on(placed, sizes, keys)
+    sized = join_on(placed, sizes, keys, null_safe=True)
     finds = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("total") - 1)

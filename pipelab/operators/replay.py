@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pipelab.functions.numeric import join_on
+from pipelab.functions.numeric import join_on, small_side
 from pipelab.session import cut_lineage
 
 FIRST_CHUNK = 10_000
@@ -130,7 +130,7 @@ def replay_archive(
             floors = state.groupBy("task_id").agg(
                 F.element_at(ordered, ((F.size(ordered) + 1) / 2).cast("int")).alias("__floor")
             )
-            judged = join_on(chunk, floors, ["task_id"], "left")
+            judged = join_on(chunk, small_side(floors), ["task_id"], "left")
             hopeless = F.col("__floor").isNotNull() & (F.col("score").isNull() | (F.col("score") < F.col("__floor")))
             sure = judged.filter(hopeless).select("task_id", "run_id", F.col("place").alias("seq"), F.lit(False).alias("accepted"))
             chunk = judged.filter(~hopeless).drop("__floor")

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelab.functions.numeric import hash_int, hash_key, join_on
+from pipelab.functions.numeric import hash_int, hash_key, join_on, small_side
 from pipelab.operators.ordering import HOT_ROWS, range_splits, with_bucket
 
 MAX_LOCAL_STRATA = 10_000
@@ -28,13 +28,13 @@ def _cut_rows(df: DataFrame, strata: list[str], bucket: str, order: list[str], t
     before = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     if strata:
-        aimed = join_on(placed, targets, strata)
+        aimed = join_on(placed, targets, strata, null_safe=True)
     else:
         aimed = placed.withColumn("cut_rank", F.explode(F.array(*[F.lit(t) for t in targets]).cast("array<bigint>")))
     borders = aimed.filter("cut_rank > __below AND cut_rank <= __below + __n").select(
         *strata, bucket, "cut_rank", (F.col("cut_rank") - F.col("__below")).alias("__within")
     )
-    near = join_on(df.select(*strata, bucket, *order), borders, [*strata, bucket])
+    near = join_on(df.select(*strata, bucket, *order), small_side(borders), [*strata, bucket], null_safe=True)
     w = Window.partitionBy(*strata, bucket, "cut_rank").orderBy(*order)
     return (
         near.withColumn("__rn", F.row_number().over(w))
@@ -77,18 +77,14 @@ def _label_by_cuts(
 
     times = targets.groupBy(*strata, "cut_rank").agg(F.count(F.lit(1)).cast("int").alias("times"))
     found = join_on(
-        _cut_rows(df, strata, bucket, order, times.select(*strata, "cut_rank")), times, [*strata, "cut_rank"]
+        _cut_rows(df, strata, bucket, order, times.select(*strata, "cut_rank")), times, [*strata, "cut_rank"], null_safe=True
     )
     cuts = found.groupBy(*strata).agg(F.collect_list(F.struct(at, "times")).alias("__cuts"))
     empty = times.groupBy(*strata).agg(F.sum(F.when(F.col("cut_rank") == 0, F.col("times")).otherwise(0)).alias("__empty"))
-    lookup = join_on(empty, cuts, strata, "left")
-    rows = lookup.limit(MAX_LOCAL_STRATA + 1).collect()
-    local = len(rows) <= MAX_LOCAL_STRATA  # a few cut points per stratum: fit parameters
-    if local:
-        lookup = df.sparkSession.createDataFrame(rows, lookup.schema)
+    lookup = small_side(join_on(empty, cuts, strata, "left", null_safe=True), MAX_LOCAL_STRATA)
     passed = F.coalesce(_blocks_passed(order, F.col("__cuts")), F.lit(0))
     return (
-        join_on(df, lookup, strata, "left", small=local)
+        join_on(df, lookup, strata, "left", null_safe=True)
         .withColumn(out, (passed + F.coalesce("__empty", F.lit(0))).cast("int"))
         .drop("__empty", "__cuts")
     )

@@ -6,7 +6,7 @@ import random
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipelab.operators import metrics as me
@@ -55,48 +55,68 @@ def _train(train: DataFrame, spec: PipelineSpec, features: list[str], target: st
     params = dict(spec.params)
     if spec.tune_trials:
         # tuning has its own hold-out inside the training rows
-        inner = stratified_split(train, target, id_cols, 0.2, seed + 1, "__tune").persist()
+        inner = stratified_split(train, target, id_cols, 0.2, seed + 1, "__tune")
         best, _ = mo.tune(inner.filter("NOT __tune"), inner.filter("__tune"), features, target, spec.model, None, spec.tune_trials, seed)
-        inner.unpersist()
         params.update(best)
     return mo.fit(train, features, target, spec.model, params, seed)
 
 
+def _parts(marked: DataFrame, held: Column, drop: str) -> tuple[DataFrame, DataFrame]:
+    return marked.filter(~held).drop(drop), marked.filter(held).drop(drop)
+
+
+def split_rows(df: DataFrame, target: str, id_cols: list[str], ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """Rows with a known target, marked for validation. Kept in memory or on executor
+    disks while models are trained on them; lost parts are computed again."""
+    return stratified_split(with_int_target(df, target), target, id_cols, ratio, seed).persist()
+
+
+def _measure(
+    marked: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], seed: int, metric: str, fit_scope: str, classes: int
+) -> Evaluation:
+    train, valid = _parts(marked, F.col("is_validation"), "is_validation")
+    ready = prepare(train if fit_scope == "train" else marked.drop("is_validation"), spec, target, id_cols)
+    trained = _train(ready.transform(train), spec, ready.features, target, id_cols, seed)
+    table = prediction_table(mo.score(trained, ready.transform(valid), [*id_cols, target]), target, classes, id_cols)
+    report = me.metrics_report(table, "binary" if classes <= 2 else "multiclass")
+    values = {r["metric"]: r["value"] for r in report.collect() if r["value"] is not None}
+    return Evaluation(spec, values.get(metric, 0.0), values, None, trained, table, mo.importance_values(trained))
+
+
 def evaluate_spec(
     df: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], ratio: float = 0.2, seed: int = 42,
-    metric: str = "accuracy", fit_scope: str = "train",
+    metric: str = "accuracy", fit_scope: str = "train", marked: DataFrame | None = None, classes: int | None = None,
 ) -> Evaluation:
     """Split, prepare, (tune,) train, score, measure. ``fit_scope='all'`` also fits the
-    preparation on the validation rows, for comparison only."""
+    preparation on the validation rows, for comparison only. ``marked``: a split made
+    before, shared by many specs."""
     start = time.time()
+    own = None
     try:
-        rows = with_int_target(df, target)
-        marked = stratified_split(rows, target, id_cols, ratio, seed)
-        train, valid = marked.filter("NOT is_validation").drop("is_validation"), marked.filter("is_validation").drop("is_validation")
-        ready = prepare(train if fit_scope == "train" else rows, spec, target, id_cols)
-        fit_rows = ready.transform(train)
-        trained = _train(fit_rows, spec, ready.features, target, id_cols, seed)
-        classes = class_count(rows, target)
-        scored = mo.score(trained, ready.transform(valid), [*id_cols, target])
-        table = prediction_table(scored, target, classes, id_cols)
-        report = me.metrics_report(table, "binary" if classes <= 2 else "multiclass")
-        values = {r["metric"]: r["value"] for r in report.collect() if r["value"] is not None}
-        weights = mo.feature_importance(df.sparkSession, trained).collect()
-        return Evaluation(
-            spec, values.get(metric, 0.0), values, None, trained, table,
-            {r["feature"]: r["importance"] for r in weights}, time.time() - start,
-        )
+        if marked is None:
+            own = marked = split_rows(df, target, id_cols, ratio, seed)
+        known = class_count(marked, target) if classes is None else classes
+        done = _measure(marked, spec, target, id_cols, seed, metric, fit_scope, known)
     except Exception as e:  # a spec that fails must not end the run
-        return Evaluation(spec, 0.0, {metric: 0.0}, f"{type(e).__name__}: {e}"[:2000], seconds=time.time() - start)
+        done = Evaluation(spec, 0.0, {metric: 0.0}, f"{type(e).__name__}: {e}"[:2000])
+    finally:
+        if own is not None:
+            own.unpersist()
+    done.seconds = time.time() - start
+    return done
+
+
+def fold_rows(df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """Rows with a known target and their fold, kept while models are trained on them."""
+    return stratified_kfold(with_int_target(df, target), target, id_cols, k, seed).persist()
 
 
-def fold_predictions(df: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+def fold_predictions(folded: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int = 5, seed: int = 42, classes: int | None = None) -> DataFrame:
     """Every row predicted once, by the model that did not see its fold."""
-    folded = stratified_kfold(with_int_target(df, target), target, id_cols, k, seed)
-    classes = class_count(folded, target)
+    classes = class_count(folded, target) if classes is None else classes
     out = None
     for i in range(k):
-        train, valid = folded.filter(F.col("fold") != i).drop("fold"), folded.filter(F.col("fold") == i).drop("fold")
+        train, valid = _parts(folded, F.col("fold") == i, "fold")
         ready = prepare(train, spec, target, id_cols)
         trained = _train(ready.transform(train), spec, ready.features, target, id_cols, seed)
         scored = mo.score(trained, ready.transform(valid), [*id_cols, target]).withColumn("fold", F.lit(i))
@@ -105,27 +125,42 @@ def fold_predictions(df: DataFrame, spec: PipelineSpec, target: str, id_cols: li
     return out
 
 
+def _cross_validated(folded: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int, seed: int, classes: int) -> list:
+    table = fold_predictions(folded, spec, target, id_cols, k, seed, classes)
+    long = me.metrics_report(table, "multiclass" if classes > 2 else "binary", ["fold"])
+    return me.cv_summary(long.withColumnRenamed("value", "score")).collect()
+
+
+CV_SCHEMA = "metric string, mean double, std double, scores array<double>"
+
+
 def cross_validate(df: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """(metric, mean, std, scores): one fold assignment for all metrics, all folds
     measured in one aggregation."""
-    table = fold_predictions(df, spec, target, id_cols, k, seed)
-    kind = "multiclass" if "cls" in table.columns else "binary"
-    long = me.metrics_report(table, kind, ["fold"])
-    return me.cv_summary(long.withColumnRenamed("value", "score"))
+    folded = fold_rows(df, target, id_cols, k, seed)
+    try:
+        rows = _cross_validated(folded, spec, target, id_cols, k, seed, class_count(folded, target))
+    finally:
+        folded.unpersist()
+    return df.sparkSession.createDataFrame(rows, CV_SCHEMA)
 
 
 def compare_specs(df: DataFrame, specs: list[PipelineSpec], target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """(name, status, metric, mean, std, error) for every spec, failed ones included."""
-    spark = df.sparkSession
-    schema = "name string, status string, metric string, mean double, std double, error string"
+    folded = fold_rows(df, target, id_cols, k, seed)
     rows = []
-    for spec in specs:
-        try:
-            for r in cross_validate(df, spec, target, id_cols, k, seed).collect():
-                rows.append((spec.name, "completed", r["metric"], r["mean"], r["std"], None))
-        except Exception as e:
-            rows.append((spec.name, "failed", None, None, None, f"{type(e).__name__}: {e}"[:2000]))
-    return spark.createDataFrame(rows, schema)
+    try:
+        classes = class_count(folded, target)
+        for spec in specs:
+            try:
+                for r in _cross_validated(folded, spec, target, id_cols, k, seed, classes):
+                    rows.append((spec.name, "completed", r["metric"], r["mean"], r["std"], None))
+            except Exception as e:  # a spec that fails must not end the run
+                rows.append((spec.name, "failed", None, None, None, f"{type(e).__name__}: {e}"[:2000]))
+    finally:
+        folded.unpersist()
+    schema = "name string, status string, metric string, mean double, std double, error string"
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 @dataclass
@@ -150,11 +185,13 @@ def search(
     results: dict[int, Evaluation] = {}
     rows = []
     best_id = None
+    marked = split_rows(df, target, id_cols, seed=seed)  # one split for all specs
+    classes = class_count(marked, target)
     for generation in range(generations):
         for agent_id, parent_id, spec in members:
             if agent_id in results:
                 continue
-            done = evaluate_spec(df, spec, target, id_cols, seed=seed, metric=metric)
+            done = evaluate_spec(df, spec, target, id_cols, seed=seed, metric=metric, marked=marked, classes=classes)
             results[agent_id] = done
             rows.append((task, agent_id, len(rows) + 1, parent_id, generation, float(done.score),
                          {k: float(v) for k, v in done.metrics.items()}, spec.to_json(), done.error))
@@ -167,6 +204,7 @@ def search(
             following.append((next_id, parent_id, mutate(parent, rng, f"agent_{next_id}", numeric)))
             next_id += 1
         members = following
+    marked.unpersist()
     log = df.sparkSession.createDataFrame(
         rows,
         "task_id string, agent_id bigint, seq bigint, parent_id bigint, generation int, score double, "
