@@ -89,6 +89,7 @@ def preceding(
     With ``splits`` every group is cut at these points and nothing runs up front;
     otherwise only groups above ``hot_rows`` are cut, at points taken from the data.
     """
+    marked = None
     if splits is None:
         marked = _mark_hot(df, groups, order[0], hot_rows)
         if marked is None:
@@ -100,11 +101,12 @@ def preceding(
             return out
         keyed, splits, pairs = marked
         keyed = with_bucket(keyed, order[0], splits, _BUCKET)
-        keyed = keyed.withColumn(_BUCKET, F.when(F.col("__hot"), F.col(_BUCKET)).otherwise(F.lit(-1.0))).drop("__hot")
+        keyed = keyed.withColumn(_BUCKET, F.when(F.col("__hot"), F.col(_BUCKET)).otherwise(F.lit(-1.0)))
     else:
         keyed, pairs = with_bucket(df, order[0], splits, _BUCKET), None
 
-    totals = keyed.filter(F.col(_BUCKET) >= 0).groupBy(*groups, _BUCKET).agg(
+    cut = keyed if marked is None else keyed.filter("__hot")
+    totals = cut.groupBy(*groups, _BUCKET).agg(
         *[_aggregate(kind, column).alias(f"__t_{name}") for name, (kind, column) in aggs.items()]
     )
     over_buckets = Window.partitionBy(*groups).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -127,7 +129,7 @@ def preceding(
             out = out.withColumn(name, F.greatest(local, start))
         else:
             out = out.withColumn(name, F.coalesce(local, F.lit(0)) + F.coalesce(start, F.lit(0)))
-    return out.drop(_BUCKET, *[f"__s_{name}" for name in aggs])
+    return out.drop("__hot", _BUCKET, *[f"__s_{name}" for name in aggs])
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -141,13 +143,14 @@ def exact_quantiles(
     columns: list[str],
     probs: list[float],
     groups: list[str] | None = None,
-    distinct_limit: int = 100_000,
+    distinct_limit: int = 1_000_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (groups..., column, prob, value).
 
-    ``percentile`` holds every distinct value of a group in one buffer, so it is used
-    only when a distinct count shows that this is small. Beyond that, values are
-    counted first and the two order statistics are found by a bucketed prefix count.
+    Equal values are counted first, map-side, so what follows sees distinct values only.
+    ``percentile`` holds the distinct values of a group in one buffer; it is used when a
+    distinct count shows that this is small. Beyond that the two order statistics are
+    found by a prefix count over value ranges.
     """
     groups = list(groups or [])
     values = df.select(*groups, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
@@ -157,23 +160,19 @@ def exact_quantiles(
         .agg(F.max(F.greatest(*[F.col(f"`{c}`") for c in columns], F.lit(0))))
         .first()[0]
     )
+    long = values.unpivot(groups, columns, "column", "value").filter(F.col("value").isNotNull())
+    keys = [*groups, "column"]
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     if (widest or 0) <= distinct_limit:
-        prob_array = F.array(*[F.lit(float(p)) for p in probs])
-        wide = values.groupBy(*groups).agg(*[F.percentile(f"`{c}`", prob_array).alias(c) for c in columns])
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("v")) for c in columns])
-        per_column = wide.select(*groups, F.explode(pairs).alias("p")).select(*groups, "p.column", "p.v")
-        return (
-            per_column.select(*groups, "column", F.posexplode("v").alias("i", "value"))
-            .withColumn("prob", F.element_at(prob_array, F.col("i") + 1))
-            .select(*groups, "column", "prob", "value")
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        found = counts.groupBy(*keys).agg(F.percentile("value", wanted, F.col("n")).alias("v"))
+        return found.select(*keys, F.posexplode("v").alias("i", "value")).select(
+            *keys, F.element_at(wanted, F.col("i") + 1).alias("prob"), "value"
         )
 
-    long = values.unpivot(groups, columns, "column", "value").filter(F.col("value").isNotNull())
-    keys = [*groups, "column"]
     splits = range_splits(long, "value", MAX_BUCKETS)
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     placed = preceding(counts, keys, ["value"], {"below": ("sum", F.col("n"))}, splits=splits)
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     sized = join_on(placed, sizes, keys, null_safe=True)
     finds = []
     for i, p in enumerate(probs):
@@ -181,7 +180,7 @@ def exact_quantiles(
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
             finds.append(F.max(F.when(hit, F.col("value"))).alias(f"__{tag}{i}"))
-    found = sized.groupBy(*keys).agg(F.max("total").alias("total"), *finds)
+    ends = sized.groupBy(*keys).agg(F.max("total").alias("total"), *finds)
     cells = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("total") - 1)
@@ -189,4 +188,4 @@ def exact_quantiles(
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         value = F.when(lo == hi, lo).otherwise(lo * (1 - frac) + hi * frac)
         cells.append(F.struct(F.lit(float(p)).alias("prob"), value.alias("value")))
-    return found.select(*keys, F.explode(F.array(*cells)).alias("q")).select(*keys, "q.prob", "q.value")
+    return ends.select(*keys, F.explode(F.array(*cells)).alias("q")).select(*keys, "q.prob", "q.value")

@@ -8,81 +8,71 @@ cut), so the rows themselves are labelled in a narrow pass without any shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelab.functions.numeric import hash_int, hash_key, join_on, small_side
+from pipelab.functions.numeric import hash_key, join_on, small_side
 from pipelab.operators.ordering import HOT_ROWS, range_splits, with_bucket
 
 MAX_LOCAL_STRATA = 10_000
 _HASH_DIGITS = 4  # 65,536 hash ranges per stratum
 
 
-def _cut_rows(df: DataFrame, strata: list[str], bucket: str, order: list[str], targets: DataFrame | list[int]) -> DataFrame:
-    """The row at each target rank: (strata..., cut_rank, order...).
-
-    ``targets`` holds (strata..., cut_rank), or plain ranks when there are no strata.
-    """
+def _placed(df: DataFrame, strata: list[str], bucket: str) -> DataFrame:
+    """Rows per hash range, and rows of the stratum in the ranges before it."""
     counts = df.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*strata).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    if strata:
-        aimed = join_on(placed, targets, strata, null_safe=True)
-    else:
-        aimed = placed.withColumn("cut_rank", F.explode(F.array(*[F.lit(t) for t in targets]).cast("array<bigint>")))
-    borders = aimed.filter("cut_rank > __below AND cut_rank <= __below + __n").select(
-        *strata, bucket, "cut_rank", (F.col("cut_rank") - F.col("__below")).alias("__within")
-    )
-    near = join_on(df.select(*strata, bucket, *order), small_side(borders), [*strata, bucket], null_safe=True)
+    return counts.withColumn("__below", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+
+
+def _borders(aimed: DataFrame, strata: list[str], bucket: str) -> DataFrame:
+    """Where each cut falls: (strata..., range, cut_rank, within, times).
+
+    A rank of 0 comes with the first range and ``within`` 0.
+    """
+    hit = "cut_rank > __below AND cut_rank <= __below + __n OR cut_rank = 0 AND __below = 0"
+    found = aimed.filter(hit).select(*strata, bucket, "cut_rank", (F.col("cut_rank") - F.col("__below")).alias("__within"))
+    # equal borders are empty blocks: looked up once, counted each time
+    return found.groupBy(*strata, bucket, "cut_rank", "__within").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
+def _cut_rows(df: DataFrame, strata: list[str], bucket: str, order: list[str], borders: DataFrame) -> DataFrame:
+    """The row at each border: (strata..., at, times)."""
+    near = join_on(df.select(*strata, bucket, *order), borders.filter("__within > 0"), [*strata, bucket], null_safe=True)
     w = Window.partitionBy(*strata, bucket, "cut_rank").orderBy(*order)
-    return (
-        near.withColumn("__rn", F.row_number().over(w))
-        .filter("__rn = __within")
-        .select(*strata, "cut_rank", *order)
-    )
+    picked = near.withColumn("__rn", F.row_number().over(w)).filter("__rn = __within")
+    return picked.select(*strata, F.struct(*order).alias("at"), "times")
 
 
-def _blocks_passed(order: list[str], cuts: Column) -> Column:
-    """How many blocks end before this row; ``cuts`` holds (row, times) structs."""
+def _blocks_passed(order: list[str], cuts: Column, borders: int) -> Column:
+    """How many blocks end before this row; ``cuts`` holds up to ``borders`` (row, times)
+    structs. One comparison per border, so the expression stays in generated code."""
     here = F.struct(*order)
-    return F.aggregate(
-        F.filter(cuts, lambda c: c["at"] < here), F.lit(0), lambda acc, c: acc + c["times"]
-    )
+    passed = F.lit(0)
+    for i in range(borders):
+        cut = F.get(cuts, F.lit(i))
+        passed = passed + F.when(cut["at"] < here, cut["times"]).otherwise(0)
+    return passed
 
 
-def _label_by_cuts(
-    df: DataFrame, strata: list[str], bucket: str, order: list[str], targets: DataFrame | list[int], out: str
+def _label_strata(
+    df: DataFrame, strata: list[str], bucket: str, order: list[str], targets: Callable[[DataFrame], DataFrame], out: str, borders: int
 ) -> DataFrame:
-    """Number the block of each row, given the rank of the last row of each block.
+    """Number the block of each row inside its stratum.
 
-    Borders may repeat (empty blocks between) or be 0 (empty blocks in front).
+    ``targets`` turns (strata..., n) into (strata..., cut_rank): the rank of the last row
+    of each of the ``borders`` inner blocks. Sizes and ranges come out of one pass.
     """
-    at = F.struct(*order).alias("at")
-    if not strata:
-        ranks = sorted(targets)
-        found = _cut_rows(df, [], bucket, order, sorted({r for r in ranks if r > 0})).select("cut_rank", at)
-        rows = found.collect()  # one row per border
-        empty = F.lit(sum(1 for r in ranks if r == 0))
-        if not rows:
-            return df.withColumn(out, empty.cast("int"))
-        cuts = F.array(*[
-            F.struct(
-                F.struct(*[F.lit(r["at"][c]).cast(df.schema[c].dataType).alias(c) for c in order]).alias("at"),
-                F.lit(ranks.count(r["cut_rank"])).alias("times"),
-            )
-            for r in rows
-        ])
-        return df.withColumn(out, (_blocks_passed(order, cuts) + empty).cast("int"))
-
-    times = targets.groupBy(*strata, "cut_rank").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    found = join_on(
-        _cut_rows(df, strata, bucket, order, times.select(*strata, "cut_rank")), times, [*strata, "cut_rank"], null_safe=True
-    )
-    cuts = found.groupBy(*strata).agg(F.collect_list(F.struct(at, "times")).alias("__cuts"))
-    empty = times.groupBy(*strata).agg(F.sum(F.when(F.col("cut_rank") == 0, F.col("times")).otherwise(0)).alias("__empty"))
+    placed = _placed(df, strata, bucket)
+    sizes = placed.groupBy(*strata).agg(F.sum("__n").alias("n"))
+    aimed = join_on(placed, targets(sizes), strata, null_safe=True)
+    found = small_side(_borders(aimed, strata, bucket))
+    cuts = _cut_rows(df, strata, bucket, order, found).groupBy(*strata).agg(F.collect_list(F.struct("at", "times")).alias("__cuts"))
+    empty = found.groupBy(*strata).agg(F.sum(F.when(F.col("__within") == 0, F.col("times")).otherwise(0)).alias("__empty"))
     lookup = small_side(join_on(empty, cuts, strata, "left", null_safe=True), MAX_LOCAL_STRATA)
-    passed = F.coalesce(_blocks_passed(order, F.col("__cuts")), F.lit(0))
+    passed = _blocks_passed(order, F.col("__cuts"), borders)
     return (
         join_on(df, lookup, strata, "left", null_safe=True)
         .withColumn(out, (passed + F.coalesce("__empty", F.lit(0))).cast("int"))
@@ -90,13 +80,27 @@ def _label_by_cuts(
     )
 
 
-def _shuffled(df: DataFrame, id_cols: list[str], seed: int) -> DataFrame:
-    keyed = df.withColumn("__key", hash_key(seed, *id_cols))
-    return keyed.withColumn("__range", hash_int(F.col("__key"), _HASH_DIGITS))
+def _label_all(df: DataFrame, bucket: str, order: list[str], ranks: list[int], out: str) -> DataFrame:
+    """Number the block of each row among all rows; cut points are literals."""
+    aimed = _placed(df, [], bucket).withColumn("cut_rank", F.explode(F.array(*[F.lit(r) for r in ranks]).cast("array<bigint>")))
+    found = F.broadcast(_borders(aimed, [], bucket))  # at most one row per rank
+    rows = _cut_rows(df, [], bucket, order, found).collect()
+    empty = F.lit(sum(1 for r in ranks if r == 0))
+    if not rows:
+        return df.withColumn(out, empty.cast("int"))
+    cuts = F.array(*[
+        F.struct(
+            F.struct(*[F.lit(r["at"][c]).cast(df.schema[c].dataType).alias(c) for c in order]).alias("at"),
+            F.lit(r["times"]).alias("times"),
+        )
+        for r in rows
+    ])
+    return df.withColumn(out, (_blocks_passed(order, cuts, len(rows)) + empty).cast("int"))
 
 
-def class_sizes(df: DataFrame, target: str) -> DataFrame:
-    return df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+def _shuffled(df: DataFrame, id_cols: list[str], seed: int) -> DataFrame:
+    keyed = df.withColumn("__key", hash_key(seed, *id_cols))
+    return keyed.withColumn("__range", F.substring("__key", 1, _HASH_DIGITS))  # hex sorts like its number
 
 
 def holdout_quota(sizes: DataFrame, target: str, ratio: float) -> DataFrame:
@@ -126,8 +130,8 @@ def stratified_split(
 ) -> DataFrame:
     """Mark ``ratio`` of every class for validation."""
     keyed = _shuffled(df, id_cols, seed)
-    quota = holdout_quota(class_sizes(df, target), target, ratio)
-    block = _label_by_cuts(keyed, [target], "__range", ["__key", *id_cols], quota, "__block")
+    quota = lambda sizes: holdout_quota(sizes, target, ratio)
+    block = _label_strata(keyed, [target], "__range", ["__key", *id_cols], quota, "__block", 1)
     return block.withColumn(out, F.col("__block") == 0).drop("__block", "__key", "__range")
 
 
@@ -137,7 +141,7 @@ def random_split(
     """Mark ``ratio`` of all rows for validation, without strata."""
     held = math.ceil(ratio * df.count())
     keyed = _shuffled(df, id_cols, seed)
-    block = _label_by_cuts(keyed, [], "__range", ["__key", *id_cols], [held], "__block")
+    block = _label_all(keyed, "__range", ["__key", *id_cols], [held], "__block")
     return block.withColumn(out, F.col("__block") == 0).drop("__block", "__key", "__range")
 
 
@@ -146,6 +150,17 @@ def _dealt(upto: Column, fold: Column, k: int) -> Column:
     return F.floor((upto - fold + (k - 1)) / k)
 
 
+def fold_quota(sizes: DataFrame, target: str, k: int) -> DataFrame:
+    """Rank of the last row of each fold but the last, per class."""
+    before = Window.partitionBy(F.lit(1)).orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    folds = spans.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 2))))
+    first, fold = F.col("first"), F.col("f")
+    dealt = folds.withColumn("size", _dealt(first + F.col("n"), fold, k) - _dealt(first, fold, k))
+    upto = Window.partitionBy(target).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.select(target, F.sum("size").over(upto).cast("bigint").alias("cut_rank"))
+
+
 def stratified_kfold(
     df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed: int = 42, out: str = "fold"
 ) -> DataFrame:
@@ -155,15 +170,9 @@ def stratified_kfold(
     """
     if k < 2:
         return df.withColumn(out, F.lit(0))
-    before = Window.partitionBy(F.lit(1)).orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
-    spans = class_sizes(df, target).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    folds = spans.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k - 2))))
-    first, fold = F.col("first"), F.col("f")
-    dealt = folds.withColumn("size", _dealt(first + F.col("n"), fold, k) - _dealt(first, fold, k))
-    upto = Window.partitionBy(target).orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
-    targets = dealt.select(target, F.sum("size").over(upto).cast("bigint").alias("cut_rank"))
     keyed = _shuffled(df, id_cols, seed)
-    return _label_by_cuts(keyed, [target], "__range", ["__key", *id_cols], targets, out).drop("__key", "__range")
+    deal = lambda sizes: fold_quota(sizes, target, k)
+    return _label_strata(keyed, [target], "__range", ["__key", *id_cols], deal, out, k - 1).drop("__key", "__range")
 
 
 def kfold(
@@ -175,4 +184,4 @@ def kfold(
     keyed = with_bucket(df, order_cols[0], splits, "__range")
     base, extra = divmod(total, k)
     borders = [base * (i + 1) + min(i + 1, extra) for i in range(k - 1)]
-    return _label_by_cuts(keyed, [], "__range", order_cols, borders, out).drop("__range")
+    return _label_all(keyed, "__range", order_cols, borders, out).drop("__range")
