@@ -233,10 +233,15 @@ def select_parent(archive: DataFrame, strategy: str = "elite", draws: int = 1, s
         )
         sums = wheel.groupBy(task).agg(F.sum("__w").alias("__all"))
         points = _drawn(sums, slots, f"{seed}:roulette", task)
-        points = points.withColumn("__at", hash_unit(F.col("__key")) * F.col("__all")).select(task, "slot", "__at")
-        hit = (F.col("__from") <= F.col("__at")) & (F.col("__at") < F.col("__from") + F.col("__w"))
-        # few draws per task: the member whose share of the wheel holds the point
-        return join_on(wheel, points, [task]).filter(hit).groupBy(task, "slot").agg(F.min_by("agent_id", order).alias("agent_id"))
+        # members and points on one line: a point belongs to the last member that starts before it
+        member = F.struct(F.col("__from").alias("at"), F.col(order).alias("o"), "agent_id")
+        starts = wheel.select(task, F.col("__from").alias("at"), F.lit(0).alias("kind"), F.col(order).cast("bigint").alias("slot"), member.alias("m"))
+        shots = points.select(
+            task, (hash_unit(F.col("__key")) * F.col("__all")).alias("at"), F.lit(1).alias("kind"), F.col("slot").cast("bigint").alias("slot"),
+            F.lit(None).cast(starts.schema["m"].dataType).alias("m"),
+        )
+        line = preceding(starts.unionByName(shots), [task], ["at", "kind", "slot"], {"hit": ("max", F.col("m"))})
+        return line.filter("kind = 1").select(task, F.col("slot").cast("int").alias("slot"), "hit.agent_id")
     raise ValueError(f"unknown strategy: {strategy}")
 
 

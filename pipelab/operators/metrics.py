@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pipelab.functions.numeric import join_on, ratio, ratio_or_zero
 from pipelab.operators.ordering import preceding
 
-# Fixed cut points, even on the log-odds scale: probabilities spread over all ranges
-# however close to 0 or 1 a model pushes them. Other scores fall back on their order.
-SCORE_SPLITS = sorted({1.0 / (1.0 + math.exp(-x / 16.0)) for x in range(-400, 401)})
+# Cut points for scores, even on the log-odds scale between 0 and 1 and on the log scale
+# beyond: scores spread over many ranges however close to 0 or 1 a model pushes them.
+_INSIDE = [1.0 / (1.0 + math.exp(-x / 16.0)) for x in range(-400, 401)]
+_BEYOND = [1.1**x for x in range(0, 200)]
+SCORE_SPLITS = sorted({s * v for v in _INSIDE + _BEYOND for s in (-1.0, 1.0)} | {0.0})
 
 
 def confusion(df: DataFrame, groups: list[str] | None = None, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

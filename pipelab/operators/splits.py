@@ -111,11 +111,12 @@ def holdout_quota(sizes: DataFrame, target: str, ratio: float) -> DataFrame:
     everything = Window.partitionBy(F.lit(1))  # one row per class
     total = F.sum("n").over(everything)
     held = F.ceil(F.lit(float(ratio)) * total).cast("bigint")
-    shares = sizes.select(target, "n", total.alias("total"), held.alias("held")).select(
+    wide = [c.cast("decimal(19,0)") for c in (F.col("n"), total, held)]  # n * held outgrows a bigint
+    shares = sizes.select(target, *[c.alias(a) for c, a in zip(wide, ("n", "total", "held"))]).select(
         target,
         F.expr("(n * held) div total").alias("base"),
         F.expr("(n * held) % total").alias("rest"),
-        "held",
+        F.col("held").cast("bigint").alias("held"),
     )
     by_rest = everything.orderBy(F.col("rest").desc(), F.col(target))
     left = F.col("held") - F.sum("base").over(everything)

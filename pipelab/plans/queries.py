@@ -994,3 +994,15 @@ def m11_save_load_model(spark, sf_dir):
     return before.join(after, "row_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if((F.col("p1") != F.col("y_pred")) | (F.col("a1") != F.col("proba"))).alias("different")
     )
+
+
+@query("m6_evaluate_large")
+def m6_evaluate_large(spark, sf_dir):
+    """Split, preparation, training, scoring and metrics on the large table."""
+    raw = views.clf_big(spark, sf_dir).drop("score", "y_pred", "constant_feature")
+    spec = PipelineSpec("large", "logistic", {"max_iter": 20})
+    done = ev.evaluate_spec(raw, spec, TARGET, IDS)
+    if done.error:
+        raise RuntimeError(done.error)
+    rows = [(spec.name, k, float(v)) for k, v in sorted(done.metrics.items())]
+    return spark.createDataFrame(rows, "name string, metric string, value double")

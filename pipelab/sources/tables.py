@@ -40,10 +40,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_predictions(df: DataFrame, path: str, agent: str = "agent_id", batch: str = "batch", fmt: str = "csv") -> None:
-    """One folder per agent and batch. Rows are clustered by folder first, with a hashed
-    spread so that a large batch is written by several tasks."""
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in (agent, batch)]), F.lit(8))
-    writer = df.repartition(agent, batch, spread).write.mode("append").partitionBy(agent, batch)
+    """One folder per agent and batch. Rows are rebalanced by folder first: adaptive
+    execution splits a large folder over several tasks and puts small ones together."""
+    writer = df.hint("rebalance", agent, batch).write.mode("append").partitionBy(agent, batch)
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -63,8 +62,20 @@ def save_archive(tables: dict[str, DataFrame], path: str, snapshot: int) -> str:
     return base
 
 
-def load_archive(spark: SparkSession, path: str, snapshot: int) -> dict[str, DataFrame]:
-    """The archive tables of a snapshot; empty ones where there is none."""
+def latest_snapshot(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest snapshot; None when there is none."""
+    if not path_exists(spark, path):
+        return None
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = [s.getPath().getName() for s in listed]
+    return max((int(n.split("=")[1]) for n in names if n.startswith("snapshot=")), default=None)
+
+
+def load_archive(spark: SparkSession, path: str, snapshot: int | None = None) -> dict[str, DataFrame]:
+    """The archive tables of a snapshot (default the newest); empty ones where there is none."""
+    if snapshot is None:
+        snapshot = latest_snapshot(spark, path)
     base = os.path.join(path, f"snapshot={snapshot}")
     found = {}
     for name, schema in ARCHIVE_TABLES.items():

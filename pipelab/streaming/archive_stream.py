@@ -25,6 +25,7 @@ def fold_batch(log: DataFrame, batch_id: int, path: str, limit: int, score: str)
     its own files and reads the same state as before.
     """
     spark = log.sparkSession
+    log = log.persist()
     earlier = batch_id > 0 and path_exists(spark, _at(path, batch_id - 1, "archive"))
     state = spark.read.parquet(_at(path, batch_id - 1, "archive")) if earlier else None
     numbered = ranked(log, ["task_id"], ["ts", "run_id"], "seq")
@@ -39,6 +40,7 @@ def fold_batch(log: DataFrame, batch_id: int, path: str, limit: int, score: str)
     decisions.write.mode("overwrite").parquet(_at(path, batch_id, "decisions"))
     counts.write.mode("overwrite").parquet(_at(path, batch_id, "seen"))
     archive.write.mode("overwrite").parquet(_at(path, batch_id, "archive"))
+    log.unpersist()
 
 
 def stream_archive(

@@ -63,3 +63,9 @@ def test_kfold_is_contiguous(rows, hot_rows):
 def test_kfold_with_fewer_rows_than_folds(spark):
     got = sp.kfold(spark.range(2), ["id"], 4).orderBy("id").collect()
     assert [r["fold"] for r in got] == [0, 1]
+
+
+def test_quota_of_very_large_classes(spark):
+    sizes = spark.createDataFrame([("a", 6 * 10**11 + 1), ("b", 4 * 10**11)], "y string, n bigint")
+    got = {r["y"]: r["cut_rank"] for r in sp.holdout_quota(sizes, "y", 0.2).collect()}
+    assert got == {"a": 120_000_000_000 + 1, "b": 80_000_000_000}

@@ -97,6 +97,17 @@ def test_json_lines_skip_bad_ones(spark):
     assert [r["id"] for r in tb.read_json_lines(spark, path, "id int").orderBy("id").collect()] == [1, 2]
 
 
+def test_latest_snapshot_is_loaded(spark):
+    path = scratch_path(spark, "snapshots")
+    empty = {n: spark.createDataFrame([], s) for n, s in tb.ARCHIVE_TABLES.items()}
+    one = {**empty, "agent_metrics": spark.createDataFrame([("t", 1, "accuracy", 0.5)], tb.ARCHIVE_TABLES["agent_metrics"])}
+    tb.save_archive(one, path, 9)
+    tb.save_archive(empty, path, 2)
+    assert tb.latest_snapshot(spark, path) == 9
+    assert tb.load_archive(spark, path)["agent_metrics"].count() == 1
+    assert tb.load_archive(spark, path, 2)["agent_metrics"].count() == 0
+
+
 def test_absent_archive_is_empty(spark):
-    got = tb.load_archive(spark, scratch_path(spark, "none"), 1)
+    got = tb.load_archive(spark, scratch_path(spark, "none"))
     assert set(got) == set(tb.ARCHIVE_TABLES) and all(df.isEmpty() for df in got.values())
