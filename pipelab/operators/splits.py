@@ -39,10 +39,13 @@ def _borders(aimed: DataFrame, strata: list[str], bucket: str) -> DataFrame:
 
 
 def _cut_rows(df: DataFrame, strata: list[str], bucket: str, order: list[str], borders: DataFrame) -> DataFrame:
-    """The row at each border: (strata..., at, times)."""
-    near = join_on(df.select(*strata, bucket, *order), borders.filter("__within > 0"), [*strata, bucket], null_safe=True)
-    w = Window.partitionBy(*strata, bucket, "cut_rank").orderBy(*order)
-    picked = near.withColumn("__rn", F.row_number().over(w)).filter("__rn = __within")
+    """The row at each border: (strata..., at, times). Only ranges that hold a border are
+    ranked, once each."""
+    cuts = borders.filter("__within > 0")
+    ranges = cuts.select(*strata, bucket).distinct()
+    near = join_on(df.select(*strata, bucket, *order), ranges, [*strata, bucket], "left_semi", null_safe=True)
+    placed = near.withColumn("__within", F.row_number().over(Window.partitionBy(*strata, bucket).orderBy(*order)).cast("bigint"))
+    picked = join_on(placed, cuts.select(*strata, bucket, "__within", "times"), [*strata, bucket, "__within"], null_safe=True)
     return picked.select(*strata, F.struct(*order).alias("at"), "times")
 
 
@@ -83,7 +86,7 @@ def _label_strata(
 def _label_all(df: DataFrame, bucket: str, order: list[str], ranks: list[int], out: str) -> DataFrame:
     """Number the block of each row among all rows; cut points are literals."""
     aimed = _placed(df, [], bucket).withColumn("cut_rank", F.explode(F.array(*[F.lit(r) for r in ranks]).cast("array<bigint>")))
-    found = F.broadcast(_borders(aimed, [], bucket))  # at most one row per rank
+    found = small_side(_borders(aimed, [], bucket))  # at most one row per rank
     rows = _cut_rows(df, [], bucket, order, found).collect()
     empty = F.lit(sum(1 for r in ranks if r == 0))
     if not rows:
