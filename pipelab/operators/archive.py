@@ -59,9 +59,9 @@ def drop_evicted(history: DataFrame, kept: DataFrame, task: str = "task_id", age
     return join_on(history, kept.select(task, agent), [task, agent], "left_semi")
 
 
-def history(log: DataFrame, task: str = "task_id", agent: str = "agent_id", order: str = "seq", hot_rows: int = HOT_ROWS) -> DataFrame:
+def history(log: DataFrame, task: str = "task_id", agent: str = "agent_id", order: tuple[str, ...] = ("seq",), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number the attempts of every agent from 1."""
-    return ranked(log, [task, agent], [order], "attempt", hot_rows=hot_rows)
+    return ranked(log, [task, agent], list(order), "attempt", hot_rows=hot_rows)
 
 
 def agent_history(numbered: DataFrame, agent_id, agent: str = "agent_id") -> DataFrame:
@@ -172,9 +172,11 @@ def lineage(agents: DataFrame, node: str = "run_id", parent: str = "parent_run_i
     return out
 
 
-def best_so_far(log: DataFrame, score: str = "accuracy", task: str = "task_id", order: list[str] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows that beat every earlier score of their task, with the score they beat."""
-    seen = preceding(log, [task], order or ["seq"], {"previous_best": ("max", F.col(score))}, hot_rows=hot_rows)
+def best_so_far(log: DataFrame, score: str = "accuracy", task: str = "task_id", order: tuple[str, ...] = ("ts", "run_id"), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows that beat every earlier score of their task, with that score and their place
+    in the task's log; both come out of one prefix pass."""
+    aggs = {"previous_best": ("max", F.col(score)), "place": ("count", None)}
+    seen = preceding(log, [task], list(order), aggs, hot_rows=hot_rows).withColumn("place", F.col("place") + 1)
     return seen.filter(F.col(score).isNotNull() & (F.col("previous_best").isNull() | (F.col(score) > F.col("previous_best"))))
 
 

@@ -119,6 +119,8 @@ def replay_archive(
     if bounds[0] is None:
         empty = rows.select("task_id", "run_id", F.col("place").alias("seq"), F.lit(True).alias("accepted")).limit(0)
         return (rows.limit(0) if state is None else state), empty
+    if bounds[1] - bounds[0] >= first_chunk:
+        rows = cut_lineage(rows)  # read once per chunk
     decisions: DataFrame | None = None
     low, size = bounds[0] - 1, first_chunk
     while low < bounds[1]:

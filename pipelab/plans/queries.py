@@ -80,8 +80,12 @@ def s2_write_predictions(spark, sf_dir):
     return tb.read_predictions(spark, path, "row_id string, y_pred int, agent_id int, batch string")
 
 
+def _log(spark, sf_dir):
+    return views.run_log(views.table(spark, sf_dir, "events"))
+
+
 def _batches(spark, sf_dir):
-    return views.runs(spark, sf_dir).withColumn("batch", F.date_format("ts", "yyyy-MM-dd"))
+    return _log(spark, sf_dir).withColumn("batch", F.date_format("ts", "yyyy-MM-dd"))
 
 
 _BATCHES = "b AS (SELECT *, strftime(ts, '%Y-%m-%d') AS batch FROM runs)"
@@ -581,7 +585,7 @@ def e16_metrics_report_regression(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
-    log = views.runs(spark, sf_dir)
+    log = views.numbered(spark, sf_dir)
     sizes = log.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
     both = log.join(sizes, "task_id")
     return both.filter("seq * 2 <= n").drop("n"), both.filter("seq * 2 > n").drop("n")
@@ -600,7 +604,7 @@ def a1_admit(spark, sf_dir):
 @query("a2_upsert", f"""{with_views('runs')}, {ARCH}
 SELECT task_id, agent_id, run_id, seq, first_seq, {r('accuracy', 'accuracy')}, {r('f1_score', 'f1_score')} FROM arch""")
 def a2_upsert(spark, sf_dir):
-    got = ar.upsert(views.runs(spark, sf_dir))
+    got = ar.upsert(views.numbered(spark, sf_dir))
     return rounded(got.select("task_id", "agent_id", "run_id", "seq", "first_seq", "accuracy", "f1_score"))
 
 
@@ -611,32 +615,32 @@ HIST = "h AS (SELECT *, row_number() OVER (PARTITION BY task_id, agent_id ORDER
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY accuracy DESC NULLS LAST, first_seq DESC) AS rn FROM arch) WHERE rn <= 100)
 SELECT h.task_id, h.agent_id, h.run_id, h.attempt FROM h JOIN kept ON h.task_id = kept.task_id AND h.agent_id = kept.agent_id""")
 def a3_evict_worst(spark, sf_dir):
-    log = views.runs(spark, sf_dir)
+    log = views.numbered(spark, sf_dir)
     kept = ar.evict_worst(ar.upsert(log), 100)
     return ar.drop_evicted(ar.history(log), kept).select("task_id", "agent_id", "run_id", "attempt")
 
 
 @query("a4_replay_archive")
 def a4_replay_archive(spark, sf_dir):
-    archive, _ = rp.replay_archive(views.runs(spark, sf_dir), 100)
+    archive, _ = rp.replay_archive(views.numbered(spark, sf_dir), 100)
     return rounded(archive)
 
 
 @query("a4_replay_decisions")
 def a4_replay_decisions(spark, sf_dir):
-    _, decisions = rp.replay_archive(views.runs(spark, sf_dir), 100)
+    _, decisions = rp.replay_archive(views.numbered(spark, sf_dir), 100)
     return decisions
 
 
 @query("a5_history", f"{with_views('runs')}, {HIST} SELECT task_id, agent_id, run_id, attempt FROM h")
 def a5_history(spark, sf_dir):
-    return ar.history(views.runs(spark, sf_dir)).select("task_id", "agent_id", "run_id", "attempt")
+    return ar.history(_log(spark, sf_dir), order=("ts", "run_id")).select("task_id", "agent_id", "run_id", "attempt")
 
 
 @query("a6_agent_history", f"""{with_views('runs')}, {HIST}
 SELECT task_id, agent_id, run_id, attempt, {r('accuracy', 'accuracy')} FROM h WHERE agent_id = 7""")
 def a6_agent_history(spark, sf_dir):
-    got = ar.agent_history(ar.history(views.runs(spark, sf_dir)), 7)
+    got = ar.agent_history(ar.history(_log(spark, sf_dir), order=("ts", "run_id")), 7)
     return rounded(got.select("task_id", "agent_id", "run_id", "attempt", "accuracy"))
 
 
@@ -644,14 +648,14 @@ def a6_agent_history(spark, sf_dir):
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY f1_score DESC NULLS LAST, first_seq) AS INT) AS place FROM arch)
 SELECT task_id, place, agent_id, run_id, {r('f1_score', 'f1_score')} FROM t WHERE place <= 5""")
 def a7_top_n(spark, sf_dir):
-    best = ar.top_n(ar.upsert(views.runs(spark, sf_dir)), 5, "f1_score")
+    best = ar.top_n(ar.upsert(views.numbered(spark, sf_dir)), 5, "f1_score")
     return rounded(best.select("task_id", "place", "agent_id", "run_id", "f1_score"))
 
 
 @query("a7_top_n_overall", f"""{with_views('runs')}, {ARCH}
 SELECT task_id, agent_id, run_id, {r('accuracy', 'accuracy')} FROM (SELECT * FROM arch ORDER BY accuracy DESC NULLS LAST, first_seq, agent_id LIMIT 20)""")
 def a7_top_n_overall(spark, sf_dir):
-    best = ar.top_n(ar.upsert(views.runs(spark, sf_dir)), 20, "accuracy", None)
+    best = ar.top_n(ar.upsert(views.numbered(spark, sf_dir)), 20, "accuracy", None)
     return rounded(best.select("task_id", "agent_id", "run_id", "accuracy"))
 
 
@@ -678,14 +682,14 @@ v AS (SELECT arch.*, coalesce(s.rarity, 0) AS rarity FROM arch LEFT JOIN s ON ar
 t AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY rarity DESC, first_seq) AS INT) AS place FROM v)
 SELECT task_id, place, agent_id, {r('rarity', 'rarity')} FROM t WHERE place <= 10""")
 def a9_diverse_n(spark, sf_dir):
-    log = views.runs(spark, sf_dir)
+    log = views.numbered(spark, sf_dir)
     return rounded(ar.diverse_n(ar.upsert(log), views.usage(log), 10).select("task_id", "place", "agent_id", "rarity"))
 
 
 @query("a10_sample_n", f"""{with_views('runs')}, {ARCH}
 SELECT task_id, agent_id, run_id FROM arch ORDER BY md5(concat(task_id, ':', CAST(agent_id AS VARCHAR), ':42')), task_id, agent_id LIMIT 50""")
 def a10_sample_n(spark, sf_dir):
-    return ar.sample_n(ar.upsert(views.runs(spark, sf_dir)), 50).select("task_id", "agent_id", "run_id")
+    return ar.sample_n(ar.upsert(views.numbered(spark, sf_dir)), 50).select("task_id", "agent_id", "run_id")
 
 
 @query("a11_archive_summary", f"""{with_views('runs')}, {ARCH},
@@ -693,7 +697,7 @@ u AS (SELECT task_id, count(DISTINCT feature) AS uf, count(DISTINCT concat(CAST(
 SELECT arch.task_id, count(*) AS num_agents, {r('max(accuracy)', 'best_accuracy')}, {r('max(f1_score)', 'best_f1_score')},
   max(uf) AS unique_features, {r('max(uses) / CAST(count(*) AS DOUBLE)', 'avg_features_per_agent')} FROM arch JOIN u ON arch.task_id = u.task_id GROUP BY arch.task_id""")
 def a11_archive_summary(spark, sf_dir):
-    log = views.runs(spark, sf_dir)
+    log = views.numbered(spark, sf_dir)
     return rounded(ar.archive_summary(ar.upsert(log), views.usage(log), ["accuracy", "f1_score"]))
 
 
@@ -711,8 +715,8 @@ def a12_lineage(spark, sf_dir):
 b AS (SELECT *, max(accuracy) OVER (PARTITION BY task_id ORDER BY ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_best FROM runs)
 SELECT task_id, run_id, seq, {r('accuracy', 'accuracy')}, {r('previous_best', 'previous_best')} FROM b WHERE previous_best IS NULL OR accuracy > previous_best""")
 def a13_best_so_far(spark, sf_dir):
-    got = ar.best_so_far(views.runs(spark, sf_dir), order=["ts", "run_id"])
-    return rounded(got.select("task_id", "run_id", "seq", "accuracy", "previous_best"))
+    got = ar.best_so_far(_log(spark, sf_dir))
+    return rounded(got.select("task_id", "run_id", F.col("place").alias("seq"), "accuracy", "previous_best"))
 
 
 PLACES = """pl AS (SELECT task_id, agent_id, accuracy, first_seq, row_number() OVER (PARTITION BY task_id ORDER BY first_seq, agent_id) - 1 AS i,
@@ -730,7 +734,7 @@ def _draw_sql(name: str, first: int, last: int, seed: str) -> str:
 SELECT task_id, CAST(1 AS INT) AS slot, 'elite' AS role, agent_id FROM el
 UNION ALL SELECT dr.task_id, dr.slot, 'child', pl.agent_id FROM dr JOIN pl ON dr.task_id = pl.task_id AND dr.draw % dr.n = pl.i""")
 def a14_next_generation(spark, sf_dir):
-    return ar.next_generation(ar.upsert(views.runs(spark, sf_dir)), 12)
+    return ar.next_generation(ar.upsert(views.numbered(spark, sf_dir)), 12)
 
 
 @query("a15_select_parent", f"""{with_views('runs')}, {ARCH}, {PLACES},
@@ -745,7 +749,7 @@ UNION ALL SELECT 'elite_plus_diversity', pick.task_id, pick.slot, CASE WHEN co.d
 UNION ALL SELECT 'roulette', ro.task_id, ro.slot, wh.agent_id FROM ro JOIN wh ON ro.task_id = wh.task_id
   AND ro.draw / CAST(4294967296 AS DOUBLE) * wh.total >= wh.start AND ro.draw / CAST(4294967296 AS DOUBLE) * wh.total < wh.start + wh.w""")
 def a15_select_parent(spark, sf_dir):
-    archive = ar.upsert(views.runs(spark, sf_dir))
+    archive = ar.upsert(views.numbered(spark, sf_dir))
     out = None
     for strategy in ("uniform", "elite", "elite_plus_diversity", "roulette"):
         part = ar.select_parent(archive, strategy, 20).select(F.lit(strategy).alias("strategy"), "task_id", "slot", "agent_id")
@@ -758,7 +762,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first_seq DESC)
 SELECT task_id, string_agg(printf('- Generation %d, Agent ID %s, accuracy: %.4f', generation, CAST(agent_id AS VARCHAR), coalesce(accuracy, 0)), chr(10) ORDER BY first_seq) AS context
 FROM l WHERE rn <= 5 GROUP BY task_id""")
 def a16_recent_context(spark, sf_dir):
-    return ar.recent_context(_arch(views.runs(spark, sf_dir)))
+    return ar.recent_context(_arch(views.numbered(spark, sf_dir)))
 
 
 @query("a17_generation_stats", f"""{with_views('runs')}, {GEN},

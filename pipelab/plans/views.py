@@ -107,9 +107,14 @@ def run_log(events: DataFrame) -> DataFrame:
     )
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with every run's place ``seq`` in its task."""
+    return ranked(run_log(table(spark, sf_dir, "events")), ["task_id"], ["ts", "run_id"], "seq")
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment log: five tasks, agents that re-run, a parent tree over each task's log."""
-    log = ranked(run_log(table(spark, sf_dir, "events")), ["task_id"], ["ts", "run_id"], "seq")
+    log = numbered(spark, sf_dir)
     parents = log.select(
         F.col("task_id").alias("p_task"), F.col("seq").alias("p_seq"), F.col("run_id").alias("parent_run_id")
     )
