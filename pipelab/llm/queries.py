@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelab.llm import curriculum, fingerprint, token_store
+from pipelab.llm import curriculum, fingerprint, language_spans, quality_rules, token_counts, token_store
 from pipelab.session import scratch_path
 
 END_ID = 2
@@ -15,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def vocabulary_size() -> int:
@@ -37,6 +37,28 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.with_quality(docs, model).select(
+        "doc_id",
+        quality_rules.is_held_out(F.col("doc_id")).alias("held_out"),
+        F.col("rule_score").alias("score"),
+        F.col("rule_label").alias("predicted"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = quality_rules.is_held_out(F.col("doc_id"))
+    model = language_spans.fit_languages(docs.filter(~held_out))
+    return language_spans.label_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = curriculum.plan_mixture(table(spark, sf_dir, "documents"))
     return planned.select(
@@ -51,7 +73,10 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_fingerprint": op2_fingerprint,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_token_counts": op5_token_counts,
     "op6_curriculum": op6_curriculum,
+    "op9_language_spans": op9_language_spans,
 }
 
 CHECK_SQL = {
