@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelab.llm import curriculum, fingerprint, language_spans, quality_rules, token_counts, token_store
+from pipelab.llm import curriculum, decontaminate, fingerprint, language_spans, quality_rules, token_counts, token_store
 from pipelab.session import scratch_path
 
 END_ID = 2
@@ -70,6 +70,10 @@ def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_fingerprint": op2_fingerprint,
@@ -77,6 +81,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_curriculum": op6_curriculum,
     "op9_language_spans": op9_language_spans,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 CHECK_SQL = {
