@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelab.llm import curriculum, decontaminate, fingerprint, language_spans, quality_rules, token_counts, token_store
+from pipelab.llm import curriculum, decontaminate, fingerprint, jaccard_join, language_spans, quality_rules, token_counts, token_store
 from pipelab.session import scratch_path
 
 END_ID = 2
@@ -37,6 +37,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, share=85)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
@@ -77,6 +81,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_fingerprint": op2_fingerprint,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_curriculum": op6_curriculum,
