@@ -15,16 +15,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 16
 _WORDS_KEPT = 400_000
-_CHUNK = 256
+_CHUNK = 2048
+_JOINED = 256
 
 BLOCK_SCHEMA = (
     "shard int, block int, bits int, start long, n_ids long, "
@@ -58,42 +61,109 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that never joins tokens over ASCII white space.
+    """Encodes texts with a tokenizer that lower-cases and never joins tokens over ASCII white space.
 
-    Words are encoded once each and kept, up to a fixed number; the ids of a text are the
-    ids of its words in order.
+    Words are encoded once each and kept, up to a fixed number, those met more often longest;
+    the ids of a text are the ids of its words in order. New words are encoded many at a time
+    with a special token of the tokenizer between them, whose id marks where a word ends.
+    Words that may hold a special token themselves are left as they are and encoded one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: list[np.ndarray] = []
-        self._place: dict[bytes, int] = {}
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        special = [t for t in self._tokenizer.get_added_tokens_decoder().items() if t[1].special]
+        self._mark_id, self._mark = special[0][0], special[0][1].content
+        self._place: dict[str, int] = {}
+        self._flat = np.zeros(0, np.uint32)
+        self._sizes = np.zeros(0, np.int64)
+        self._starts = np.zeros(0, np.int64)
+        self._uses = np.zeros(0, np.int64)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words end to end, and the number of ids of each."""
+        groups = [words[k : k + _JOINED] for k in range(0, len(words), _JOINED)]
+        coded = self._tokenizer.encode_batch_fast([self._mark.join(g) + self._mark for g in groups], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+        ends = np.flatnonzero(ids == self._mark_id)
+        return ids[ids != self._mark_id], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, words: list[str]) -> None:
+        """A stop after a letter is a token of its own, so such words are put together."""
+        stopped = [w for w in words if w[-1] in ".," and "a" <= w[-2:-1] <= "z" and "<" not in w]
+        parts = {w[:-1] for w in stopped} | {".", ","} if stopped else set()
+        self._learn_whole(list((parts | set(words).difference(stopped)).difference(self._place)))
+        if stopped:
+            pairs = np.array([[self._place[w[:-1]], self._place[w[-1]]] for w in stopped], np.int64)
+            ids, _ = self._gather(pairs.ravel())
+            self._add(stopped, ids, self._sizes[pairs].sum(axis=1))
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self._place)
+        self._place.update(zip(words, range(known, known + len(words))))
+        self._flat = np.concatenate([self._flat, ids])
+        self._sizes = np.concatenate([self._sizes, sizes]).astype(np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._uses = np.concatenate([self._uses, np.zeros(len(words), np.int64)])
+
+    def _learn_whole(self, words: list[str]) -> None:
+        plain = [w for w in words if "<" not in w]
+        if plain:
+            self._add(plain, *self._ids_of(plain))
+        for w in set(words).difference(plain):
+            ids = np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            self._add([w], ids, np.array([len(ids)]))
+
+    def _gather(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places end to end, and their ends."""
+        sizes = self._sizes[used]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._flat[np.repeat(self._starts[used] - (ends - sizes), sizes) + np.arange(total)], ends
+
+    def _forget(self) -> None:
+        """Keep the half of the words met most often."""
+        words = list(self._place)
+        keep = np.sort(np.argsort(-self._uses, kind="stable")[: _WORDS_KEPT // 2])
+        self._flat = self._gather(keep)[0]
+        self._sizes = self._sizes[keep]
+        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._uses = self._uses[keep] // 2
+        self._place = {words[k]: n for n, k in enumerate(keep.tolist())}
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
         if len(self._place) > _WORDS_KEPT:
-            self._place, self._ids = {}, []
-        split = [t.encode().split() for t in texts]
-        place = self._place
-        new = list({w for words in split for w in words if w not in place})
+            self._forget()
+        # Lower-casing A-Z ahead changes no id, but might make a special token of plain text.
+        texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        new = [w for w in words if w and w not in self._place]
         if new:
-            coded = self._tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            for word, enc in zip(new, coded):
-                place[word] = len(self._ids)
-                self._ids.append(np.array(enc.ids, np.uint32))
-        used = [place[w] for words in split for w in words]
-        sizes = np.fromiter((len(self._ids[u]) for u in used), np.int64, len(used))
-        ids = np.concatenate([self._ids[u] for u in used]) if used else np.zeros(0, np.uint32)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        words = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(ends[words])
+            self._learn(new)
+        # An edge of white space gives an empty word, which has no ids.
+        place = np.array([self._place[w] if w else -1 for w in words], np.int64)
+        used = place[coded.indices.to_numpy()]
+        counts = np.diff(split.offsets.to_numpy())
+        real = used >= 0
+        before = np.concatenate(([0], np.cumsum(real)))[np.concatenate(([0], np.cumsum(counts)))]
+        used = used[real]
+        self._uses += np.bincount(used, minlength=len(self._uses))
+        ids, ends = self._gather(used)
+        return ids, np.diff(np.concatenate(([0], ends))[before])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def _writer(path: str, end_id: int, bits: int, block_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         shard = TaskContext.get().partitionId()
         block, start = 0, 0
         docs: list = []
@@ -118,10 +188,10 @@ def _writer(path: str, end_id: int, bits: int, block_ids: int) -> Callable:
         ])
         for batch in batches:
             for at in range(0, batch.num_rows, _CHUNK):
-                chunk = batch.slice(at, _CHUNK).to_pydict()
-                ids, sizes = encoder.encode(chunk["text"])
+                chunk = batch.slice(at, _CHUNK)
+                ids, sizes = encoder.encode(chunk.column("text"))
                 cut = np.concatenate(([0], np.cumsum(sizes)))
-                for k, doc in enumerate(chunk["id"]):
+                for k, doc in enumerate(chunk.column("id").to_pylist()):
                     parts.append(np.append(ids[cut[k] : cut[k + 1]], np.uint32(end_id)))
                     held += len(parts[-1])
                     docs.append(doc)
