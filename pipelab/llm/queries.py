@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelab.llm import curriculum, decontaminate, fingerprint, jaccard_join, language_spans, quality_rules, suffix_dedup, token_counts, token_store
+from pipelab.llm import curriculum, decontaminate, fingerprint, html_extract, jaccard_join, language_spans, quality_rules, suffix_dedup, token_counts, token_store
 from pipelab.session import scratch_path
 
 END_ID = 2
@@ -56,6 +56,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_extract.fit_content_model(html_extract.labelled_pages())
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_curriculum": op6_curriculum,
+    "op7_html_extract": op7_html_extract,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_spans": op9_language_spans,
     "op10_decontaminate": op10_decontaminate,
