@@ -53,7 +53,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         (F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0)))
         / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))),
     )
-    level = F.min(F.when(F.col("level") <= F.col("limit") / F.col("w"), F.col("level"))).over(everything)
+    within = F.col("level") <= F.col("limit") / F.col("w")
+    level = F.min(F.when(within, F.struct(F.col("limit") / F.col("w"), "rank", "level"))).over(everything)["level"]
     return rest.select("source", "source_size", "rank", F.least("limit", level * F.col("w")).alias("target"))
 
 

@@ -117,7 +117,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0::DOUBLE)) AS level
   FROM weighted WINDOW b AS (ORDER BY most / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
-  SELECT source, source_size, least(most, (SELECT min(level) FROM levels WHERE level <= most / w) * w) AS target FROM levels),
+  SELECT source, source_size, least(most, (SELECT max(level) FROM levels) * w) AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size, s.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
