@@ -65,14 +65,14 @@ def plan_mixture(
     """Every row of ``docs`` with ``mix_``: size, source_size, rank, target, before, copies, taken.
 
     ``mix_before`` is the number of the source's words ahead of the row in the order of
-    md5(id), then id, size and text. Sources are cut into ranges of that hash so that a large
+    md5(id), then id, size and a hash of the text. Sources are cut into ranges of that hash so that a large
     one is not ordered in one task; range totals give the start of each range.
     Null texts and texts without words have size 0 and are taken 0 words; a null source is a
     source of its own; rows with the same id are separate rows; an empty table stays empty.
     """
     keyed = docs.withColumn("mix_size", word_count(text_col)).withColumn(
         "mix_hash", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    )
+    ).withColumn("mix_tie", F.xxhash64(text_col))
     sizes = keyed.groupBy(F.col(source_col).alias("source")).agg(
         F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("rows")
     )
@@ -97,7 +97,7 @@ def plan_mixture(
     )
     inside = (
         Window.partitionBy(source_col, "mix_range")
-        .orderBy("mix_hash", id_col, "mix_size", text_col)
+        .orderBy("mix_hash", id_col, "mix_size", "mix_tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     ordered = keyed.withColumn("mix_inner", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
@@ -111,7 +111,7 @@ def plan_mixture(
     return (
         placed.withColumn("mix_copies", copies.cast("int"))
         .withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-        .drop("mix_source", "mix_part", "mix_start", "mix_inner", "mix_hash", "mix_range")
+        .drop("mix_source", "mix_part", "mix_start", "mix_inner", "mix_hash", "mix_tie", "mix_range")
     )
 
 

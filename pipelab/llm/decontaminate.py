@@ -4,8 +4,9 @@ A document leaks an item when a window of the item's length is similar to the it
 Jaccard of the sets of five-word shingles at least ``SIMILARITY``, the weight of a shingle
 being the number of its letters and digits. Case and punctuation do not count.
 
-1. *Windows.* A similar window shares a shingle with the item, so only windows that lay a
-   shared shingle on its place in the item are looked at. Every shingle of every document is
+1. *Windows.* A window is similar only if it shares a shingle with the item; the windows that
+   lay a shared shingle on its place in the item (moved inward at the ends of the text) are the
+   ones compared. Every shingle of every document is
    joined with the items' shingles, which are broadcast when counted small.
 2. *Fingerprints.* Window and item get a 64-bit SimHash of their weighted shingles. It is cut
    into ``RADIUS`` + 1 blocks; fingerprints at most ``RADIUS`` bits apart agree in a block,
