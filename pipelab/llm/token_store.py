@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 16
+#: Shards whose starts are sent to every executor at most; with more the blocks are shuffled to them.
+BROADCAST_SHARDS = 500_000
 _WORDS_KEPT = 400_000
 _CHUNK = 2048
 _JOINED = 256
@@ -229,7 +231,8 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row a shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return blocks.join(bases, "shard").withColumn("first", F.col("base") + F.col("start"))
+    small = totals.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS
+    return blocks.join(F.broadcast(bases) if small else bases, "shard").withColumn("first", F.col("base") + F.col("start"))
 
 
 def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
