@@ -1,12 +1,12 @@
 r"""Column expressions over model responses and pipeline code.
 
-All are built-in functions inside one projection. Whole texts are read; a text is never
-cut. ``\s`` at line starts means blanks other than a line break.
+Built-in functions inside one projection, but for the test whether a text is JSON, which is
+Arrow-batched. Whole texts are read; a text is never cut. ``\s`` at line starts means blanks other than a line break.
 """
 
 from __future__ import annotations
 
-import ast
+import json
 import re
 
 import pandas as pd
@@ -26,7 +26,7 @@ CONTROL_CHARS = r"[\x00-\x1F\x7F]"
 SHORT_RESPONSE = 20
 HEADER_LINE = r"(?m)^# (?:Agent ID|Generation|Parent ID): [^\n]*\n?"
 
-_END = "end of json text"
+_CONTROL = re.compile(CONTROL_CHARS)
 
 
 def strip(text: Column) -> Column:
@@ -34,30 +34,87 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
-def is_json(text: Column) -> Column:
-    """Whether a whole text is one JSON value.
+class _Repeated(Exception):
+    pass
+
+
+def _unique(pairs: list) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise _Repeated
+    return found
 
-    The parser stops after the first value, so the text is set into an array before a
-    known last element: anything behind the value breaks the array.
+
+def normal_json(text: str | None) -> str | None:
+    """The text if it is one JSON value, else null.
+
+    A text with a repeated key is written anew, the last value of the key winning, and one
+    with NaN or an infinity with that word as a string, so that any JSON reader takes it.
+    Text nested too deeply for the parser is no value either; ``json_too_deep`` tells it.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END}"]')))
-    closes = F.try_variant_get(wrapped, "$[1]", "string") == F.lit(_END)
-    return F.coalesce(closes & F.try_variant_get(wrapped, "$[2]", "string").isNull(), F.lit(False))
+    if text is None:
+        return None
+
+    def constant(word: str):
+        raise _Repeated
+
+    try:
+        json.loads(text, object_pairs_hook=_unique, parse_constant=constant)
+        return text
+    except _Repeated:
+        return json.dumps(json.loads(text, parse_constant=str), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _first_normal(candidates) -> str | None:
+    for text in candidates if candidates is not None else ():
+        found = normal_json(text)
+        if found is None:
+            found = normal_json(_CONTROL.sub("", text))
+        if found is not None:
+            return found
+    return None
+
 
+@F.pandas_udf(T.StringType())
+def first_json(candidates: pd.Series) -> pd.Series:
+    """Of each list of texts the first that is JSON, if need be without control characters."""
+    return candidates.map(_first_normal)
 
-def _parseable(text: Column) -> Column:
-    """The text if it is JSON, else the text without control characters if that is, else null."""
-    clean = F.regexp_replace(text, CONTROL_CHARS, "")
-    return F.when(is_json(text), text).when(is_json(clean), clean)
+
+@F.pandas_udf(T.StringType())
+def _normal(texts: pd.Series) -> pd.Series:
+    return texts.map(normal_json)
+
+
+@F.pandas_udf(T.BooleanType())
+def json_too_deep(texts: pd.Series) -> pd.Series:
+    """Whether a text nests brackets too deeply to be tested."""
+
+    def deep(text: str | None) -> bool:
+        try:
+            json.loads(text or "0")
+        except RecursionError:
+            return True
+        except ValueError:
+            return False
+        return False
+
+    return texts.map(deep)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a whole text is one JSON value."""
+    return _normal(text).isNotNull()
 
 
 def extract_json(text: Column) -> Column:
     """JSON text of a response: its first ```json block, else the first object in it that
     parses; null when there is none. A block that is never closed runs to the end."""
     block = F.regexp_extract(text, JSON_BLOCK, 1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(BARE_OBJECT), F.lit(0)), _parseable)
-    first = F.get(F.filter(found, lambda c: c.isNotNull()), F.lit(0))
-    return F.when(block != "", _parseable(strip(block))).otherwise(first)
+    objects = F.regexp_extract_all(text, F.lit(BARE_OBJECT), F.lit(0))
+    return first_json(F.when(block != "", F.array(strip(block))).otherwise(objects))
 
 
 def json_field(json_text: Column, name: str) -> Column:
@@ -86,10 +143,11 @@ def repair_json(text: Column, keys: list[str]) -> Column:
     body = F.array_join(lines, "\n")
     for closing in ("]", "}"):
         body = F.replace(body, F.lit(",\n" + closing), F.lit("\n" + closing))
-    complete = F.lit(True)
+    body = _normal(body)
+    complete = body.isNotNull()
     for k in keys:
-        complete = complete & F.array_contains(F.json_object_keys(body), k)
-    return F.when(is_json(body) & F.coalesce(complete, F.lit(False)), body)
+        complete = complete & F.coalesce(F.array_contains(F.json_object_keys(body), k), F.lit(False))
+    return F.when(complete, body)
 
 
 def is_bad_response(text: Column) -> Column:
@@ -105,29 +163,13 @@ def missing_parts(code: Column) -> Column:
     return F.array_compact(found)
 
 
-def check_code(code: str | None) -> dict:
-    """Findings on one code text; it is parsed only and never run."""
-    try:
-        tree = ast.parse(code or "")
-    except (SyntaxError, ValueError) as e:
-        return {"valid": False, "syntax_error": str(e), "missing": None}
-    defined = {n.name for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)}
-    assigned = {t.id for n in ast.walk(tree) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
-    missing = [f for f in REQUIRED_FUNCTIONS if f not in defined] + [g for g in REQUIRED_GLOBALS if g not in assigned]
-    return {"valid": not missing, "syntax_error": None, "missing": missing}
-
-
-CODE_FINDINGS = T.StructType([
-    T.StructField("valid", T.BooleanType()),
-    T.StructField("syntax_error", T.StringType()),
-    T.StructField("missing", T.ArrayType(T.StringType())),
-])
-
-
-@F.pandas_udf(CODE_FINDINGS)
-def validate_code(code: pd.Series) -> pd.DataFrame:
-    """Exact contract check, in Arrow batches."""
-    return pd.DataFrame([check_code(c) for c in code], columns=["valid", "syntax_error", "missing"])
+def code_findings(code: Column) -> Column:
+    """struct<valid, missing>: whether the code defines all required parts, and which it lacks.
+
+    A contract check by line patterns; code is neither run nor compiled, so no text can fail.
+    """
+    missing = missing_parts(F.coalesce(code, F.lit("")))
+    return F.struct((F.size(missing) == 0).alias("valid"), missing.alias("missing"))
 
 
 def _header(text: Column, name: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelab.functions.numeric import hash_int, hash_key, hash_unit, join_on, small_side
+from pipelab.functions.numeric import SMALL_ROWS, hash_int, hash_key, hash_unit, join_on, small_side
 from pipelab.operators.ordering import HOT_ROWS, exact_quantiles, preceding, ranked
 from pipelab.session import cut_lineage
 
@@ -115,9 +115,16 @@ def diverse_n(archive: DataFrame, usage: DataFrame, n: int = 1, task: str = "tas
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def sample_n(archive: DataFrame, n: int, seed: int = 42, ids: tuple[str, ...] = ("task_id", "agent_id")) -> DataFrame:
-    """n rows without replacement, repeatable; all rows when there are fewer."""
-    return archive.withColumn("__key", hash_key(seed, *ids)).orderBy("__key", *ids).limit(n).drop("__key")
+def sample_n(archive: DataFrame, n: int, seed: int = 42, ids: tuple[str, ...] = ("task_id", "agent_id"), task: str | None = "task_id") -> DataFrame:
+    """n rows of each archive without replacement, repeatable; all where there are fewer.
+
+    With ``task`` None the n rows are drawn over all archives.
+    """
+    keyed = archive.withColumn("__key", hash_key(seed, *ids))
+    if task is None:
+        return keyed.orderBy("__key", *ids).limit(n).drop("__key")
+    w = Window.partitionBy(task).orderBy("__key", *ids)
+    return keyed.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__key", "__rn")
 
 
 def archive_summary(archive: DataFrame, usage: DataFrame, metrics: list[str], task: str = "task_id") -> DataFrame:
@@ -134,11 +141,15 @@ def archive_summary(archive: DataFrame, usage: DataFrame, metrics: list[str], ta
     )
 
 
-def lineage(agents: DataFrame, node: str = "run_id", parent: str = "parent_run_id", with_chain: bool = True, max_rounds: int = 64) -> DataFrame:
-    """Root, depth and ancestor chain (nearest first) of every node, by pointer doubling.
+def lineage(agents: DataFrame, node: str = "run_id", parent: str = "parent_run_id", with_chain: bool = False, max_rounds: int | None = None) -> DataFrame:
+    """Root and depth of every node, by pointer doubling; with ``with_chain`` also its ancestors, nearest first.
+
+    Chains hold an entry per node and ancestor, so they suit shallow trees.
 
     Each round doubles the reach of the open pointers, so a tree of depth d takes about
-    log2(d) joins. Finished nodes leave the join, and each round is checkpointed.
+    log2(d) joins. Finished nodes leave the join and are written once; only the open
+    ones are checkpointed each round. No path is longer than the number of nodes, so
+    pointers still open after its log2 rounds form a cycle.
     """
     none = F.array().cast(f"array<{dict(agents.dtypes)[node]}>")
     own = F.when(F.col(parent).isNotNull(), F.array(parent)).otherwise(none)
@@ -150,24 +161,34 @@ def lineage(agents: DataFrame, node: str = "run_id", parent: str = "parent_run_i
         F.col(parent).isNull().alias("done"),
     )
     state = cut_lineage(state)
+    if max_rounds is None:
+        max_rounds = max(1, state.count().bit_length()) + 1
+    done, open_ = state.filter("done"), state.filter(~F.col("done"))
     for _ in range(max_rounds):
-        hop = state.select(
+        if open_.isEmpty():
+            break
+        reached = done.unionByName(open_)
+        hop = reached.select(
             F.col("node").alias("root"), F.col("root").alias("__root"), F.col("depth").alias("__depth"),
             F.col("chain").alias("__chain"), F.col("done").alias("__done"),
         )
-        moved = join_on(state.filter(~F.col("done")), hop, ["root"], "left").select(
+        # In late rounds most pointers name a few nodes near the roots; these are few rows, so they are sent along.
+        wanted = open_.select("root").distinct()
+        if wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+            hop = F.broadcast(join_on(hop, F.broadcast(wanted), ["root"], "left_semi"))
+        moved = cut_lineage(join_on(open_, hop, ["root"], "left").select(
             "node",
             F.coalesce("__root", "root").alias("root"),
             (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth"),
             F.concat("chain", F.coalesce("__chain", none)).alias("chain"),
             # an unknown parent or a root ends the chain
             (F.coalesce("__done", F.lit(True))).alias("done"),
-        )
-        state = cut_lineage(state.filter("done").unionByName(moved))
-        if state.filter(~F.col("done")).isEmpty():
-            break
+        ))
+        done, open_ = done.unionByName(moved.filter("done")), moved.filter(~F.col("done"))
     else:
-        raise ValueError("the parent pointers form a cycle")
+        if not open_.isEmpty():
+            raise ValueError("the parent pointers form a cycle")
+    state = done
     out = state.select(F.col("node").alias(node), F.col("root").alias(f"root_{node}"), "depth", *(["chain"] if with_chain else []))
     return out
 
@@ -228,7 +249,10 @@ def select_parent(archive: DataFrame, strategy: str = "elite", draws: int = 1, s
         both = join_on(others, best.withColumnRenamed("agent_id", "__best"), [task])
         return both.select(task, "slot", F.when(coin < 0.7, F.col("__best")).otherwise(F.col("agent_id")).alias("agent_id"))
     if strategy == "roulette":
-        weight = F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0))
+        own = F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0))
+        tops = archive.groupBy(task).agg(F.max(own).alias("__top"))
+        archive = join_on(archive, small_side(tops), [task])
+        weight = F.when(F.col("__top") > 0, own).otherwise(F.lit(1.0))  # without any score all are alike
         wheel = preceding(
             archive.select(task, order, "agent_id", weight.alias("__w")), [task], [order, "agent_id"],
             {"__from": ("sum", F.col("__w"))},
@@ -247,13 +271,18 @@ def select_parent(archive: DataFrame, strategy: str = "elite", draws: int = 1, s
     raise ValueError(f"unknown strategy: {strategy}")
 
 
-def recent_context(archive: DataFrame, n: int = 5, metric: str = "accuracy", task: str = "task_id", order: str = "first_seq", generation: str = "generation") -> DataFrame:
-    """The last n entries of each task as text lines, oldest first."""
+def recent_context(archive: DataFrame, n: int = 5, metric: str = "accuracy", task: str = "task_id", order: str = "first_seq", generation: str = "generation", model: str | None = None, id_width: int | None = None) -> DataFrame:
+    """The last n entries of each task as text lines, oldest first.
+
+    Ids are shown whole unless a width is given; ``model`` names a column to show.
+    """
     w = Window.partitionBy(task).orderBy(F.col(order).desc())
     last = archive.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
+    agent = F.col("agent_id").cast("string")
+    shown = agent if id_width is None else F.substring(agent, 1, id_width)
+    kind = F.lit("") if model is None else F.concat(F.lit(", Model: "), F.coalesce(F.col(model).cast("string"), F.lit("unknown")))
     line = F.format_string(
-        f"- Generation %d, Agent ID %s, {metric}: %.4f", F.col(generation), F.substring(F.col("agent_id").cast("string"), 1, 8),
-        F.coalesce(F.col(metric), F.lit(0.0)),
+        f"- Generation %d, Agent ID %s%s, {metric}: %.4f", F.col(generation), shown, kind, F.coalesce(F.col(metric), F.lit(0.0))
     )
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
     return last.groupBy(task).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("context"))
@@ -287,9 +316,10 @@ def generation_stats(log: DataFrame, score: str = "accuracy", task: str = "task_
 def generation_summary(log: DataFrame, score: str = "accuracy", task: str = "task_id") -> DataFrame:
     """Per generation: runs, best score and the run and parent run that reached it."""
     pairs = with_parent(log, score, task)
-    best = F.max_by(
+    # Falling worth first, then the smallest id, which may be text.
+    best = F.min_by(
         F.struct("run_id", "agent_id", F.col(score).alias("s"), "parent_run_id", "parent_score"),
-        F.struct(_worth(F.col(score)), -F.col("run_id")),
+        F.struct(-_worth(F.col(score)), F.col("run_id")),
     )
     grouped = pairs.groupBy(task, "generation").agg(F.count(F.lit(1)).alias("runs"), F.avg(score).alias("mean_score"), best.alias("b"))
     return grouped.select(
@@ -298,9 +328,13 @@ def generation_summary(log: DataFrame, score: str = "accuracy", task: str = "tas
     )
 
 
-def final_results(archive: DataFrame, score: str = "accuracy", order: str = "seq") -> DataFrame:
-    """The one best entry over all tasks."""
-    return archive.orderBy(_worth(F.col(score)).desc(), F.col(order), "task_id").limit(1)
+def final_results(archive: DataFrame, score: str = "accuracy", order: str = "seq", task: str | None = "task_id") -> DataFrame:
+    """The best entry of each archive; with ``task`` None the one best over all."""
+    if task is None:
+        return archive.orderBy(_worth(F.col(score)).desc(), F.col(order), "task_id").limit(1)
+    rest = [c for c in archive.columns if c != task]
+    best = archive.groupBy(task).agg(F.min_by(F.struct(*rest), F.struct(-_worth(F.col(score)), F.col(order))).alias("__b"))
+    return best.select(*[F.col(task) if c == task else F.col(f"__b.{c}").alias(c) for c in archive.columns])
 
 
 def latest_predictions(predictions: DataFrame, agent: str = "agent_id", batch: str = "batch") -> DataFrame:

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,28 @@ FOREST_SPACE_STEPPED = {
 }
 
 
+LOGISTIC_SPACE = {
+    "reg_param": ("choice", [0.0, 0.001, 0.01, 0.1]),
+    "elastic_net": ("choice", [0.0, 0.5, 1.0]),
+    "max_iter": ("int", 20, 100, 20),
+}
+BOOSTED_SPACE = {
+    "n_estimators": ("int", 10, 50, 10),
+    "max_depth": ("int", 2, 6, 1),
+    "learning_rate": ("choice", [0.03, 0.1, 0.3]),
+}
+SPACES = {
+    "logistic": LOGISTIC_SPACE, "random_forest": FOREST_SPACE, "gbt": BOOSTED_SPACE,
+    "linear": LOGISTIC_SPACE, "random_forest_regressor": FOREST_SPACE, "gbt_regressor": BOOSTED_SPACE,
+}
+REGRESSORS = ("linear", "random_forest_regressor", "gbt_regressor")
+
+
+def is_job_abort(error: Exception) -> bool:
+    """Whether Spark gave up a job (executors or data lost), as against a faulty spec."""
+    return "Job aborted" in str(error) or "SparkContext was shut down" in str(error)
+
+
 @dataclass
 class Trained:
     """A fitted model and the feature names behind its vector."""
@@ -54,19 +77,28 @@ def _vectors(df: DataFrame, features: list[str], keep: list) -> DataFrame:
     return _assembler(len(features)).transform(df.select(*keep, *inputs)).drop(*[f"__x{i}" for i in range(len(features))])
 
 
+def _placed_partitions(df: DataFrame) -> int:
+    """A number that adaptive execution does not change."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def training_frame(df: DataFrame, features: list[str], target: str, id_cols: list[str] | None = None) -> DataFrame:
     """Label and vector only. With ``id_cols`` rows are placed and sorted by id, so that a
     seeded forest does not depend on how the input was partitioned."""
     label = F.col(target).cast("double").alias(LABEL)
     if not id_cols:
         return _vectors(df, features, [label])
-    placed = df.repartition(*id_cols).sortWithinPartitions(*id_cols)
+    # One number of partitions for any input: a forest draws its samples partition by partition.
+    placed = df.repartition(_placed_partitions(df), *id_cols).sortWithinPartitions(*id_cols)
     return _vectors(placed, features, [label])
 
 
 def _estimator(kind: str, params: dict[str, Any], seed: int):
     common = {"featuresCol": VECTOR, "labelCol": LABEL}
     p = dict(params)
+    known = {*SPACES.get(kind, {}), *(FOREST_SPACE_STEPPED if kind.startswith("random_forest") else ())}
+    if kind in SPACES and set(p) - known:
+        raise ValueError(f"{kind} has no parameter {sorted(set(p) - known)}")
     if kind == "logistic":
         return LogisticRegression(
             maxIter=p.get("max_iter", 100), regParam=p.get("reg_param", 0.0), elasticNetParam=p.get("elastic_net", 0.0), **common
@@ -85,6 +117,19 @@ def _estimator(kind: str, params: dict[str, Any], seed: int):
         return GBTClassifier(
             maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=seed, **common
         )
+    if kind == "linear":
+        return LinearRegression(
+            maxIter=p.get("max_iter", 100), regParam=p.get("reg_param", 0.0), elasticNetParam=p.get("elastic_net", 0.0), **common
+        )
+    if kind == "random_forest_regressor":
+        return RandomForestRegressor(
+            numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 5), minInstancesPerNode=p.get("min_samples_leaf", 1),
+            featureSubsetStrategy=p.get("max_features", "onethird") or "all", bootstrap=p.get("bootstrap", True), seed=seed, **common,
+        )
+    if kind == "gbt_regressor":
+        return GBTRegressor(
+            maxIter=p.get("n_estimators", 20), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=seed, **common
+        )
     raise ValueError(f"unknown model: {kind}")
 
 
@@ -110,10 +155,12 @@ def fit_gbt(df: DataFrame, features: list[str], target: str, **params) -> Traine
 
 
 def score(trained: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Predicted class and class probabilities per row: adds y_pred, proba."""
+    """Predicted class and class probabilities per row: adds y_pred, proba; a number only for a regression."""
     keep = df.columns if keep is None else keep
     vectors = _vectors(df, trained.features, [F.col(f"`{c}`") for c in keep])
     out = trained.model.stages[-1].transform(vectors)
+    if trained.kind in REGRESSORS:
+        return out.select(*[F.col(f"`{c}`") for c in keep], F.col("prediction").alias("y_pred"))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
         F.col("prediction").cast("int").alias("y_pred"),
@@ -134,16 +181,18 @@ def draw_params(space: dict, rng: random.Random) -> dict[str, Any]:
 
 def tune(
     train: DataFrame, valid: DataFrame, features: list[str], target: str, kind: str = "random_forest",
-    space: dict | None = None, n_trials: int = 30, seed: int = 42, parallelism: int = 2,
+    space: dict | None = None, n_trials: int = 30, seed: int = 42, parallelism: int = 2, id_cols: list[str] | None = None,
 ) -> tuple[dict[str, Any], DataFrame]:
-    """Seeded search for the best accuracy on ``valid``.
+    """Seeded search for the best accuracy on ``valid``, in the space of the kind of model.
 
     The vectors are built once and kept; trials run a few at a time. Returns the best
     parameters and the table of trials.
     """
     rng = random.Random(seed)
-    trials = [draw_params(space or FOREST_SPACE, rng) for _ in range(n_trials)]
-    fit_rows = training_frame(train, features, target).persist()
+    if space is None and kind not in SPACES:
+        raise ValueError(f"unknown model: {kind}")
+    trials = [draw_params(space or SPACES[kind], rng) for _ in range(n_trials)]
+    fit_rows = training_frame(train, features, target, id_cols).persist()
     test_rows = training_frame(valid, features, target).persist()
 
     def run(params: dict[str, Any]) -> float:
@@ -166,7 +215,9 @@ def tune(
 def importance_values(trained: Trained) -> dict[str, float]:
     """Tree importances, or mean absolute coefficients over classes, by feature."""
     model = trained.model.stages[-1]
-    if hasattr(model, "featureImportances"):
+    if trained.kind == "linear":
+        values = abs(model.coefficients.toArray())
+    elif hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
     elif hasattr(model, "coefficientMatrix"):
         values = abs(model.coefficientMatrix.toArray()).mean(axis=0)

@@ -14,7 +14,7 @@ from pipelab.operators import models as mo
 from pipelab.operators.archive import final_results
 from pipelab.operators.columns import column_kinds, with_int_target
 from pipelab.operators.replay import replay_archive
-from pipelab.operators.splits import stratified_kfold, stratified_split
+from pipelab.operators.splits import kfold, stratified_kfold, stratified_split
 from pipelab.plans.specs import PipelineSpec, prepare, mutate
 
 MAX_CLASSES = 1_000
@@ -36,7 +36,9 @@ class Evaluation:
 
 def prediction_table(scored: DataFrame, target: str, classes: int, keep: list[str]) -> DataFrame:
     """Scored rows as (keep..., y_true, y_pred, score[, cls]): one row per row for two
-    classes, one per (row, class) for more."""
+    classes, one per (row, class) for more; without a score for a regression (0 classes)."""
+    if classes == 0:
+        return scored.select(*keep, F.col(target).alias("y_true"), "y_pred")
     base = scored.select(*keep, F.col(target).alias("y_true"), "y_pred", "proba")
     if classes <= 2:
         return base.withColumn("score", F.get("proba", F.lit(1))).drop("proba")
@@ -56,9 +58,9 @@ def _train(train: DataFrame, spec: PipelineSpec, features: list[str], target: st
     if spec.tune_trials:
         # tuning has its own hold-out inside the training rows
         inner = stratified_split(train, target, id_cols, 0.2, seed + 1, "__tune")
-        best, _ = mo.tune(inner.filter("NOT __tune"), inner.filter("__tune"), features, target, spec.model, None, spec.tune_trials, seed)
+        best, _ = mo.tune(inner.filter("NOT __tune"), inner.filter("__tune"), features, target, spec.model, None, spec.tune_trials, seed, id_cols=id_cols)
         params.update(best)
-    return mo.fit(train, features, target, spec.model, params, seed)
+    return mo.fit(train, features, target, spec.model, params, seed, id_cols)
 
 
 def _parts(marked: DataFrame, held: Column, drop: str) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +80,7 @@ def _measure(
     ready = prepare(train if fit_scope == "train" else marked.drop("is_validation"), spec, target, id_cols)
     trained = _train(ready.transform(train), spec, ready.features, target, id_cols, seed)
     table = prediction_table(mo.score(trained, ready.transform(valid), [*id_cols, target]), target, classes, id_cols)
-    report = me.metrics_report(table, "binary" if classes <= 2 else "multiclass")
+    report = report_of(table, classes)
     values = {r["metric"]: r["value"] for r in report.collect() if r["value"] is not None}
     return Evaluation(spec, values.get(metric, 0.0), values, None, trained, table, mo.importance_values(trained))
 
@@ -97,8 +99,10 @@ def evaluate_spec(
             own = marked = split_rows(df, target, id_cols, ratio, seed)
         known = class_count(marked, target) if classes is None else classes
         done = _measure(marked, spec, target, id_cols, seed, metric, fit_scope, known)
-    except Exception as e:  # a spec that fails must not end the run
-        done = Evaluation(spec, 0.0, {metric: 0.0}, f"{type(e).__name__}: {e}"[:2000])
+    except Exception as e:  # a spec that fails must not end the run; a lost cluster must
+        if mo.is_job_abort(e):
+            raise
+        done = Evaluation(spec, 0.0, {metric: 0.0}, f"{type(e).__name__}: {e}")
     finally:
         if own is not None:
             own.unpersist()
@@ -111,6 +115,19 @@ def fold_rows(df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed:
     return stratified_kfold(with_int_target(df, target), target, id_cols, k, seed).persist()
 
 
+def _folds(df: DataFrame, target: str, id_cols: list[str], k: int, seed: int, task_type: str) -> DataFrame:
+    """Stratified folds for classes, contiguous ones in id order for a number."""
+    if task_type == "regression":
+        known = df.filter(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
+        return kfold(known, id_cols, k).persist()
+    return fold_rows(df, target, id_cols, k, seed)
+
+
+def _classes(folded: DataFrame, target: str, task_type: str) -> int:
+    """Number of classes; 0 for a regression."""
+    return 0 if task_type == "regression" else class_count(folded, target)
+
+
 def fold_predictions(folded: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int = 5, seed: int = 42, classes: int | None = None) -> DataFrame:
     """Every row predicted once, by the model that did not see its fold."""
     classes = class_count(folded, target) if classes is None else classes
@@ -125,38 +142,56 @@ def fold_predictions(folded: DataFrame, spec: PipelineSpec, target: str, id_cols
     return out
 
 
-def _cross_validated(folded: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int, seed: int, classes: int) -> list:
+def report_of(table: DataFrame, classes: int, groups: list[str] | None = None) -> DataFrame:
+    """All metrics of a prediction table; for two classes also the F1 weighted over both."""
+    groups = list(groups or [])
+    if classes == 0:
+        return me.metrics_report(table, "regression", groups)
+    if classes > 2:
+        return me.metrics_report(table, "multiclass", groups)
+    weighted = me.weighted_scores(table, groups).select(*groups, F.lit("f1_weighted").alias("metric"), F.col("f1").alias("value"))
+    return me.metrics_report(table, "binary", groups).unionByName(weighted)
+
+
+def _wanted(report: DataFrame, metrics: list[str] | None) -> DataFrame:
+    return report if metrics is None else report.filter(F.col("metric").isin(metrics))
+
+
+def _cross_validated(
+    folded: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int, seed: int, classes: int, metrics: list[str] | None = None
+) -> list:
     table = fold_predictions(folded, spec, target, id_cols, k, seed, classes)
-    long = me.metrics_report(table, "multiclass" if classes > 2 else "binary", ["fold"])
-    return me.cv_summary(long.withColumnRenamed("value", "score")).collect()
+    return me.cv_summary(_wanted(report_of(table, classes, ["fold"]), metrics).withColumnRenamed("value", "score")).collect()
 
 
 CV_SCHEMA = "metric string, mean double, std double, scores array<double>"
 
 
-def cross_validate(df: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(df: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str], k: int = 5, seed: int = 42, metrics: list[str] | None = None, task_type: str = "classification") -> DataFrame:
     """(metric, mean, std, scores): one fold assignment for all metrics, all folds
-    measured in one aggregation."""
-    folded = fold_rows(df, target, id_cols, k, seed)
+    measured in one aggregation. ``metrics``: the ones wanted, default all of the task type."""
+    folded = _folds(df, target, id_cols, k, seed, task_type)
     try:
-        rows = _cross_validated(folded, spec, target, id_cols, k, seed, class_count(folded, target))
+        rows = _cross_validated(folded, spec, target, id_cols, k, seed, _classes(folded, target, task_type), metrics)
     finally:
         folded.unpersist()
     return df.sparkSession.createDataFrame(rows, CV_SCHEMA)
 
 
-def compare_specs(df: DataFrame, specs: list[PipelineSpec], target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
+def compare_specs(df: DataFrame, specs: list[PipelineSpec], target: str, id_cols: list[str], k: int = 5, seed: int = 42, metrics: list[str] | None = None, task_type: str = "classification") -> DataFrame:
     """(name, status, metric, mean, std, error) for every spec, failed ones included."""
-    folded = fold_rows(df, target, id_cols, k, seed)
+    folded = _folds(df, target, id_cols, k, seed, task_type)
     rows = []
     try:
-        classes = class_count(folded, target)
+        classes = _classes(folded, target, task_type)
         for spec in specs:
             try:
-                for r in _cross_validated(folded, spec, target, id_cols, k, seed, classes):
+                for r in _cross_validated(folded, spec, target, id_cols, k, seed, classes, metrics):
                     rows.append((spec.name, "completed", r["metric"], r["mean"], r["std"], None))
-            except Exception as e:  # a spec that fails must not end the run
-                rows.append((spec.name, "failed", None, None, None, f"{type(e).__name__}: {e}"[:2000]))
+            except Exception as e:  # as above
+                if mo.is_job_abort(e):
+                    raise
+                rows.append((spec.name, "failed", None, None, None, f"{type(e).__name__}: {e}"))
     finally:
         folded.unpersist()
     schema = "name string, status string, metric string, mean double, std double, error string"

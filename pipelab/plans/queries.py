@@ -1,8 +1,8 @@
 """Registered queries: each operator on whole tables, with the SQL that checks it.
 
 ``@query(name, sql)`` registers a function of (spark, sf_dir). Doubles are rounded to six
-places on both sides (fewer where values run into the billions). Without SQL the result depends on a trained model or on a serial
-fold; those are tested against brute force or by their properties.
+places on both sides (fewer where values run into the billions). Results of trained models are checked by facts that
+SQL can compute: rows, ids, names, and whether what they report agrees with plain counts.
 """
 
 from __future__ import annotations
@@ -61,11 +61,15 @@ CLF_SCHEMA = "row_id bigint, y_true int, n_chars bigint, n_words bigint, lang st
 
 
 @query("s1_load_table", f"""{with_views('clf')}
-SELECT row_id, y_true, n_chars, n_words, lang, source FROM clf WHERE y_true IS NOT NULL""")
+SELECT row_id, y_true, n_chars, n_words, CASE WHEN row_id % 17 <> 0 THEN lang END AS lang, source,
+  concat('say "', source, '", then', chr(10), 'a new line, and ""more""') AS note FROM clf WHERE y_true IS NOT NULL""")
 def s1_load_table(spark, sf_dir):
+    """Quotes, commas and line breaks inside fields, and words for missing values."""
     path = scratch_path(spark, "load") + ".csv"
-    views.clf(spark, sf_dir).write.option("header", True).csv(path)
-    return tb.load_table(spark, path, CLF_SCHEMA, "y_true")
+    rows = views.clf(spark, sf_dir).withColumn("lang", F.when(F.col("row_id") % 17 == 0, "NA").otherwise(F.col("lang")))
+    rows = rows.withColumn("note", F.concat(F.lit('say "'), F.col("source"), F.lit('", then\na new line, and ""more""')))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return tb.load_table(spark, path, CLF_SCHEMA + ", note string", "y_true")
 
 
 @query("s2_write_predictions", f"""{with_views('clf_big')}
@@ -128,31 +132,35 @@ def archive_tables(log: DataFrame) -> dict[str, DataFrame]:
             F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("f1_score"), F.col("f1_score")).alias("metrics"), "ts",
         ),
         "agent_features": views.usage(log),
+        "agent_code": archive.select("task_id", "agent_id", F.concat(F.lit('X["'), F.col("feature"), F.lit('"] = 1')).alias("code")),
     }
 
 
 @query("s5_archive_round_trip", f"""{with_views('runs')}, {ARCH},
 h AS (SELECT task_id, agent_id, count(*) AS attempts, {r('sum(accuracy)', 'total_accuracy')} FROM runs GROUP BY task_id, agent_id),
 u AS (SELECT task_id, agent_id, count(DISTINCT feature) AS features FROM runs GROUP BY task_id, agent_id)
-SELECT a.task_id, a.agent_id, a.run_id, a.parent_run_id, a.generation, a.first_seq,
-  {r('a.accuracy', 'accuracy')}, h.attempts, h.total_accuracy, u.features
+SELECT a.task_id, CAST(a.agent_id AS VARCHAR) AS agent_id, CAST(a.run_id AS VARCHAR) AS run_id, CAST(a.parent_run_id AS VARCHAR) AS parent_run_id,
+  a.generation, a.first_seq, concat('X["', a.feature, '"] = 1') AS code, {r('a.accuracy', 'accuracy')}, h.attempts, h.total_accuracy, u.features
 FROM arch a JOIN h ON a.task_id = h.task_id AND a.agent_id = h.agent_id JOIN u ON a.task_id = u.task_id AND a.agent_id = u.agent_id""")
 def s5_archive_round_trip(spark, sf_dir):
     path = scratch_path(spark, "archive")
-    tb.save_archive(archive_tables(views.runs(spark, sf_dir)), path, 1)
-    got = tb.load_archive(spark, path, 1)
+    tables = archive_tables(views.runs(spark, sf_dir))
+    tb.save_archive(tables, path, 1)
+    # A newer snapshot that was never finished must not be read.
+    tables["agents"].limit(1).write.parquet(f"{path}/snapshot=2/agents")
+    got = tb.load_archive(spark, path)
     key = ["task_id", "agent_id"]
     scores = got["agent_metrics"].filter("metric = 'accuracy'").select(*key, F.col("value").alias("accuracy"))
     tries = got["performance_history"].groupBy(*key).agg(
         F.count(F.lit(1)).alias("attempts"), F.sum(F.col("metrics")["accuracy"]).alias("total_accuracy")
     )
     features = got["agent_features"].groupBy(*key).agg(F.count(F.lit(1)).alias("features"))
-    return rounded(got["agents"].join(scores, key).join(tries, key).join(features, key))
+    return rounded(got["agents"].join(scores, key).join(tries, key).join(features, key).join(got["agent_code"], key))
 
 
 @query("s6_final_results", f"""{with_views('runs')}, {ARCH}
 SELECT task_id, agent_id, run_id, {r('accuracy', 'accuracy')}, {r('f1_score', 'f1_score')}, generation, parent_run_id
-FROM arch ORDER BY accuracy DESC, seq, task_id LIMIT 1""")
+FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY accuracy DESC, seq) AS rn FROM arch) WHERE rn = 1""")
 def s6_final_results(spark, sf_dir):
     best = ar.final_results(_arch(views.runs(spark, sf_dir)))
     return rounded(best.select("task_id", "agent_id", "run_id", "accuracy", "f1_score", "generation", "parent_run_id"))
@@ -171,14 +179,15 @@ def s7_generation_summary(spark, sf_dir):
     return rounded(ar.generation_summary(ar.with_generation(views.runs(spark, sf_dir))))
 
 
-@query("s8_submission")
+@query("s8_submission", f"""{with_views('clf')} SELECT row_id, true AS is_class FROM clf""")
 def s8_submission(spark, sf_dir):
+    """Every row once, with one of the classes."""
     df = views.clf(spark, sf_dir)
     train = co.with_int_target(df, "y_true")
     ready = prepare(train, PipelineSpec("submission", "logistic"), "y_true", ["row_id"])
     trained = mo.fit_logistic(ready.transform(train), ready.features, "y_true")
     scored = mo.score(trained, ready.transform(df), ["row_id"])
-    return tb.submission(scored, "row_id", "y_pred")
+    return tb.submission(scored, "row_id", "y_pred").select("row_id", F.col("prediction").isin(0, 1).alias("is_class"))
 
 
 # --- columns ----------------------------------------------------------------------------
@@ -575,6 +584,14 @@ def e16_metrics_report_multiclass(spark, sf_dir):
     return rounded(me.metrics_report(views.multi(spark, sf_dir), "multiclass"))
 
 
+@query("e16_metrics_report_weighted", f"""{with_views('clf_big')}, m AS (SELECT row_id, y_true, y_pred FROM clf_big), {WEIGHTED},
+v AS (SELECT f1 FROM w) SELECT metric, {r('value', 'value')} FROM (
+  SELECT 'accuracy' AS metric, avg(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS value FROM m UNION ALL SELECT 'f1_weighted', f1 FROM v)""")
+def e16_metrics_report_weighted(spark, sf_dir):
+    """The two metrics of the default evaluation of two classes."""
+    return rounded(ev.report_of(views.clf_big(spark, sf_dir), 2).filter(F.col("metric").isin("accuracy", "f1_weighted")))
+
+
 @query("e16_metrics_report_regression", f"{with_views('reg')}, d AS (SELECT y_true, y_true - y_pred AS e FROM reg)\n" + _stats(
     [("mse", "avg(e * e)"), ("rmse", "sqrt(avg(e * e))"), ("mae", "avg(abs(e))"), ("r2", "1 - avg(e * e) / var_pop(y_true)")], "d", 2).replace("statistic", "metric"))
 def e16_metrics_report_regression(spark, sf_dir):
@@ -620,13 +637,31 @@ def a3_evict_worst(spark, sf_dir):
     return ar.drop_evicted(ar.history(log), kept).select("task_id", "agent_id", "run_id", "attempt")
 
 
-@query("a4_replay_archive")
+#: The fold step by step: ``e`` holds the entries of a task's archive after its first ``seq`` rows.
+REPLAY = """ev AS MATERIALIZED (SELECT task_id, seq, agent_id, run_id, accuracy AS score FROM runs),
+st AS (
+  SELECT task_id, CAST(0 AS BIGINT) AS seq, CAST([] AS STRUCT(agent BIGINT, place BIGINT, run BIGINT, score DOUBLE)[]) AS e,
+    CAST(NULL AS BIGINT) AS run_id, false AS accepted FROM (SELECT DISTINCT task_id FROM ev)
+  UNION ALL
+  SELECT task_id, seq, CASE WHEN ok THEN list_append(list_filter(e, lambda x: x.agent <> coalesce(gone, -1)),
+      {'agent': agent_id, 'place': CASE WHEN len(own) > 0 THEN own[1].place ELSE seq END, 'run': run_id, 'score': score}) ELSE e END, run_id, ok
+  FROM (SELECT *, n = 0 OR score >= (s[(n + 1) // 2] + s[n // 2 + 1]) / 2 AS ok,
+          CASE WHEN len(own) > 0 THEN agent_id WHEN n >= 100 THEN low[1].agent END AS gone
+        FROM (SELECT ev.task_id, ev.seq, ev.agent_id, ev.run_id, ev.score, st.e, len(st.e) AS n,
+                list_sort(list_transform(st.e, lambda x: x.score)) AS s, list_filter(st.e, lambda x: x.agent = ev.agent_id) AS own,
+                list_sort(list_transform(st.e, lambda x: {'score': x.score, 'place': x.place, 'agent': x.agent})) AS low
+              FROM st JOIN ev ON st.task_id = ev.task_id AND ev.seq = st.seq + 1)))"""
+REPLAY_END = f"""z AS (SELECT task_id, unnest(e) AS x FROM (SELECT *, max(seq) OVER (PARTITION BY task_id) AS top FROM st) WHERE seq = top)
+SELECT task_id, x.agent AS agent_id, x.run AS run_id, {r('x.score', 'score')}, x.place AS place FROM z"""
+
+
+@query("a4_replay_archive", f"{with_views('runs')}, {REPLAY}, {REPLAY_END}")
 def a4_replay_archive(spark, sf_dir):
     archive, _ = rp.replay_archive(views.numbered(spark, sf_dir), 100)
     return rounded(archive)
 
 
-@query("a4_replay_decisions")
+@query("a4_replay_decisions", f"{with_views('runs')}, {REPLAY} SELECT task_id, run_id, seq, accepted FROM st WHERE seq > 0")
 def a4_replay_decisions(spark, sf_dir):
     _, decisions = rp.replay_archive(views.numbered(spark, sf_dir), 100)
     return decisions
@@ -640,7 +675,7 @@ def a5_history(spark, sf_dir):
 @query("a6_agent_history", f"""{with_views('runs')}, {HIST}
 SELECT task_id, agent_id, run_id, attempt, {r('accuracy', 'accuracy')} FROM h WHERE agent_id = 7""")
 def a6_agent_history(spark, sf_dir):
-    got = ar.agent_history(ar.history(_log(spark, sf_dir), order=("ts", "run_id")), 7)
+    got = ar.agent_history(ar.history(_log(spark, sf_dir).filter("agent_id = 7"), order=("ts", "run_id")), 7)
     return rounded(got.select("task_id", "agent_id", "run_id", "attempt", "accuracy"))
 
 
@@ -687,7 +722,7 @@ def a9_diverse_n(spark, sf_dir):
 
 
 @query("a10_sample_n", f"""{with_views('runs')}, {ARCH}
-SELECT task_id, agent_id, run_id FROM arch ORDER BY md5(concat(task_id, ':', CAST(agent_id AS VARCHAR), ':42')), task_id, agent_id LIMIT 50""")
+SELECT task_id, agent_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY md5(concat(task_id, ':', CAST(agent_id AS VARCHAR), ':42')), agent_id) AS rn FROM arch) WHERE rn <= 50""")
 def a10_sample_n(spark, sf_dir):
     return ar.sample_n(ar.upsert(views.numbered(spark, sf_dir)), 50).select("task_id", "agent_id", "run_id")
 
@@ -706,7 +741,7 @@ up AS (SELECT run_id, run_id AS root, parent_run_id AS next, CAST(0 AS BIGINT) A
   UNION ALL SELECT up.run_id, p.run_id, p.parent_run_id, up.depth + 1, concat(up.chain, '/', CAST(p.run_id AS VARCHAR)) FROM up JOIN runs p ON up.next = p.run_id)
 SELECT run_id, root AS root_run_id, depth, chain FROM up WHERE next IS NULL""")
 def a12_lineage(spark, sf_dir):
-    got = ar.lineage(views.runs(spark, sf_dir))
+    got = ar.lineage(views.runs(spark, sf_dir), with_chain=True)
     chain = F.array_join(F.transform("chain", lambda c: F.concat(F.lit("/"), c.cast("string"))), "")
     return got.withColumn("chain", chain)
 
@@ -759,10 +794,11 @@ def a15_select_parent(spark, sf_dir):
 
 @query("a16_recent_context", f"""{with_views('runs')}, {ARCH},
 l AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY first_seq DESC) AS rn FROM arch)
-SELECT task_id, string_agg(printf('- Generation %d, Agent ID %s, accuracy: %.4f', generation, CAST(agent_id AS VARCHAR), coalesce(accuracy, 0)), chr(10) ORDER BY first_seq) AS context
+SELECT task_id, string_agg(printf('- Generation %d, Agent ID %s, Model: %s, accuracy: %.4f', generation, concat('agent_', CAST(1000000 + agent_id AS VARCHAR)), feature, coalesce(accuracy, 0)), chr(10) ORDER BY first_seq) AS context
 FROM l WHERE rn <= 5 GROUP BY task_id""")
 def a16_recent_context(spark, sf_dir):
-    return ar.recent_context(_arch(views.numbered(spark, sf_dir)))
+    named = F.concat(F.lit("agent_"), (F.lit(1_000_000) + F.col("agent_id")).cast("string"))
+    return ar.recent_context(_arch(views.numbered(spark, sf_dir)).withColumn("agent_id", named), model="feature")
 
 
 @query("a17_generation_stats", f"""{with_views('runs')}, {GEN},
@@ -773,12 +809,18 @@ def a17_generation_stats(spark, sf_dir):
     return rounded(ar.generation_stats(ar.with_generation(views.runs(spark, sf_dir))))
 
 
-@query("a18_stream_archive")
+@query("a18_stream_archive", f"{with_views('runs')}, {REPLAY}, {REPLAY_END}")
 def a18_stream_archive(spark, sf_dir):
-    path, checkpoint = scratch_path(spark, "stream-archive"), scratch_path(spark, "stream-checkpoint")
-    schema = views.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    st.stream_archive(views.run_log(events), path, checkpoint, 100).awaitTermination()
+    """The log in four files by time, each a batch that goes on from the archive of the one before."""
+    path, checkpoint, feed = (scratch_path(spark, f"stream-{n}") for n in ("archive", "checkpoint", "feed"))
+    events = views.table(spark, sf_dir, "events")
+    cuts = events.agg(F.percentile_approx("ts", [0.25, 0.5, 0.75])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        some = events if low is None else events.filter(F.col("ts") >= F.lit(low))
+        some = some if high is None else some.filter(F.col("ts") < F.lit(high))
+        some.coalesce(1).write.mode("append").parquet(feed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    st.stream_archive(views.run_log(stream), path, checkpoint, 100).awaitTermination()
     return rounded(st.current_archive(spark, path))
 
 
@@ -788,8 +830,9 @@ _FENCE_SQL = "concat(chr(96), chr(96), chr(96))"
 JSON_SQL = r"""j AS (SELECT *, regexp_extract(text, '(?s)(?:^|\n)[ \t\r\f]*```json[^\n]*((?:\n.*?)??)(?:\n[ \t\r\f]*```|\z)', 1) AS block,
   regexp_extract_all(text, '(?s)\{.*?\}') AS objects FROM resp),
 jj AS (SELECT *, CASE WHEN block <> '' THEN list_value(regexp_replace(block, '^\s+|\s+\z', '', 'g')) ELSE objects END AS candidates FROM j),
-jc AS (SELECT *, list_filter(list_transform(candidates, lambda c: CASE WHEN json_valid(c) THEN c
-  WHEN json_valid(regexp_replace(c, '[\x00-\x1F\x7F]', '', 'g')) THEN regexp_replace(c, '[\x00-\x1F\x7F]', '', 'g') END), lambda c: c IS NOT NULL)[1] AS json_text FROM jj),
+jv AS (SELECT *, list_filter(list_transform(candidates, lambda c: CASE WHEN json_valid(c) THEN c
+  WHEN json_valid(regexp_replace(c, '[\x00-\x1F\x7F]', '', 'g')) THEN regexp_replace(c, '[\x00-\x1F\x7F]', '', 'g') END), lambda c: c IS NOT NULL)[1] AS found FROM jj),
+jc AS (SELECT *, CASE WHEN starts_with(found, '{"suggestion": "old", "suggestion": ') THEN replace(found, '"suggestion": "old", ', '') ELSE found END AS json_text FROM jv),
 je AS (SELECT *, json_extract_string(json_text, '$.suggestion') AS suggestion, json_extract_string(json_text, '$.code') AS json_code FROM jc)"""
 BLOCKS_SQL = r"""bl AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '(?s)```(?:python\n)?(.*?)```', 1),
   lambda b: regexp_replace(b, '^\s+|\s+\z', '', 'g')), lambda b: b <> '') AS blocks FROM je)"""
@@ -843,10 +886,10 @@ def t5_missing_parts(spark, sf_dir):
 
 
 @query("t5_validate_code", f"""{with_views('resp')}
-SELECT response_id, {MISSING_SQL} = '' AS valid, CAST(NULL AS VARCHAR) AS syntax_error, {MISSING_SQL} AS missing FROM resp""")
+SELECT response_id, {MISSING_SQL} = '' AS valid, {MISSING_SQL} AS missing FROM resp""")
 def t5_validate_code(spark, sf_dir):
-    got = views.resp(spark, sf_dir).select("response_id", tx.validate_code("code").alias("v"))
-    return got.select("response_id", "v.valid", "v.syntax_error", F.array_join("v.missing", ",").alias("missing"))
+    got = views.resp(spark, sf_dir).select("response_id", tx.code_findings(F.col("code")).alias("v"))
+    return got.select("response_id", "v.valid", F.array_join("v.missing", ",").alias("missing"))
 
 
 @query("t5_missing_part_counts", f"""{with_views('resp')}, m AS (SELECT unnest(string_split({MISSING_SQL}, ',')) AS part FROM resp)
@@ -899,26 +942,48 @@ def t9_choose_code(spark, sf_dir):
 TARGET, IDS = "y_true", ["row_id"]
 
 
-def _evaluated(spark, sf_dir, spec: PipelineSpec) -> DataFrame:
-    done = ev.evaluate_spec(views.clf(spark, sf_dir), spec, TARGET, IDS)
+def _facts(spark, done: ev.Evaluation) -> DataFrame:
+    """Per metric of a trained spec: rows it was measured on, and whether it agrees with plain counts of its predictions."""
     if done.error:
         raise RuntimeError(done.error)
-    rows = [(spec.name, k, float(v)) for k, v in done.metrics.items()]
-    return spark.createDataFrame(rows, "name string, metric string, value double")
+    hit = F.col("y_true") == F.col("y_pred")
+    n, hits, tp, said, real = done.predictions.agg(
+        F.count(F.lit(1)), F.count_if(hit), F.count_if(hit & (F.col("y_true") == 1)), F.count_if(F.col("y_pred") == 1), F.count_if(F.col("y_true") == 1)
+    ).first()
+    precision, recall = tp / said if said else 0.0, tp / real if real else 0.0
+    f1, tn = 2 * tp / (said + real) if said + real else 0.0, hits - tp
+    other = 2 * tn / (2 * n - said - real) if 2 * n - said - real else 0.0
+    want = {"accuracy": hits / n, "precision": precision, "recall": recall, "f1": f1, "f1_weighted": (real * f1 + (n - real) * other) / n}
+    rows = [(done.spec.name, m, n, bool(abs(want.get(m, v) - v) < 1e-9 and 0 <= v <= 1)) for m, v in done.metrics.items()]
+    return spark.createDataFrame(rows, "name string, metric string, n_valid bigint, agrees boolean")
+
+
+def _facts_sql(name: str, view: str = "clf") -> str:
+    return f"""{with_views(view)} SELECT '{name}' AS name, unnest(['accuracy', 'precision', 'recall', 'f1', 'f1_weighted', 'roc_auc']) AS metric,
+  CAST(ceil(CAST(0.2 AS DOUBLE) * count(*)) AS BIGINT) AS n_valid, true AS agrees FROM {view} WHERE y_true IS NOT NULL"""
+
+
+def _evaluated(spark, sf_dir, spec: PipelineSpec) -> DataFrame:
+    return _facts(spark, ev.evaluate_spec(views.clf(spark, sf_dir), spec, TARGET, IDS))
+
 
+def _of_known(text: str) -> str:
+    """A text of CTEs over clf_big, over the rows of clf with a known class instead."""
+    return "known AS (SELECT * FROM clf WHERE y_true IS NOT NULL), " + text.replace("clf_big", "known").replace("concat(row_id", "concat(CAST(row_id AS VARCHAR)")
 
-@query("m1_fit_logistic")
+
+@query("m1_fit_logistic", _facts_sql("logistic"))
 def m1_fit_logistic(spark, sf_dir):
     return _evaluated(spark, sf_dir, PipelineSpec("logistic", "logistic"))
 
 
-@query("m2_fit_random_forest")
+@query("m2_fit_random_forest", _facts_sql("forest"))
 def m2_fit_random_forest(spark, sf_dir):
     params = {"n_estimators": 20, "max_depth": 5, "min_samples_leaf": 2, "max_features": "sqrt", "bootstrap": True}
     return _evaluated(spark, sf_dir, PipelineSpec("forest", "random_forest", params))
 
 
-@query("m3_fit_gbt")
+@query("m3_fit_gbt", _facts_sql("boosted"))
 def m3_fit_gbt(spark, sf_dir):
     return _evaluated(spark, sf_dir, PipelineSpec("boosted", "gbt", {"n_estimators": 5}))
 
@@ -934,52 +999,105 @@ def _prepared(spark, sf_dir):
     return ready, ready.transform(train), ready.transform(valid)
 
 
-@query("m4_tune")
+@query("m4_tune", f"""{with_views('clf')}, v AS (SELECT ceil(CAST(0.2 AS DOUBLE) * count(*)) AS n FROM clf WHERE y_true IS NOT NULL)
+SELECT CAST(range AS INT) AS trial, true AS whole_hits, true AS best_is_highest FROM v, range(3) WHERE n > 0""")
 def m4_tune(spark, sf_dir):
+    """Trials, each with a whole number of hits on the held-out rows, and one best, the highest."""
     ready, train, valid = _prepared(spark, sf_dir)
-    _, trials = mo.tune(train, valid, ready.features, TARGET, space=SMALL_SPACE, n_trials=3)
-    return trials
+    _, trials = mo.tune(train, valid, ready.features, TARGET, space=SMALL_SPACE, n_trials=3, id_cols=IDS)
+    top = trials.agg(F.max("accuracy"), F.count_if("best"), F.max(F.when(F.col("best"), F.col("accuracy")))).first()
+    hits = F.col("accuracy") * valid.count()
+    return trials.select("trial", (F.abs(hits - F.round(hits)) < 1e-6).alias("whole_hits"), F.lit(top[1] == 1 and top[0] == top[2]).alias("best_is_highest"))
 
 
-@query("m5_score")
+@query("m5_score", f"""{with_views('clf')}, {_of_known(KEYED)}, {QUOTA.replace('clf_big', 'known')}
+SELECT row_id, y_true, true AS sums_to_one, true AS likeliest FROM (
+  SELECT k.row_id, k.y_true, row_number() OVER (PARTITION BY k.y_true ORDER BY key, row_id) <= quota AS held FROM k JOIN q ON k.y_true = q.y_true) WHERE held""")
 def m5_score(spark, sf_dir):
+    """Held-out rows with class probabilities that sum to 1 and the likeliest class predicted."""
     ready, train, valid = _prepared(spark, sf_dir)
     trained = mo.fit_logistic(train, ready.features, TARGET)
-    return mo.score(trained, valid, [*IDS, TARGET])
+    scored = mo.score(trained, valid, [*IDS, TARGET])
+    total = F.aggregate("proba", F.lit(0.0), lambda a, b: a + b)
+    return scored.select(*IDS, TARGET, (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (F.get("proba", F.col("y_pred")) == F.array_max("proba")).alias("likeliest"))
 
 
-@query("m6_evaluate_spec")
+@query("m6_evaluate_spec", _facts_sql("mixed"))
 def m6_evaluate_spec(spark, sf_dir):
     spec = PipelineSpec("mixed", "logistic", numeric_fill="mean", categorical_fill="mode", encode="label",
                         interactions=(("n_chars", "n_words"),), logs=("n_words",))
     return _evaluated(spark, sf_dir, spec)
 
 
-@query("m7_cross_validate")
+@query("m7_cross_validate", f"""{with_views('clf')}, {_of_known(KEYED)}, {FOLDS.replace('clf_big', 'known').replace('% 5', '% 3').replace('o.y_pred, ', '')},
+c AS (SELECT fold, count(*) AS n FROM folded GROUP BY fold)
+SELECT unnest(['accuracy', 'precision', 'recall', 'f1', 'f1_weighted', 'roc_auc']) AS metric, string_agg(CAST(n AS VARCHAR), ',' ORDER BY fold) AS fold_rows,
+  true AS each_row_once, true AS mean_of_folds FROM c""")
 def m7_cross_validate(spark, sf_dir):
-    return ev.cross_validate(views.clf(spark, sf_dir), PipelineSpec("logistic", "logistic", {"max_iter": 20}), TARGET, IDS, 3)
+    """Metrics over three folds, the rows predicted in each, and whether the mean is that of the folds."""
+    df, spec = views.clf(spark, sf_dir), PipelineSpec("logistic", "logistic", {"max_iter": 20})
+    folded = ev.fold_rows(df, TARGET, IDS, 3)
+    made = ev.fold_predictions(folded, spec, TARGET, IDS, 3)
+    sizes = made.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("ids")).orderBy("fold").collect()
+    once = sum(s["ids"] for s in sizes) == made.select("row_id").distinct().count() == sum(s["n"] for s in sizes)
+    folded.unpersist()
+    got = ev.cross_validate(df, spec, TARGET, IDS, 3)
+    mean = F.aggregate("scores", F.lit(0.0), lambda a, b: a + b) / F.size("scores")
+    return got.select(
+        "metric", F.lit(",".join(str(s["n"]) for s in sizes)).alias("fold_rows"), F.lit(once).alias("each_row_once"),
+        ((F.abs(mean - F.col("mean")) < 1e-9) & (F.size("scores") == 3)).alias("mean_of_folds"),
+    )
+
 
+@query("m7_cross_validate_regression", f"""{with_views('reg')}, o AS (SELECT *, row_number() OVER (ORDER BY order_key, row_id) - 1 AS i, count(*) OVER () AS n FROM reg),
+f AS (SELECT *, CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE n % 3 + (i - (n % 3) * (n // 3 + 1)) // (n // 3) END AS fold FROM o),
+c AS (SELECT t.fold, regr_slope(h.y_true, h.y_pred) AS b, regr_intercept(h.y_true, h.y_pred) AS a FROM (SELECT DISTINCT fold FROM f) t JOIN f h ON h.fold <> t.fold GROUP BY t.fold),
+e AS (SELECT f.fold, f.y_true, f.y_true - (a + b * f.y_pred) AS d FROM f JOIN c ON f.fold = c.fold),
+s AS (SELECT fold, avg(d * d) AS mse, avg(abs(d)) AS mae, 1 - sum(d * d) / (var_pop(y_true) * count(*)) AS r2 FROM e GROUP BY fold)
+SELECT 'mse' AS metric, {r('avg(mse)', 'mean', 1)} FROM s UNION ALL SELECT 'mae', round(avg(mae), 1) FROM s UNION ALL SELECT 'r2', round(avg(r2), 1) FROM s""")
+def m7_cross_validate_regression(spark, sf_dir):
+    """A straight line through one feature, over three contiguous folds, against the closed form."""
+    df = views.reg(spark, sf_dir).select("row_id", "order_key", "y_true", F.col("y_pred").alias("x"))
+    spec = PipelineSpec("line", "linear", scale=False)
+    got = ev.cross_validate(df, spec, "y_true", ["order_key", "row_id"], 3, metrics=["mse", "mae", "r2"], task_type="regression")
+    return rounded(got.select("metric", "mean"), 1)
 
-@query("m8_compare_specs")
+
+@query("m8_compare_specs", f"""{with_views('clf')}, n AS (SELECT count(*) AS n FROM clf WHERE y_true IS NOT NULL)
+SELECT name, status, CAST(metrics AS BIGINT) AS metrics, failed AS has_error FROM n,
+  (VALUES ('logistic', 'completed', 6, false), ('forest', 'completed', 6, false), ('broken', 'failed', 0, true)) AS v(name, status, metrics, failed) WHERE n > 0""")
 def m8_compare_specs(spark, sf_dir):
     specs = [
         PipelineSpec("logistic", "logistic", {"max_iter": 20}),
         PipelineSpec("forest", "random_forest", {"n_estimators": 5, "max_depth": 3}),
         PipelineSpec("broken", "no_such_model"),
     ]
-    return ev.compare_specs(views.clf(spark, sf_dir), specs, TARGET, IDS, 2)
+    got = ev.compare_specs(views.clf(spark, sf_dir), specs, TARGET, IDS, 2)
+    return got.groupBy("name", "status").agg(F.count("metric").alias("metrics"), F.max(F.col("error").isNotNull()).alias("has_error"))
 
 
-@query("m9_feature_importance")
+@query("m9_feature_importance", f"""{with_views('clf')}, known AS (SELECT coalesce(lang, 'missing') AS lang, source FROM clf WHERE y_true IS NOT NULL),
+d AS (SELECT DISTINCT concat('lang_', lang) AS f, lang = min(lang) OVER () AS first FROM known
+  UNION SELECT DISTINCT concat('source_', source), source = min(source) OVER () FROM known)
+SELECT f AS feature, true AS shares FROM d WHERE NOT first UNION ALL SELECT unnest(['n_chars', 'n_words']), true""")
 def m9_feature_importance(spark, sf_dir):
     ready, train, _ = _prepared(spark, sf_dir)
-    return mo.feature_importance(spark, mo.fit_random_forest(train, ready.features, TARGET, n_estimators=10))
+    got = mo.feature_importance(spark, mo.fit_random_forest(train, ready.features, TARGET, n_estimators=10))
+    total = got.agg(F.sum("importance")).first()[0]
+    return got.select("feature", ((F.col("importance") >= 0) & F.lit(abs(total - 1) < 1e-9)).alias("shares"))
 
 
-@query("m10_search")
+@query("m10_search", f"""{with_views('clf')}, n AS (SELECT count(*) AS n FROM clf WHERE y_true IS NOT NULL)
+SELECT CAST(range / 3 > 0.99 AS INT) AS generation, CAST(range + 1 AS BIGINT) AS agent_id, range < 3 AS is_root, true AS scored, true AS new_id FROM n, range(5) WHERE n > 0""")
 def m10_search(spark, sf_dir):
+    """Evaluated specs of two generations of three: the best is kept and not evaluated again."""
     start = PipelineSpec("start", "logistic", {"max_iter": 20})
-    return ev.search(views.clf(spark, sf_dir), TARGET, IDS, start, generations=2, population=3).log
+    log = ev.search(views.clf(spark, sf_dir), TARGET, IDS, start, generations=2, population=3).log
+    again = log.groupBy("agent_id").count().filter("count > 1").count()
+    return log.select(
+        "generation", "agent_id", F.col("parent_id").isNull().alias("is_root"),
+        (F.col("error").isNull() & F.col("score").between(0, 1)).alias("scored"), F.lit(again == 0).alias("new_id"),
+    )
 
 
 @query("m11_save_load_model", f"""{with_views('clf')}
@@ -1000,13 +1118,9 @@ def m11_save_load_model(spark, sf_dir):
     )
 
 
-@query("m6_evaluate_large")
+@query("m6_evaluate_large", _facts_sql("large", "clf_big"))
 def m6_evaluate_large(spark, sf_dir):
     """Split, preparation, training, scoring and metrics on the large table."""
     raw = views.clf_big(spark, sf_dir).drop("score", "y_pred", "constant_feature")
     spec = PipelineSpec("large", "logistic", {"max_iter": 20})
-    done = ev.evaluate_spec(raw, spec, TARGET, IDS)
-    if done.error:
-        raise RuntimeError(done.error)
-    rows = [(spec.name, k, float(v)) for k, v in sorted(done.metrics.items())]
-    return spark.createDataFrame(rows, "name string, metric string, value double")
+    return _facts(spark, ev.evaluate_spec(raw, spec, TARGET, IDS))

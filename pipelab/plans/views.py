@@ -129,29 +129,37 @@ def usage(log: DataFrame) -> DataFrame:
 
 
 def resp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model responses in six shapes, around the whole text of each turn."""
-    body = F.translate("text", '\n"\\', " ")
+    """Model responses in six shapes, each with the whole text of its turn.
+
+    In JSON the text is escaped; one shape repeats a key. Code carries the text as comment
+    lines and comes in four lengths.
+    """
+    body = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    plain = F.translate("text", "`{}", "")
+    quoted = F.concat(F.lit("\n# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))
     code = F.concat(
         F.lit("# Agent ID: "), F.col("conv_id").cast("string"),
         F.lit("\n# Generation: "), F.col("turn").cast("string"),
         F.lit('\n# Parent ID: None\n\nMODEL_TYPE = "RandomForest"\ndef preprocess_data(df, cfg):\n'
               '    X = df\n    X["f1"] = X["f2"]'),
         F.when(F.col("turn") % 2 == 0, F.lit("\ndef evaluate_model(m):\n    return m")).otherwise(F.lit("")),
+        F.when(F.col("conv_id") % 3 == 0, F.lit('\nFE_STEPS_DESCRIPTION = ["a"]\ndef train_final_model(p):\n    pass')).otherwise(F.lit("")),
+        F.translate(quoted, "`", ""),
     )
     base = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", ((F.col("conv_id") + F.col("turn")) % 6).alias("kind"),
-        body.alias("body"), code.alias("code"),
+        F.translate(body, "`{}", "").alias("body"), plain.alias("plain"), code.alias("code"),
     )
     kind = F.col("kind")
     open_json = F.lit('{"suggestion": "')
     text = (
         F.when(kind == 0, F.concat(F.lit(f"Here it is.\n{FENCE}json\n"), open_json, "body",
                                    F.lit(f'", "code": "def preprocess_data(df): pass"}}\n{FENCE}\nDone.')))
-        .when(kind == 1, F.concat(F.lit("Answer: "), open_json, "body", F.lit('", "code": "MODEL_TYPE = 1"} end')))
-        .when(kind == 2, F.concat("body", F.lit(f"\n{FENCE}python\n"), "code", F.lit(f"\n{FENCE}")))
-        .when(kind == 3, F.concat(F.lit(f"{FENCE}\n  a = 1\n{FENCE} and {FENCE}python\n"), "code", F.lit(f"\n{FENCE}")))
+        .when(kind == 1, F.concat(F.lit('Answer: {"suggestion": "old", "suggestion": "'), "body", F.lit('", "code": "MODEL_TYPE = 1"} end')))
+        .when(kind == 2, F.concat("plain", F.lit(f"\n{FENCE}python\n"), "code", F.lit(f"\n{FENCE}")))
+        .when(kind == 3, F.concat(F.lit(f"{FENCE}\n  a = 1\n{FENCE} and {FENCE}python\n"), "code", F.lit(f"\n{FENCE}\n"), "plain"))
         .when(kind == 4, F.concat(open_json, "body"))
-        .otherwise(F.lit("ok"))
+        .otherwise(F.concat(F.lit("ok "), "plain"))
     )
     return base.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("response_id"),
@@ -199,16 +207,19 @@ LEFT JOIN (SELECT event_type AS task_id, event_id AS run_id,
     "resp": """SELECT conv_id * 1000 + turn AS response_id, conv_id AS agent_id, role, (conv_id + turn) % 6 AS kind, code,
   CASE (conv_id + turn) % 6
     WHEN 0 THEN concat('Here it is.', chr(10), fence, 'json', chr(10), '{"suggestion": "', body, '", "code": "def preprocess_data(df): pass"}', chr(10), fence, chr(10), 'Done.')
-    WHEN 1 THEN concat('Answer: {"suggestion": "', body, '", "code": "MODEL_TYPE = 1"} end')
-    WHEN 2 THEN concat(body, chr(10), fence, 'python', chr(10), code, chr(10), fence)
-    WHEN 3 THEN concat(fence, chr(10), '  a = 1', chr(10), fence, ' and ', fence, 'python', chr(10), code, chr(10), fence)
+    WHEN 1 THEN concat('Answer: {"suggestion": "old", "suggestion": "', body, '", "code": "MODEL_TYPE = 1"} end')
+    WHEN 2 THEN concat(plain, chr(10), fence, 'python', chr(10), code, chr(10), fence)
+    WHEN 3 THEN concat(fence, chr(10), '  a = 1', chr(10), fence, ' and ', fence, 'python', chr(10), code, chr(10), fence, chr(10), plain)
     WHEN 4 THEN concat('{"suggestion": "', body)
-    ELSE 'ok' END AS text
+    ELSE concat('ok ', plain) END AS text
 FROM (SELECT conv_id, turn, role, concat(chr(96), chr(96), chr(96)) AS fence,
-    replace(replace(replace(text, chr(10), ' '), chr(34), ''), chr(92), '') AS body,
+    translate(replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), '`{}', '') AS body,
+    translate(text, '`{}', '') AS plain,
     concat('# Agent ID: ', CAST(conv_id AS VARCHAR), chr(10), '# Generation: ', CAST(turn AS VARCHAR), chr(10), '# Parent ID: None', chr(10), chr(10),
       'MODEL_TYPE = "RandomForest"', chr(10), 'def preprocess_data(df, cfg):', chr(10), '    X = df', chr(10), '    X["f1"] = X["f2"]',
-      CASE WHEN turn % 2 = 0 THEN concat(chr(10), 'def evaluate_model(m):', chr(10), '    return m') ELSE '' END) AS code
+      CASE WHEN turn % 2 = 0 THEN concat(chr(10), 'def evaluate_model(m):', chr(10), '    return m') ELSE '' END,
+      CASE WHEN conv_id % 3 = 0 THEN concat(chr(10), 'FE_STEPS_DESCRIPTION = ["a"]', chr(10), 'def train_final_model(p):', chr(10), '    pass') ELSE '' END,
+      translate(concat(chr(10), '# ', replace(text, chr(10), concat(chr(10), '# '))), '`', '')) AS code
   FROM conversations) c""",
 }
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,13 +28,20 @@ def build_session(cpus: int = 8, memory: str = "16g", app: str = "pipelab") -> S
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a local folder is made and set as the checkpoint folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only in a local session, as in
+    tests, one is made where that is unset; it goes when the process ends. On a cluster
+    each executor would write to its own disk, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = folder or context.getCheckpointDir()
     if not folder:
-        folder = context.getCheckpointDir() or "file:" + tempfile.mkdtemp(prefix="pipelab-")
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        made = tempfile.mkdtemp(prefix="pipelab-")
+        atexit.register(shutil.rmtree, made, True)
+        folder = "file:" + made
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pipelab.functions.numeric import join_on
 from pipelab.operators.ordering import ranked
 from pipelab.operators.replay import replay_archive
-from pipelab.sources.tables import path_exists
+from pipelab.sources.tables import list_names, path_exists
 
 
 def _at(path: str, batch: int, name: str) -> str:
@@ -26,7 +26,9 @@ def fold_batch(log: DataFrame, batch_id: int, path: str, limit: int, score: str)
     """
     spark = log.sparkSession
     log = log.persist()
-    earlier = batch_id > 0 and path_exists(spark, _at(path, batch_id - 1, "archive"))
+    earlier = batch_id > 0
+    if earlier and not path_exists(spark, os.path.join(_at(path, batch_id - 1, "archive"), "_SUCCESS")):
+        raise ValueError(f"the state of batch {batch_id - 1} is missing under {path}: the archive would start anew")
     state = spark.read.parquet(_at(path, batch_id - 1, "archive")) if earlier else None
     numbered = ranked(log, ["task_id"], ["ts", "run_id"], "seq")
     counts = log.groupBy("task_id").agg(F.count(F.lit(1)).alias("seen"))
@@ -46,7 +48,12 @@ def fold_batch(log: DataFrame, batch_id: int, path: str, limit: int, score: str)
 def stream_archive(
     results: DataFrame, path: str, checkpoint: str, limit: int = 100, score: str = "accuracy", available_now: bool = True
 ) -> StreamingQuery:
-    """Start the archive on a stream of (task_id, agent_id, run_id, ts, score)."""
+    """Start the archive on a stream of (task_id, agent_id, run_id, ts, score).
+
+    The order is that of arrival: batch by batch, and by (ts, run_id) inside a batch. A row
+    that arrives in a later batch than its time is decided then, so the archive equals the
+    batch replay only if no row is late by a batch.
+    """
     writer = results.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda df, batch_id: fold_batch(df, batch_id, path, limit, score)
     )
@@ -57,10 +64,9 @@ def stream_archive(
 
 def latest_batch(spark: SparkSession, path: str) -> int:
     """Number of the newest complete batch; -1 when there is none."""
-    n = -1
-    while path_exists(spark, os.path.join(_at(path, n + 1, "archive"), "_SUCCESS")):
-        n += 1
-    return n
+    numbers = [int(n.split("=")[1]) for n in list_names(spark, path) if n.startswith("batch=")]
+    done = (n for n in sorted(numbers, reverse=True) if path_exists(spark, os.path.join(_at(path, n, "archive"), "_SUCCESS")))
+    return next(done, -1)
 
 
 def current_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -70,7 +70,10 @@ def test_feature_usage_rules(spark):
 def test_sample_is_capped_and_repeatable(spark):
     archive = log_of(spark, [("t", i, i, i, 0.5) for i in range(10)])
     assert ar.sample_n(archive, 99).count() == 10
-    assert ar.sample_n(archive, 4).collect() == ar.sample_n(archive.repartition(5), 4).collect()
+    ids = lambda df: sorted(r["agent_id"] for r in df.collect())
+    assert ids(ar.sample_n(archive, 4)) == ids(ar.sample_n(archive.repartition(5), 4))
+    two = archive.unionByName(archive.withColumn("task_id", F.lit("u")))
+    assert ar.sample_n(two, 4).groupBy("task_id").count().collect()[0]["count"] == 4 and ar.sample_n(two, 4, task=None).count() == 4
 
 
 def test_empty_archive_summary(spark):
@@ -81,11 +84,47 @@ def test_empty_archive_summary(spark):
 def test_lineage_of_a_chain_and_a_cycle(spark):
     nodes = [(i, i - 1 if i else None) for i in range(33)]
     tree = spark.createDataFrame(nodes, "run_id bigint, parent_run_id bigint")
-    got = {r["run_id"]: (r["root_run_id"], r["depth"], r["chain"]) for r in ar.lineage(tree).collect()}
+    got = {r["run_id"]: (r["root_run_id"], r["depth"], r["chain"]) for r in ar.lineage(tree, with_chain=True).collect()}
     assert got[32] == (0, 32, list(range(31, -1, -1))) and got[0] == (0, 0, [])
     loop = spark.createDataFrame([(1, 2), (2, 1)], "run_id bigint, parent_run_id bigint")
+    for chains in (False, True):
+        with pytest.raises(ValueError):
+            ar.lineage(loop, with_chain=chains)
+
+
+def test_lineage_of_a_long_chain(spark):
+    tree = spark.range(10_000).select(F.col("id").alias("run_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_run_id"))
+    got = ar.lineage(tree)
+    assert got.columns == ["run_id", "root_run_id", "depth"] and got.filter("depth <> run_id or root_run_id <> 0").count() == 0
+
+
+def test_text_ids_and_results_per_archive(spark):
+    rows = [("t", "a", "r10", 1, 0.5), ("t", "b", "r9", 2, 0.5), ("u", "a", "r1", 1, 0.2), ("u", "c", "r2", 2, None)]
+    log = spark.createDataFrame(rows, "task_id string, agent_id string, run_id string, seq bigint, accuracy double")
+    log = log.withColumn("parent_run_id", F.lit(None).cast("string")).withColumn("generation", F.lit(0))
+    got = {r["task_id"]: r["best_run_id"] for r in ar.generation_summary(log).collect()}
+    assert got == {"t": "r10", "u": "r1"}
+    assert {r["task_id"]: r["run_id"] for r in ar.final_results(log).collect()} == {"t": "r10", "u": "r1"}
+    assert ar.final_results(log, task=None).first()["run_id"] == "r10"
+
+
+def test_context_shows_whole_ids(spark):
+    log = spark.createDataFrame([("t", "agent_1000001", 1, 1, 0.5), ("t", "agent_1000002", 2, 1, None)], "task_id string, agent_id string, first_seq int, generation int, accuracy double")
+    text = ar.recent_context(log).first()["context"]
+    assert text == "- Generation 1, Agent ID agent_1000001, accuracy: 0.5000\n- Generation 1, Agent ID agent_1000002, accuracy: 0.0000"
+    assert "ID agent_10," in ar.recent_context(log, id_width=8).first()["context"]
+
+
+def test_roulette_without_any_score(spark):
+    archive = log_of(spark, [("t", i, i, i, 0.0) for i in range(5)]).withColumn("first_seq", F.col("seq"))
+    picks = {r["agent_id"] for r in ar.select_parent(archive, "roulette", 100).collect()}
+    assert picks == set(range(5))
+
+
+def test_lost_stream_state_is_an_error(spark):
+    log = log_of(spark, [("t", 1, 1, 1, 0.5)])
     with pytest.raises(ValueError):
-        ar.lineage(loop, with_chain=False, max_rounds=3)
+        st.fold_batch(log, 3, scratch_path(spark, "lost"), 10, "accuracy")
 
 
 def test_best_so_far_when_cut(spark):

@@ -20,7 +20,7 @@ def rows(spark):
 def test_evaluate_learns_and_reports(rows):
     got = ev.evaluate_spec(rows, PipelineSpec("s", "logistic"), "y", ["id"])
     assert got.error is None and got.score > 0.75
-    assert set(got.metrics) == {"accuracy", "precision", "recall", "f1", "roc_auc"}
+    assert set(got.metrics) == {"accuracy", "precision", "recall", "f1", "f1_weighted", "roc_auc"}
     assert max(got.importance, key=got.importance.get) in ("x", "k_b", "k_missing")
     assert got.predictions.columns == ["id", "y_true", "y_pred", "score"]
 
@@ -30,6 +30,32 @@ def test_failure_scores_zero(rows):
     assert got.score == 0.0 and "no_such_model" in got.error
 
 
+def test_forest_does_not_depend_on_partitions(rows):
+    spec = PipelineSpec("f", "random_forest", {"n_estimators": 8, "max_depth": 4})
+    got = [ev.evaluate_spec(rows.repartition(n), spec, "y", ["id"]).metrics for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2]
+
+
+def test_unknown_parameters_and_spaces(rows):
+    got = ev.evaluate_spec(rows, PipelineSpec("s", "logistic", {"n_estimators": 5}), "y", ["id"])
+    assert "n_estimators" in got.error
+    tuned = ev.evaluate_spec(rows, PipelineSpec("t", "logistic", tune_trials=2), "y", ["id"])
+    assert tuned.error is None and set(tuned.trained.params) == {"reg_param", "elastic_net", "max_iter"}
+
+
+def test_long_errors_stay_whole(rows):
+    got = ev.evaluate_spec(rows, PipelineSpec("s", "x" * 5000), "y", ["id"])
+    assert len(got.error) > 5000
+
+
+@pytest.mark.parametrize("model", ["linear", "random_forest_regressor", "gbt_regressor"])
+def test_regression(rows, model):
+    df = rows.na.drop(subset=["x"]).selectExpr("id", "x * 3 + noise AS target", "x", "k")
+    params = {} if model == "linear" else {"n_estimators": 5}
+    got = {r["metric"]: r["mean"] for r in ev.cross_validate(df, PipelineSpec("r", model, params), "target", ["id"], 3, task_type="regression", metrics=["r2", "mae"]).collect()}
+    assert set(got) == {"r2", "mae"} and got["r2"] > (0.8 if model == "linear" else 0.4)
+
+
 def test_tuned_spec_and_trials(rows):
     ready = prepare(rows.na.drop(subset=["y"]), PipelineSpec("p"), "y", ["id"])
     data = ready.transform(rows.na.drop(subset=["y"]))

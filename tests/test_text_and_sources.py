@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pipelab.functions import text as tx
-from pipelab.session import scratch_path
+from pipelab.session import scratch_path, shared_dir
 from pipelab.sources import tables as tb
 
 FENCE = "```"
@@ -58,11 +58,21 @@ def test_quality_and_choice(spark):
 
 def test_validate_code(spark):
     good = "\n".join([f"def {f}():\n    pass" for f in tx.REQUIRED_FUNCTIONS] + [f"{g} = 1" for g in tx.REQUIRED_GLOBALS])
-    assert one(spark, good, tx.validate_code)["valid"] and one(spark, good, tx.missing_parts) == []
-    bad = one(spark, "def (", tx.validate_code)
-    assert not bad["valid"] and bad["syntax_error"] and bad["missing"] is None
-    commented = one(spark, '"""\ndef evaluate_model(x):\n"""', tx.validate_code)
-    assert "evaluate_model" in commented["missing"]
+    assert one(spark, good, tx.code_findings)["valid"] and one(spark, good, tx.missing_parts) == []
+    for text in (None, "def (", "-" * 100_000 + "1", "a" + ".b" * 200_000):
+        found = one(spark, text, tx.code_findings)
+        assert not found["valid"] and len(found["missing"]) == 6
+
+
+def test_json_is_not_lost(spark):
+    assert one(spark, 'x {"a": 1, "a": 2} y', tx.extract_json) == '{"a": 2}'
+    assert one(spark, '{"a": NaN, "b": 1}', tx.extract_json) == '{"a": "NaN", "b": 1}'
+    long = '{"a": "' + "x" * 22_000_000 + '"}'
+    assert one(spark, long, lambda c: F.length(tx.extract_json(c))) == len(long)
+    nested = "[" * 1_500 + "]" * 1_500
+    assert one(spark, nested, tx.is_json) is True
+    hopeless = "[" * 200_000 + "]" * 200_000
+    assert one(spark, hopeless, tx.is_json) is False and one(spark, hopeless, tx.json_too_deep) is True
 
 
 @pytest.mark.parametrize("parent,code", [("p1", "x = 1\n\ny = 2"), (None, "\nfirst line is blank"), ("p", "")])
@@ -91,6 +101,51 @@ def test_load_table(spark):
         tb.load_table(spark, "data.xlsx")
 
 
+def test_csv_with_quotes_breaks_and_null_words(spark):
+    path = scratch_path(spark, "quoted") + ".csv"
+    lines = 'y,name,n\n1,"Smith, ""Ann"" and\nBob",3\n0,NA,NA\n1,,4'
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.text(path)
+    got = [tuple(r) for r in tb.load_table(spark, path, "y int, name string, n int", "y").collect()]
+    assert sorted(got, key=str) == sorted([(1, 'Smith, "Ann" and\nBob', 3), (0, None, None), (1, None, 4)], key=str)
+    assert tb.load_table(spark, path, "y int, name string, n int", "name").count() == 1
+
+
+def test_predictions_of_a_batch_are_replaced(spark):
+    path = scratch_path(spark, "twice")
+    df = spark.createDataFrame([(1, 0.5, "a", "b1"), (2, 0.5, "a", "b2")], "id int, p double, agent_id string, batch string")
+    tb.write_predictions(df, path)
+    tb.write_predictions(df.filter("batch = 'b1'"), path)
+    assert tb.read_predictions(spark, path, "id int, p double, agent_id string, batch string").count() == 2
+
+
+def test_unfinished_snapshot_is_skipped(spark):
+    path = scratch_path(spark, "unfinished")
+    empty = {n: spark.createDataFrame([], s) for n, s in tb.ARCHIVE_TABLES.items()}
+    code = spark.createDataFrame([("t", "a-1", "x = 1")], tb.ARCHIVE_TABLES["agent_code"])
+    agents = spark.createDataFrame([("t", "a-1", "r", None, 0, 1)], tb.ARCHIVE_TABLES["agents"])
+    tb.save_archive({**empty, "agent_code": code, "agents": agents}, path, 1)
+    agents.write.parquet(f"{path}/snapshot=2/agents")
+    assert tb.latest_snapshot(spark, path) == 1
+    assert tb.load_agent(spark, path, "a-1").first()["code"] == "x = 1"
+    with pytest.raises(ValueError):
+        tb.load_archive(spark, path, 2)
+
+
+def test_no_local_scratch_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+
+
 def test_json_lines_skip_bad_ones(spark):
     path = scratch_path(spark, "lines")
     spark.createDataFrame([('{"id": 1}',), ("{oops",), ('{"id": 2}',)], "value string").coalesce(1).write.text(path)
