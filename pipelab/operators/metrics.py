@@ -6,20 +6,12 @@ sets is scored in one aggregation. Counts are reduced map-side before any shuffl
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pipelab.functions.numeric import join_on, ratio, ratio_or_zero
 from pipelab.operators.ordering import preceding
-
-# Cut points for scores, even on the log-odds scale between 0 and 1 and on the log scale
-# beyond: scores spread over many ranges however close to 0 or 1 a model pushes them.
-_INSIDE = [1.0 / (1.0 + math.exp(-x / 16.0)) for x in range(-400, 401)]
-_BEYOND = [1.1**x for x in range(0, 200)]
-SCORE_SPLITS = sorted({s * v for v in _INSIDE + _BEYOND for s in (-1.0, 1.0)} | {0.0})
-
+from pipelab.session import cut_lineage
 
 def confusion(df: DataFrame, groups: list[str] | None = None, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """Row counts by true and predicted class: (groups..., y_true, y_pred, n)."""
@@ -89,23 +81,24 @@ def weighted_scores(df: DataFrame, groups: list[str] | None = None, y_true: str
     return _weighted_from_counts(confusion(df, groups, y_true, y_pred), list(groups or []))
 
 
-def _auc_parts(counts: DataFrame, keys: list[str], pos: Column, splits: list[float] | None) -> DataFrame:
+def _auc_parts(counts: DataFrame, keys: list[str], pos: Column) -> DataFrame:
     """Adds, per score, twice the positives above it plus those tied with it."""
-    per_score = counts.groupBy(*keys, "score").agg(F.sum(pos).alias("pos"))
-    placed = preceding(per_score, keys, ["score"], {"pos_below": ("sum", F.col("pos"))}, splits=splits)
+    per_score = cut_lineage(counts.groupBy(*keys, "score").agg(F.sum(pos).alias("pos")))
+    placed = preceding(per_score, keys, ["score"], {"pos_below": ("sum", F.col("pos"))})
     totals = per_score.groupBy(*keys).agg(F.sum("pos").alias("pos_all"))
     above = 2 * (F.col("pos_all") - F.col("pos_below")) - F.col("pos")
     return join_on(placed, totals, keys, null_safe=True).select(*keys, "score", "pos_all", above.alias("twice_above"))
 
 
-def _binary_auc(counts: DataFrame, groups: list[str], positive, splits: list[float] | None) -> DataFrame:
-    """AUC from (groups..., y_true, score, n): ties count half."""
+def _binary_auc(counts: DataFrame, groups: list[str], positive) -> DataFrame:
+    """AUC from (groups..., y_true, score, n): ties count half; rows without class or score are left out."""
+    counts = counts.filter(F.col("y_true").isNotNull() & F.col("score").isNotNull())
     is_pos = F.col("y_true") == F.lit(positive)
-    per_score = counts.groupBy(*groups, "score").agg(
+    per_score = cut_lineage(counts.groupBy(*groups, "score").agg(
         F.sum(F.when(is_pos, F.col("n")).otherwise(0)).alias("pos"),
         F.sum(F.when(is_pos, 0).otherwise(F.col("n"))).alias("neg"),
-    )
-    placed = preceding(per_score, groups, ["score"], {"neg_below": ("sum", F.col("neg"))}, splits=splits)
+    ))  # read for the sizes and again for the prefix
+    placed = preceding(per_score, groups, ["score"], {"neg_below": ("sum", F.col("neg"))})
     won = F.col("pos").cast("double") * (2 * F.col("neg_below") + F.col("neg")).cast("double")
     pairs = 2.0 * F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return placed.groupBy(*groups).agg(ratio(F.sum(won), pairs).alias("roc_auc"))
@@ -113,12 +106,11 @@ def _binary_auc(counts: DataFrame, groups: list[str], positive, splits: list[flo
 
 def roc_auc(
     df: DataFrame, groups: list[str] | None = None, positive=1, y_true: str = "y_true", score: str = "score",
-    splits: list[float] | None = SCORE_SPLITS,
 ) -> DataFrame:
     """Exact area under the ROC curve; null when a group has one class only."""
     groups = list(groups or [])
     counts = df.groupBy(*groups, F.col(y_true).alias("y_true"), F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    return _binary_auc(counts, groups, positive, splits)
+    return _binary_auc(counts, groups, positive)
 
 
 def explode_proba(df: DataFrame, proba: str, classes: list, keep: list[str]) -> DataFrame:
@@ -129,18 +121,19 @@ def explode_proba(df: DataFrame, proba: str, classes: list, keep: list[str]) ->
     ).drop("__i")
 
 
-def _class_pair_auc(df: DataFrame, groups: list[str], y_true: str, cls: str, score: str, splits) -> DataFrame:
+def _class_pair_auc(df: DataFrame, groups: list[str], y_true: str, cls: str, score: str) -> DataFrame:
     """Directed AUC for every (class, other true class), with their row counts.
 
     Positives of a class are ranked once; each negative then finds how many are above
     it, so no row is copied per pair.
     """
-    counts = df.groupBy(*groups, F.col(cls).alias("cls"), F.col(y_true).alias("y_true"), F.col(score).alias("score")).agg(
+    known = df.filter(F.col(y_true).isNotNull() & F.col(score).isNotNull())  # the others are left out
+    counts = known.groupBy(*groups, F.col(cls).alias("cls"), F.col(y_true).alias("y_true"), F.col(score).alias("score")).agg(
         F.count(F.lit(1)).alias("n")
     )
     keys = [*groups, "cls"]
     own = F.when(F.col("y_true") == F.col("cls"), F.col("n")).otherwise(0)
-    above = _auc_parts(counts, keys, own, splits)
+    above = _auc_parts(counts, keys, own)
     negatives = join_on(counts, above, [*keys, "score"], null_safe=True).filter("y_true <> cls")
     return negatives.groupBy(*keys, F.col("y_true").alias("other")).agg(
         F.max("pos_all").alias("pos"),
@@ -151,11 +144,10 @@ def _class_pair_auc(df: DataFrame, groups: list[str], y_true: str, cls: str, sco
 
 def roc_auc_ovr(
     df: DataFrame, groups: list[str] | None = None, y_true: str = "y_true", cls: str = "cls", score: str = "score",
-    splits: list[float] | None = SCORE_SPLITS,
 ) -> DataFrame:
     """One-vs-rest AUC weighted by class share; input has one row per (row, class)."""
     groups = list(groups or [])
-    pairs = _class_pair_auc(df, groups, y_true, cls, score, splits)
+    pairs = _class_pair_auc(df, groups, y_true, cls, score)
     per_class = pairs.groupBy(*groups, "cls").agg(
         F.max("pos").alias("pos"), ratio(F.sum("won"), 2.0 * F.max("pos") * F.sum("neg")).alias("auc")
     )
@@ -164,11 +156,10 @@ def roc_auc_ovr(
 
 def roc_auc_ovo(
     df: DataFrame, groups: list[str] | None = None, y_true: str = "y_true", cls: str = "cls", score: str = "score",
-    splits: list[float] | None = SCORE_SPLITS,
 ) -> DataFrame:
     """One-vs-one AUC: mean of both directions per class pair, weighted by the pair's rows."""
     groups = list(groups or [])
-    pairs = _class_pair_auc(df, groups, y_true, cls, score, splits)
+    pairs = _class_pair_auc(df, groups, y_true, cls, score)
     per_pair = (
         pairs.withColumn("a", F.least("cls", "other"))
         .withColumn("b", F.greatest("cls", "other"))
@@ -229,11 +220,11 @@ def metrics_report(
         if score is None:
             base = df.groupBy(*groups, *cells).agg(F.count(F.lit(1)).alias("n"))
         else:
-            base = df.groupBy(*groups, *cells, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+            base = cut_lineage(df.groupBy(*groups, *cells, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("n")))
         report = to_long(_binary_from_counts(base, groups, positive), groups, ["accuracy", "precision", "recall", "f1"])
         if score is None:
             return report
-        return report.unionByName(to_long(_binary_auc(base, groups, positive, SCORE_SPLITS), groups, ["roc_auc"]))
+        return report.unionByName(to_long(_binary_auc(base, groups, positive), groups, ["roc_auc"]))
     if task_type != "multiclass":
         raise ValueError(f"unknown task type: {task_type}")
     own_row = df.filter(F.col(cls) == F.col(y_true))

@@ -1,8 +1,9 @@
 """Exact ranks, prefix aggregates and quantiles that stay distributed.
 
-A window over one hot group runs in one task. Here a hot group is cut into value
-ranges: the ranges are aggregated first, a prefix over the few range totals gives
-every range its start value, and the row-level window runs inside one range.
+A window over one hot group runs in one task. Where a group is large the rows are
+range-partitioned by group and order instead, so that every range holds a bounded number of
+rows whatever the keys look like; the few range totals are prefixed, and the row-level window
+runs inside one range.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelab.functions.numeric import SMALL_ROWS, join_on, numeric_sort_key
+from pipelab.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 MAX_BUCKETS = 4096
-MAX_HOT_GROUPS = 10_000
 
-_BUCKET = "__bucket"
+_PART = "__part"
 
 
 def with_bucket(df: DataFrame, column: str, splits: list[float], out: str) -> DataFrame:
@@ -44,84 +45,69 @@ def range_splits(df: DataFrame, column: str, buckets: int) -> list[float]:
     return sorted(set(points))
 
 
-def _mark_hot(df: DataFrame, groups: list[str], lead: str, hot_rows: int):
-    """Rows flagged by hot group, split points for them and a bound on (group, range) pairs.
-
-    None when no group is hot.
-    """
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-    if not total or largest <= hot_rows:
-        return None
-    limit = max(hot_rows, total // MAX_HOT_GROUPS)
-    hot = sizes.filter(F.col("n") > limit)
-    rows = hot.collect()  # at most MAX_HOT_GROUPS groups can exceed the limit
-    if not rows:
-        return None
-    if groups:
-        local = df.sparkSession.createDataFrame(rows, hot.schema).select(*groups, F.lit(True).alias("__hot"))
-        marked = join_on(df, F.broadcast(local), groups, "left", null_safe=True).withColumn("__hot", F.coalesce("__hot", F.lit(False)))
-    else:
-        marked = df.withColumn("__hot", F.lit(True))
-    hot_total = sum(r["n"] for r in rows)
-    splits = range_splits(marked.filter("__hot"), lead, -(-2 * hot_total // hot_rows))
-    return marked, splits, len(rows) * (len(splits) + 1)
-
-
 def _aggregate(kind: str, column: Column) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
     return {"sum": F.sum, "max": F.max}[kind](column)
 
 
+def into_ranges(df: DataFrame, groups: list[str], order: list[str], total: int, most: int) -> DataFrame:
+    """Rows in ranges of (groups, order), numbered in ``__part``, none above ``most`` rows.
+
+    All order columns count, at their full width. Cut points come from a sample; while a range
+    is still too large the rows are cut finer. The result is checkpointed, so that the number
+    of a row's range is fixed.
+    """
+    keys = [F.col(f"`{c}`") for c in (*groups, *order)]
+    parts = -(-2 * total // most)
+    while True:
+        placed = cut_lineage(df.repartitionByRange(parts, *keys).withColumn(_PART, F.spark_partition_id()))
+        largest = placed.groupBy(_PART).count().agg(F.max("count")).first()[0]
+        if largest <= most or parts >= total:
+            return placed
+        parts = min(total, 2 * parts)
+
+
 def preceding(
     df: DataFrame,
     groups: list[str],
     order: list[str],
     aggs: dict[str, tuple[str, Column | None]],
-    splits: list[float] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Aggregates over the rows of the same group that come earlier in ``order``.
 
     ``aggs`` maps an output name to ``(kind, column)``, kind one of count, sum, max.
     Sums and counts start at 0, a maximum starts at null. ``order`` must be total.
-    With ``splits`` every group is cut at these points and nothing runs up front;
-    otherwise only groups above ``hot_rows`` are cut, at points taken from the data.
     """
-    marked = None
-    if splits is None:
-        marked = _mark_hot(df, groups, order[0], hot_rows)
-        if marked is None:
-            w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-            out = df
-            for name, (kind, column) in aggs.items():
-                value = _aggregate(kind, column).over(w)
-                out = out.withColumn(name, value if kind == "max" else F.coalesce(value, F.lit(0)))
-            return out
-        keyed, splits, pairs = marked
-        keyed = with_bucket(keyed, order[0], splits, _BUCKET)
-        keyed = keyed.withColumn(_BUCKET, F.when(F.col("__hot"), F.col(_BUCKET)).otherwise(F.lit(-1.0)))
-    else:
-        keyed, pairs = with_bucket(df, order[0], splits, _BUCKET), None
-
-    cut = keyed if marked is None else keyed.filter("__hot")
-    totals = cut.groupBy(*groups, _BUCKET).agg(
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    if not total or largest <= hot_rows:
+        w = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = df
+        for name, (kind, column) in aggs.items():
+            value = _aggregate(kind, column).over(w)
+            out = out.withColumn(name, value if kind == "max" else F.coalesce(value, F.lit(0)))
+        return out
+
+    placed = into_ranges(df, groups, order, total, hot_rows)
+    totals = placed.groupBy(*groups, _PART).agg(
         *[_aggregate(kind, column).alias(f"__t_{name}") for name, (kind, column) in aggs.items()]
     )
-    over_buckets = Window.partitionBy(*groups).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *groups,
-        _BUCKET,
+    whole = Window.partitionBy(*groups)
+    earlier = whole.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    # Only groups that lie in several ranges need a start; these are two rows a range at most.
+    starts = totals.withColumn("__parts", F.count(F.lit(1)).over(whole)).select(
+        *groups, _PART, "__parts",
         *[
-            (F.max if kind == "max" else F.sum)(f"__t_{name}").over(over_buckets).alias(f"__s_{name}")
+            (F.max if kind == "max" else F.sum)(f"__t_{name}").over(earlier).alias(f"__s_{name}")
             for name, (kind, _) in aggs.items()
         ],
-    )
-    if pairs is not None and pairs <= SMALL_ROWS:
+    ).filter("__parts > 1").drop("__parts")
+    if starts.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
         starts = F.broadcast(starts)
-    joined = join_on(keyed, starts, [*groups, _BUCKET], "left", null_safe=True)
-    inside = Window.partitionBy(*groups, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = join_on(placed, starts, [*groups, _PART], "left", null_safe=True)
+    inside = Window.partitionBy(*groups, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for name, (kind, column) in aggs.items():
         local, start = _aggregate(kind, column).over(inside), F.col(f"__s_{name}")
@@ -129,7 +115,7 @@ def preceding(
             out = out.withColumn(name, F.greatest(local, start))
         else:
             out = out.withColumn(name, F.coalesce(local, F.lit(0)) + F.coalesce(start, F.lit(0)))
-    return out.drop("__hot", _BUCKET, *[f"__s_{name}" for name in aggs])
+    return out.drop(_PART, *[f"__s_{name}" for name in aggs])
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -170,8 +156,7 @@ def exact_quantiles(
             *keys, F.element_at(wanted, F.col("i") + 1).alias("prob"), "value"
         )
 
-    splits = range_splits(long, "value", MAX_BUCKETS)
-    placed = preceding(counts, keys, ["value"], {"below": ("sum", F.col("n"))}, splits=splits)
+    placed = preceding(counts, keys, ["value"], {"below": ("sum", F.col("n"))})
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     sized = join_on(placed, sizes, keys, null_safe=True)
     finds = []

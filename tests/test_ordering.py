@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pipelab.operators.ordering import exact_quantiles, preceding, range_splits, ranked
+from pipelab.operators.ordering import exact_quantiles, into_ranges, preceding, range_splits, ranked
 
 
 @pytest.fixture(scope="module")
@@ -41,10 +41,28 @@ def test_prefix_max_and_sum(rows):
     assert both.filter(~F.col("m").eqNullSafe(F.col("pm")) | (F.abs(F.col("s") - F.col("ps")) > 1e-9)).count() == 0
 
 
-def test_null_group_and_fixed_splits(spark):
+def test_null_group(spark):
     df = spark.createDataFrame([(None, 0.1), (None, 0.9), ("a", 0.5), ("a", None)], "g string, x double")
-    got = preceding(df, ["g"], ["x"], {"n": ("count", None)}, splits=[0.3, 0.6])
-    assert {(r["g"], r["x"]): r["n"] for r in got.collect()} == {(None, 0.1): 0, (None, 0.9): 1, ("a", None): 0, ("a", 0.5): 1}
+    for bound in (1, 100):
+        got = preceding(df, ["g"], ["x"], {"n": ("count", None)}, hot_rows=bound)
+        assert {(r["g"], r["x"]): r["n"] for r in got.collect()} == {(None, 0.1): 0, (None, 0.9): 1, ("a", None): 0, ("a", 0.5): 1}
+
+
+def hard_cases(spark):
+    ids = spark.range(20_000).withColumn("g", F.lit("one"))
+    yield "tied first column", ids.withColumn("lead", F.lit(7)), ["lead", "id"], 500
+    yield "common text prefix", ids.withColumn("lead", F.concat(F.lit("https://example.org/"), F.lpad("id", 9, "0"))), ["lead"], 500
+    yield "scores close together", ids.withColumn("lead", F.lit(0.5) + F.col("id") / 2e6), ["lead"], 500
+    yield "many hot groups", ids.withColumn("g", (F.col("id") % 2_000).cast("string")).withColumn("lead", F.col("id")), ["lead"], 8
+
+
+def test_ranges_stay_below_the_bound(spark):
+    for name, df, order, most in hard_cases(spark):
+        placed = into_ranges(df, ["g"], order, 20_000, most)
+        assert placed.groupBy("__part").count().agg(F.max("count")).first()[0] <= most, name
+        w = Window.partitionBy("g").orderBy(*order)
+        got = ranked(df, ["g"], order, "rank", hot_rows=most).withColumn("plain", F.row_number().over(w))
+        assert got.filter("rank <> plain").count() == 0 and got.count() == 20_000, name
 
 
 def test_range_splits_are_ordered(rows):
