@@ -43,7 +43,7 @@ SHARD_BYTES = 12 << 20
 _CHUNK_BYTES = 1 << 18
 #: Stretches held by a task before they are sent on, and bytes of a suffix array, at most.
 _PIECES = 200_000
-_ARRAY_BYTES = 6 << 20
+_ARRAY_BYTES = 1 << 20
 _ANCHORS = 1_000_000
 _LOW = np.uint64((1 << 24) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -123,6 +123,27 @@ def _known(docs: list) -> np.ndarray:
     return np.array([_LAST if d is None else d for d in docs], np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as differences from one to the next, in the fewest bytes that hold them all."""
+    steps = np.diff(values, prepend=0)
+    for kind in ("i1", "i2", "i4"):
+        if not len(steps) or np.abs(steps[1:]).max(initial=0) <= np.iinfo(kind).max:
+            return kind.encode() + values[:1].tobytes() + steps[1:].astype(kind).tobytes()
+    return b"i8" + values[:1].tobytes() + steps[1:].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if len(data) < 10:
+        return np.zeros(0, np.int64)
+    steps = np.frombuffer(data, data[:2].decode(), offset=10).astype(np.int64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.int64, 1, 2), steps]))
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """Half of a hash. Two anchors with the same half only bring needless stretches to a shard."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 def _by_shard(shards: int, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Numbers of the hashes that go to each shard."""
     place = (hashes % np.uint64(shards)).astype(np.int64)
@@ -163,10 +184,11 @@ def _find_anchors(shards: int):
     def flush(found: list[np.ndarray], found_docs: list[np.ndarray]) -> pa.RecordBatch:
         docs, hashes, low_docs, low = _shared(np.concatenate(found), np.concatenate(found_docs))
         out: list[tuple[int, bytes, bytes]] = []
-        for shard, part in _by_shard(shards, hashes):
-            out.append((-1 - shard, docs[part].tobytes(), hashes[part].tobytes()))
-        for shard, part in _by_shard(shards, low):
-            out.append((shard, low_docs[part].tobytes(), low[part].tobytes()))
+        for sign, own, found_hashes in ((-1, docs, hashes), (1, low_docs, low)):
+            by_doc = np.argsort(own, kind="stable")
+            own, found_hashes = own[by_doc], found_hashes[by_doc]
+            for shard, part in _by_shard(shards, found_hashes):
+                out.append((shard if sign > 0 else -1 - shard, _packed(own[part]), _short(found_hashes[part]).tobytes()))
         return pa.RecordBatch.from_arrays(
             [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())],
             ["shard", "docs", "hashes"],
@@ -194,7 +216,7 @@ def _join_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     docs, hashes = [], []
     for batch in batches:
         for shard, d, h in zip(*(batch.column(c).to_pylist() for c in ("shard", "docs", "hashes"))):
-            d, h = np.frombuffer(d, np.int64), np.frombuffer(h, np.uint64)
+            d, h = _unpacked(d), np.frombuffer(h, np.uint32)
             if shard < 0:
                 yield _per_doc(d, h)
             else:
@@ -206,7 +228,7 @@ def _join_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _ranges(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """Byte ranges, one row per document: id, tag of its text, starts, ends."""
+    """Byte ranges, one row per document: id, tag of its text (0 where the id has one text), starts, ends."""
     order = np.lexsort((starts, tags, docs))
     docs, tags, starts, ends = docs[order], tags[order], starts[order], ends[order]
     cut = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])))) if len(docs) else np.zeros(0, np.int64)
@@ -244,7 +266,8 @@ def _cut_stretches(shards: int):
         rows = []
 
         def put(shard: int, part: np.ndarray, blob: bytes) -> None:
-            rows.append((shard, *(x[part].tobytes() for x in (docs, tags, starts, sizes, hashes)), blob))
+            mark = (hashes[part].view(np.uint64) >> np.uint64(56)).astype(np.uint8).tobytes()
+            rows.append((shard, *(_packed(x[part]) for x in (docs, tags, starts, sizes)), mark, blob))
 
         settled = np.flatnonzero(~lead)
         if len(settled):
@@ -269,7 +292,7 @@ def _cut_stretches(shards: int):
             wanted = np.zeros(len(doc), bool)
             for k, parts in enumerate(rows["hashes"]):
                 a, b = cut[k], cut[k + 1]
-                wanted[a:b] = np.isin(anchor[a:b], np.frombuffer(b"".join(parts), np.uint64))
+                wanted[a:b] = np.isin(_short(anchor[a:b]), np.frombuffer(b"".join(parts), np.uint32))
             doc, anchor, first, last = doc[wanted], anchor[wanted], first[wanted], last[wanted]
             blob = raw.tobytes()
             pieces += [blob[s:e] for s, e in zip(first.tolist(), (last + LENGTH).tolist())]
@@ -318,19 +341,19 @@ def _search_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     facts: list[np.ndarray] = []
     for batch in batches:
         for row in batch.to_pylist():
-            docs, tags, starts, sizes, hashes = (np.frombuffer(row[c], np.int64) for c in ("docs", "tags", "starts", "sizes", "hashes"))
+            docs, tags, starts, sizes = (_unpacked(row[c]) for c in ("docs", "tags", "starts", "sizes"))
             if row["shard"] < 0:
                 yield _ranges(docs, tags, starts, starts + sizes)
                 continue
             ends = np.cumsum(sizes)
             pieces += [row["bytes"][a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-            facts.append(np.stack([docs, tags, starts, hashes]))
+            facts.append(np.stack([docs, tags, starts, np.frombuffer(row["hashes"], np.uint8)]))
     if not pieces:
         return
     docs, tags, starts, hashes = np.concatenate(facts, axis=1)
     # A shard that came out large is searched in parts; equal windows have the same anchor.
-    parts = 1 + sum(map(len, pieces)) // _ARRAY_BYTES
-    place = (hashes.view(np.uint64) >> np.uint64(40)) % np.uint64(parts)
+    parts = min(256, 1 + sum(map(len, pieces)) // _ARRAY_BYTES)
+    place = hashes % parts
     for k in range(parts):
         some = np.flatnonzero(place == k)
         if len(some):
@@ -391,9 +414,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     summed = rows.select("id", F.md5("text").alias("sum"))
     first = summed.groupBy("sum").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = summed.join(first, "sum").filter("id > first").groupBy("id").agg(F.collect_set("sum").alias("copies"))
+    several = summed.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("several"))
+    known = copies.join(several, "id", "full_outer")
     # The side that joins the dealt texts is small per id, so the texts are not sorted for it.
-    base = dealt.join(copies.hint("shuffle_hash"), "id", "left").select(
-        "id", "text", F.xxhash64("text").alias("tag"), F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False)).alias("copy")
+    base = dealt.join(known.hint("shuffle_hash"), "id", "left").select(
+        "id", "text", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).alias("tag"), F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False)).alias("copy")
     )
     fresh = base.filter(~F.col("copy"))
     route = F.when(F.col("shard") < 0, -1 - F.col("shard")).otherwise(F.col("shard"))
