@@ -10,12 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.feature import Bucketizer, OneHotEncoder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelab.functions.numeric import join_on
 from pipelab.operators.ordering import exact_quantiles, ranked
+from pipelab.session import cut_lineage
 
 MAX_LEVELS = 1_000
 
@@ -86,8 +87,28 @@ def fit_standard(df: DataFrame, columns: list[str]) -> Step:
     return Step("scale", {c: (row[f"m_{i}"], row[f"s_{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
+def wide_columns(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> list[str]:
+    """Columns with more than ``max_levels`` levels, by a count that keeps no values."""
+    if not columns:
+        return []
+    pairs = df.select(*[_c(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "level")
+    sizes = pairs.filter(F.col("level").isNotNull()).distinct().groupBy("column").count()
+    wide = {r["column"] for r in sizes.filter(F.col("count") > max_levels).collect()}
+    return [c for c in columns if c in wide]
+
+
+def level_table(df: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """(level, code) of all levels of a column, codes from 0 in level order, and their number.
+
+    The table stays distributed, in the checkpoint folder.
+    """
+    levels = df.select(_c(column).cast("string").alias("level")).filter(F.col("level").isNotNull()).distinct()
+    coded = cut_lineage(ranked(levels, [], ["level"], "code").withColumn("code", F.col("code") - 1))
+    return coded, coded.count()
+
+
 def fit_levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted levels per column; raises when a column has more than ``max_levels``.
+    """Sorted levels per column; columns with more than ``max_levels`` are for ``level_table``.
 
     The distinct count is checked with one row more than the bound, so a runaway
     column is never collected.
@@ -106,15 +127,27 @@ def fit_levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS)
 
 
 def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, max_levels: int = MAX_LEVELS) -> Step:
-    """Indicator columns ``<column>_<level>``; levels ascending, the first dropped."""
-    levels = fit_levels(df, columns, max_levels)
-    return Step("one_hot", {c: v[1:] if drop_first else v for c, v in levels.items()})
+    """Indicator columns ``<column>_<level>``; levels ascending, the first dropped.
+
+    A column with more than ``max_levels`` levels becomes one sparse vector ``<column>_levels``
+    with a place for each level instead of a column for each.
+    """
+    wide = wide_columns(df, columns, max_levels)
+    levels = fit_levels(df, [c for c in columns if c not in wide], max_levels)
+    params: dict[str, Any] = {c: v[1:] if drop_first else v for c, v in levels.items()}
+    for c in wide:
+        params[c] = (*level_table(df, c), drop_first)
+    return Step("one_hot", {c: params[c] for c in columns})
 
 
 def fit_labels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> Step:
-    """Level to its place among the sorted levels, from 0."""
-    levels = fit_levels(df, columns, max_levels)
-    return Step("map", {c: {v: i for i, v in enumerate(vs)} for c, vs in levels.items()})
+    """Level to its place among the sorted levels, from 0; wide columns look it up by a join."""
+    wide = wide_columns(df, columns, max_levels)
+    levels = fit_levels(df, [c for c in columns if c not in wide], max_levels)
+    params: dict[str, Any] = {c: {v: i for i, v in enumerate(vs)} for c, vs in levels.items()}
+    for c in wide:
+        params[c] = level_table(df, c)
+    return Step("map", {c: params[c] for c in columns})
 
 
 def value_map(column: str, mapping: dict[Any, Any]) -> Step:
@@ -162,7 +195,27 @@ def _scale(df: DataFrame, params: dict[str, Any]) -> DataFrame:
     })
 
 
-def _one_hot(df: DataFrame, params: dict[str, list[str]]) -> DataFrame:
+def _coded(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
+    """Adds ``__code``, null for unknown levels."""
+    table = levels.select(F.col("level").alias("__level"), F.col("code").alias("__code"))
+    return df.join(table, _c(column).cast("string") == F.col("__level"), "left").drop("__level")
+
+
+def _sparse(df: DataFrame, column: str, levels: DataFrame, size: int, drop_first: bool) -> DataFrame:
+    """``<column>_levels``: a sparse vector with a 1 at the level's place; all 0 for the first level and unknown ones."""
+    places = size - drop_first
+    encoder = OneHotEncoder(inputCols=["__code"], outputCols=[f"{column}_levels"], handleInvalid="keep")
+    model = encoder.fit(df.sparkSession.createDataFrame([(float(max(places, 1) - 1),)], "__code double"))
+    place = F.col("__code") - int(drop_first)
+    outside = F.lit(float(places))  # one past the last place: encoded as all 0
+    coded = _coded(df, column, levels).withColumn("__code", F.when(place >= 0, place.cast("double")).otherwise(outside))
+    return model.transform(coded).drop("__code", column)
+
+
+def _one_hot(df: DataFrame, params: dict[str, Any]) -> DataFrame:
+    for c in [c for c in params if isinstance(params[c], tuple)]:
+        df = _sparse(df, c, *params[c])
+    params = {c: v for c, v in params.items() if not isinstance(v, tuple)}
     out = []
     for c in df.columns:
         if c not in params:
@@ -172,7 +225,11 @@ def _one_hot(df: DataFrame, params: dict[str, list[str]]) -> DataFrame:
     return df.select(*out)
 
 
-def _map(df: DataFrame, params: dict[str, dict]) -> DataFrame:
+def _map(df: DataFrame, params: dict[str, Any]) -> DataFrame:
+    columns = df.columns
+    for c in [c for c in params if isinstance(params[c], tuple)]:
+        df = _coded(df, c, params[c][0]).withColumn(c, F.col("__code").cast("int")).drop("__code").select(*[_c(x) for x in columns])
+    params = {c: v for c, v in params.items() if not isinstance(v, tuple)}
     changed = {}
     for c, mapping in params.items():
         if mapping:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
@@ -14,6 +15,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,7 @@ class Trained:
     features: list[str]
     model: PipelineModel
     params: dict[str, Any] = field(default_factory=dict)
+    widths: list[int] = field(default_factory=list)
 
 
 def _assembler(n: int) -> VectorAssembler:
@@ -73,7 +76,8 @@ def _assembler(n: int) -> VectorAssembler:
 
 def _vectors(df: DataFrame, features: list[str], keep: list) -> DataFrame:
     """Features under plain names, so that any level text may be part of a feature name."""
-    inputs = [F.col(f"`{c}`").cast("double").alias(f"__x{i}") for i, c in enumerate(features)]
+    vector = {f.name for f in df.schema.fields if isinstance(f.dataType, VectorUDT)}
+    inputs = [(F.col(f"`{c}`") if c in vector else F.col(f"`{c}`").cast("double")).alias(f"__x{i}") for i, c in enumerate(features)]
     return _assembler(len(features)).transform(df.select(*keep, *inputs)).drop(*[f"__x{i}" for i in range(len(features))])
 
 
@@ -135,7 +139,19 @@ def _estimator(kind: str, params: dict[str, Any], seed: int):
 
 def _fit_vectors(frame: DataFrame, features: list[str], kind: str, params: dict[str, Any], seed: int) -> Trained:
     model = _estimator(kind, params, seed).fit(frame)
-    return Trained(kind, features, PipelineModel([_assembler(len(features)), model]), dict(params))
+    return Trained(kind, features, PipelineModel([_assembler(len(features)), model]), dict(params), _widths(frame, features))
+
+
+def _widths(frame: DataFrame, features: list[str]) -> list[int]:
+    """Places each feature takes in the vector: 1, or the levels of a sparse one."""
+    attributes = frame.schema[VECTOR].metadata.get("ml_attr", {}).get("attrs", {})
+    names = [a.get("name", "") for kind in attributes.values() for a in sorted(kind, key=lambda a: a["idx"])]
+    if len(names) <= len(features):
+        return [1] * len(features)
+    counts = dict.fromkeys(range(len(features)), 0)
+    for n in names:
+        counts[int(re.match(r"__x(\d+)", n)[1])] += 1
+    return [counts[i] for i in range(len(features))]
 
 
 def fit(df: DataFrame, features: list[str], target: str, kind: str = "random_forest", params: dict | None = None, seed: int = 42, id_cols: list[str] | None = None) -> Trained:
@@ -223,7 +239,11 @@ def importance_values(trained: Trained) -> dict[str, float]:
         values = abs(model.coefficientMatrix.toArray()).mean(axis=0)
     else:
         raise ValueError(f"{trained.kind} has no feature importance")
-    return {f: float(v) for f, v in zip(trained.features, values)}
+    shares, at = {}, 0
+    for f, width in zip(trained.features, trained.widths or [1] * len(trained.features)):
+        shares[f] = float(sum(values[at : at + width]))
+        at += width
+    return shares
 
 
 def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
@@ -234,10 +254,10 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
 
 def save_model(spark: SparkSession, trained: Trained, path: str) -> None:
     trained.model.write().overwrite().save(os.path.join(path, "model"))
-    meta = json.dumps({"kind": trained.kind, "features": trained.features, "params": trained.params})
+    meta = json.dumps({"kind": trained.kind, "features": trained.features, "params": trained.params, "widths": trained.widths})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
 
 
 def load_model(spark: SparkSession, path: str) -> Trained:
     meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-    return Trained(meta["kind"], meta["features"], PipelineModel.load(os.path.join(path, "model")), meta["params"])
+    return Trained(meta["kind"], meta["features"], PipelineModel.load(os.path.join(path, "model")), meta["params"], meta.get("widths", []))

@@ -7,6 +7,7 @@ import random
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 
 from pipelab.operators import features as fe
@@ -89,7 +90,8 @@ def prepare(df: DataFrame, spec: PipelineSpec, target: str, id_cols: list[str])
         spec.numeric_fill, spec.categorical_fill, spec.encode, spec.scale, spec.max_levels,
     )
     done = fe.transform(rows, steps)
-    names = [c for c in column_kinds(done.drop(*id_cols), target)]
+    names = [f.name for f in done.drop(*id_cols).schema.fields
+             if f.name != target and (isinstance(f.dataType, VectorUDT) or f.name in column_kinds(done, target))]
     return Prepared(spec, target, id_cols, steps, names)
 
 

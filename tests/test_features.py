@@ -48,9 +48,21 @@ def test_unseen_level_is_all_zero(spark, df):
     assert tuple(fe.transform(new, [step]).first())[1:] == (0, 0)
 
 
+def test_wide_columns_become_sparse(spark, df):
+    plain = fe.transform(df, [fe.fit_one_hot(df, ["k"])])
+    wide = fe.transform(df, [fe.fit_one_hot(df, ["k"], max_levels=1)])
+    names = [c for c in plain.columns if c.startswith("k_")]
+    want = {r["id"]: [float(r[c]) for c in names] for r in plain.collect()}
+    got = {r["id"]: r["k_levels"].toArray().tolist() for r in wide.collect()}
+    assert got == want
+    new = spark.createDataFrame([(9, "zz"), (10, None)], "id int, k string")
+    unseen = fe.transform(new, [fe.fit_one_hot(df, ["k"], drop_first=False, max_levels=1)])
+    assert all(sum(r["k_levels"].toArray()) == 0 for r in unseen.collect())
+    labels = fe.transform(df, [fe.fit_labels(df, ["k"], max_levels=1)])
+    assert col(labels, "k") == col(fe.transform(df, [fe.fit_labels(df, ["k"])]), "k")
+
+
 def test_level_bound(df):
-    with pytest.raises(ValueError):
-        fe.fit_one_hot(df, ["k"], max_levels=2)
     with pytest.raises(ValueError):
         fe.fit_levels(df, ["k", "name"], max_levels=4)
 

@@ -36,6 +36,13 @@ def test_forest_does_not_depend_on_partitions(rows):
     assert got[0] == got[1] == got[2]
 
 
+def test_many_levels_train_and_report(rows):
+    narrow = ev.evaluate_spec(rows, PipelineSpec("n", "logistic"), "y", ["id"])
+    wide = ev.evaluate_spec(rows, PipelineSpec("w", "logistic", max_levels=1), "y", ["id"])
+    assert wide.error is None and wide.metrics["accuracy"] == pytest.approx(narrow.metrics["accuracy"], abs=0.05)
+    assert set(wide.importance) == {"x", "noise", "k_levels"}
+
+
 def test_unknown_parameters_and_spaces(rows):
     got = ev.evaluate_spec(rows, PipelineSpec("s", "logistic", {"n_estimators": 5}), "y", ["id"])
     assert "n_estimators" in got.error
