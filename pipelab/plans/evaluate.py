@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pipelab.operators import metrics as me
 from pipelab.operators import models as mo
@@ -17,9 +18,6 @@ from pipelab.operators.replay import replay_archive
 from pipelab.operators.splits import kfold, stratified_kfold, stratified_split
 from pipelab.plans.specs import PipelineSpec, prepare, mutate
 
-MAX_CLASSES = 1_000
-
-
 @dataclass
 class Evaluation:
     """Outcome of one spec; a failure has score 0 and its error text."""
@@ -45,11 +43,33 @@ def prediction_table(scored: DataFrame, target: str, classes: int, keep: list[st
     return me.explode_proba(base, "proba", list(range(classes)), [*keep, "y_true", "y_pred"])
 
 
+def class_labels(df: DataFrame, target: str) -> list:
+    """The classes in order. A classifier holds a column of weights or counts per class, so
+    they are few enough for the driver wherever a model can be trained."""
+    return [r[0] for r in df.select(target).filter(F.col(target).isNotNull()).distinct().orderBy(target).collect()]
+
+
+def with_class_numbers(df: DataFrame, target: str) -> DataFrame:
+    """Rows with a known class, numbered 0..k-1 in the order of the labels, whatever these are.
+
+    Predictions hold the numbers; ``class_labels`` gives the label of each.
+    """
+    if dict(df.dtypes)[target] in ("tinyint", "smallint", "int", "bigint"):
+        known = with_int_target(df, target)
+        low, high, n = known.agg(F.min(target), F.max(target), F.approx_count_distinct(target, 0.01)).first()
+        if low == 0 and high + 1 <= max(2, 1.1 * n):
+            return known
+    labels = class_labels(df, target)
+    numbers = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(labels)], T.StructType([df.schema[target], T.StructField("__class", T.IntegerType())]))
+    joined = df.join(F.broadcast(numbers), target)
+    return joined.select(*[F.col("__class").alias(target) if c == target else F.col(f"`{c}`") for c in df.columns])
+
+
 def class_count(df: DataFrame, target: str) -> int:
-    """1 + the highest label; labels are 0..k-1."""
+    """1 + the highest class number."""
     top = df.agg(F.max(target)).first()[0]
-    if top is None or top >= MAX_CLASSES:
-        raise ValueError(f"class labels must be 0..{MAX_CLASSES - 1}")
+    if top is None:
+        raise ValueError("no row has a class")
     return int(top) + 1
 
 
@@ -70,7 +90,7 @@ def _parts(marked: DataFrame, held: Column, drop: str) -> tuple[DataFrame, DataF
 def split_rows(df: DataFrame, target: str, id_cols: list[str], ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Rows with a known target, marked for validation. Kept in memory or on executor
     disks while models are trained on them; lost parts are computed again."""
-    return stratified_split(with_int_target(df, target), target, id_cols, ratio, seed).persist()
+    return stratified_split(with_class_numbers(df, target), target, id_cols, ratio, seed).persist()
 
 
 def _measure(
@@ -112,7 +132,7 @@ def evaluate_spec(
 
 def fold_rows(df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Rows with a known target and their fold, kept while models are trained on them."""
-    return stratified_kfold(with_int_target(df, target), target, id_cols, k, seed).persist()
+    return stratified_kfold(with_class_numbers(df, target), target, id_cols, k, seed).persist()
 
 
 def _folds(df: DataFrame, target: str, id_cols: list[str], k: int, seed: int, task_type: str) -> DataFrame:

@@ -43,6 +43,16 @@ def test_many_levels_train_and_report(rows):
     assert set(wide.importance) == {"x", "noise", "k_levels"}
 
 
+def test_any_labels(rows):
+    plain = ev.evaluate_spec(rows, PipelineSpec("s", "logistic"), "y", ["id"])
+    named = rows.selectExpr("id", "CASE y WHEN 0 THEN 'bad' WHEN 1 THEN 'good' END AS y", "x", "noise", "k")
+    high = rows.selectExpr("id", "y * 7 + 5000 AS y", "x", "noise", "k")
+    for df, labels in ((named, ["bad", "good"]), (high, [5000, 5007])):
+        got = ev.evaluate_spec(df, PipelineSpec("s", "logistic"), "y", ["id"])
+        assert got.error is None and got.metrics == pytest.approx(plain.metrics)
+        assert ev.class_labels(df, "y") == labels
+
+
 def test_unknown_parameters_and_spaces(rows):
     got = ev.evaluate_spec(rows, PipelineSpec("s", "logistic", {"n_estimators": 5}), "y", ["id"])
     assert "n_estimators" in got.error
