@@ -87,6 +87,10 @@ def fit_standard(df: DataFrame, columns: list[str]) -> Step:
     return Step("scale", {c: (row[f"m_{i}"], row[f"s_{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
+class TooManyLevels(ValueError):
+    """A column has more levels than may be collected."""
+
+
 def wide_columns(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> list[str]:
     """Columns with more than ``max_levels`` levels, by a count that keeps no values."""
     if not columns:
@@ -97,6 +101,18 @@ def wide_columns(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS
     return [c for c in columns if c in wide]
 
 
+def levels_and_wide(df: DataFrame, columns: list[str], max_levels: int) -> tuple[dict[str, list[str]], list[str]]:
+    """Levels of the columns that have at most ``max_levels``, and the other columns.
+
+    One bounded read where no column is wide, which is the usual case.
+    """
+    try:
+        return fit_levels(df, columns, max_levels), []
+    except TooManyLevels:
+        wide = wide_columns(df, columns, max_levels)
+        return fit_levels(df, [c for c in columns if c not in wide], max_levels), wide
+
+
 def level_table(df: DataFrame, column: str) -> tuple[DataFrame, int]:
     """(level, code) of all levels of a column, codes from 0 in level order, and their number.
 
@@ -122,7 +138,7 @@ def fit_levels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS)
         levels[r["column"]].append(r["level"])
     wide = [c for c in columns if len(levels[c]) > max_levels]
     if wide or len(rows) > max_levels * len(columns):
-        raise ValueError(f"more than {max_levels} levels in {wide or columns}")
+        raise TooManyLevels(f"more than {max_levels} levels in {wide or columns}")
     return {c: sorted(v, key=lambda s: s.encode()) for c, v in levels.items()}
 
 
@@ -132,8 +148,7 @@ def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, max_
     A column with more than ``max_levels`` levels becomes one sparse vector ``<column>_levels``
     with a place for each level instead of a column for each.
     """
-    wide = wide_columns(df, columns, max_levels)
-    levels = fit_levels(df, [c for c in columns if c not in wide], max_levels)
+    levels, wide = levels_and_wide(df, columns, max_levels)
     params: dict[str, Any] = {c: v[1:] if drop_first else v for c, v in levels.items()}
     for c in wide:
         params[c] = (*level_table(df, c), drop_first)
@@ -142,8 +157,7 @@ def fit_one_hot(df: DataFrame, columns: list[str], drop_first: bool = True, max_
 
 def fit_labels(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> Step:
     """Level to its place among the sorted levels, from 0; wide columns look it up by a join."""
-    wide = wide_columns(df, columns, max_levels)
-    levels = fit_levels(df, [c for c in columns if c not in wide], max_levels)
+    levels, wide = levels_and_wide(df, columns, max_levels)
     params: dict[str, Any] = {c: {v: i for i, v in enumerate(vs)} for c, vs in levels.items()}
     for c in wide:
         params[c] = level_table(df, c)
