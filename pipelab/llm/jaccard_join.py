@@ -17,10 +17,14 @@ the universe of n-grams:
    out more than Z, it is indexed by the *one-deletion neighbourhoods* of its other segments:
    two sets that share a left-out segments (a > Z) and no other one differ by exactly one
    n-gram in all other segments but a - Z - 1, so one's segment is a neighbour of the other's.
-   This holds while two sets together leave out fewer than m + Z + 1 segments; the keys of a
-   set that would leave out over half of that are kept and paired across components.
+   This holds while two sets together leave out fewer than m + Z + 1 segments. Sets that leave
+   out over half of that are little more than a common passage. They are compared by their
+   *rarest* n-grams: two linked sets agree in one that is among the few rarest of both, at
+   places that leave room for the overlap they need.
 
-Every pair is filtered by size and by bucket counts (both lossless) and verified on the sets.
+Every candidate pair passes a lossless test of size and of parity bits inside the join that
+makes it, and is then verified on the sets. Parity bits: n-grams are dealt to PARITY buckets; a
+bucket in which one set has an odd and the other an even number holds a differing n-gram.
 
 N-grams are compared by 64-bit hash, and equal sets are found by a 64-bit hash of the set.
 Null and empty texts and texts without words have the empty set, which links with nothing;
@@ -37,9 +41,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipelab.llm.batches import bound_batches
 from pipelab.llm.components import connected_components
 from pipelab.session import cut_lineage
 
@@ -52,7 +57,9 @@ HOT_IN_CHUNK = 64
 CHUNK_ROWS = 4096
 #: Nodes whose texts are fetched with a broadcast at most; above it the join shuffles.
 BROADCAST_ROWS = 500_000
-_BUCKETS = 128
+#: Buckets of the parity bits, 64 to a column.
+PARITY = 512
+_WORDS = [f"p{k}" for k in range(PARITY // 64)]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _hash = xxhash.xxh3_64_intdigest
 
@@ -83,9 +90,10 @@ def set_id(grams: np.ndarray) -> int:
     return int(_mix(np.array([_mix(grams ^ _STEP).sum(dtype=np.uint64) + np.uint64(len(grams))]))[0].astype(np.int64))
 
 
-def bucket_counts(grams: np.ndarray) -> bytes:
-    """Counts in fixed buckets; their L1 distance is at most the symmetric difference."""
-    return np.minimum(np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=_BUCKETS), 255).astype(np.uint8).tobytes()
+def parity_bits(grams: np.ndarray) -> np.ndarray:
+    """Bit of each bucket: whether an odd number of n-grams lies in it."""
+    odd = np.bincount((grams >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def difference_bound(total: int, share: int) -> int:
@@ -117,7 +125,7 @@ def bands_of(size: int, share: int) -> list[tuple[int, int, int, int, int]]:
 
 def segments(grams: np.ndarray, m: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one band: mixed n-grams, their segments, and the sum and the size of each segment."""
-    mixed = _mix(grams + np.uint64(seed) * _STEP)
+    mixed = _mix(grams + np.uint64(seed * int(_STEP) % (1 << 64)))
     place = ((mixed >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
     sums = np.zeros(m, np.uint64)
     np.add.at(sums, place, mixed)
@@ -138,16 +146,17 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple
 def _members(n: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _texts(batches):
-            sizes, nodes, counts, spare = [], [], [], []
+            sizes, nodes, parity, spare = [], [], [], []
             for text in texts:
                 grams = ngram_set(text, n)
                 sizes.append(len(grams))
                 nodes.append(set_id(grams))
-                counts.append(bucket_counts(grams))
+                parity.append(parity_bits(grams))
                 spare.append(any((segments(grams, m, seed)[3] == 0).sum() > slack for _, _, m, slack, seed in bands_of(len(grams), share)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.array(spare)],
-                ["doc_id", "n", "node", "counts", "sparse"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(spare, pa.bool_()),
+                 *map(pa.array, np.stack(parity).T.copy() if parity else np.zeros((len(_WORDS), 0), np.int64))],
+                ["doc_id", "n", "node", "sparse", *_WORDS],
             )
 
     return run
@@ -205,59 +214,49 @@ def _index(n: int, share: int):
 
 def _gram_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
                 nodes, sets = [], []
                 for node, text in zip(part["node"], part["text"]):
                     grams = ngram_set(text, n)
-                    if set_id(grams) == node:
+                    if node not in seen and set_id(grams) == node:
+                        seen.add(node)
                         nodes.append(node)
-                        sets.append(grams.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "grams"])
+                        sets.append(grams.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     return run
 
 
-def _filter_pairs(share: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n1, n2 = (batch.column(c).to_numpy() for c in ("n1", "n2"))
-            c1, c2 = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in ("c1", "c2")
-            )
-            ok = (np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * share) & (
-                np.abs(c1 - c2).sum(axis=1) <= (n1 + n2) * (100 - share) // (100 + share)
-            )
-            yield batch.filter(pa.array(ok)).select(["a", "b"])
+def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Sent to all executors if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    return run
 
+def _likely(x: str, y: str, share: int) -> Column:
+    """Size and parity of two sets, in columns with these prefixes, allow a link."""
+    total = F.col(f"{x}n") + F.col(f"{y}n")
+    apart = sum((F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{x}p0").bitwiseXOR(F.col(f"{y}p0"))))
+    return (F.least(f"{x}n", f"{y}n") * 100 >= F.greatest(f"{x}n", f"{y}n") * share) & (apart * (100 + share) <= total * (100 - share))
 
-def _verify(share: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = []
-                for x, y in zip(part.column("g1").to_pylist(), part.column("g2").to_pylist()):
-                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    joint = np.concatenate((u, v))
-                    joint.sort(kind="stable")
-                    both = int((joint[1:] == joint[:-1]).sum())
-                    keep.append(100 * both >= share * (len(joint) - both))
-                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return run
+def _named(df: DataFrame, prefix: str, key: str) -> DataFrame:
+    """All columns but ``key`` with a prefix."""
+    return df.select(key, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c != key])
 
 
 def _neighbourhoods(share: int):
-    """Keys of sets that leave out segments: E light segments, D one-deletion neighbours, K dear keys that stay."""
+    """Keys of sets that leave out segments: E light segments, D one-deletion neighbours. K: the set leaves out most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
+                rows = batch.slice(at, 256)
+                lists = rows.column("grams")
+                flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                part = rows.select(["node", "dear"]).to_pydict()
                 out_node, out_kind, out_key = [], [], []
 
                 def put(node: int, kind: str, keys: np.ndarray) -> None:
@@ -265,8 +264,8 @@ def _neighbourhoods(share: int):
                     out_kind.extend(kind * len(keys))
                     out_key.append(keys.view(np.int64))
 
-                for node, raw, dear in zip(part["node"], part["grams"], part["dear"]):
-                    grams = np.frombuffer(raw, np.uint64)
+                for k, (node, dear) in enumerate(zip(part["node"], part["dear"])):
+                    grams = flat[ends[k] : ends[k + 1]].view(np.uint64)
                     costly = np.array(dear or [], np.int64).view(np.uint64)
                     for _, _, m, slack, seed in bands_of(len(grams), share):
                         mixed, place, sums, sizes = segments(grams, m, seed)
@@ -276,7 +275,7 @@ def _neighbourhoods(share: int):
                         if out.sum() <= slack:
                             continue
                         if 2 * out.sum() > m + slack:
-                            put(node, "K", keys[is_dear])
+                            put(node, "K", keys[:1])
                         light = np.flatnonzero(~out)
                         put(node, "E", keys[light])
                         ok = ~out[place] & (sizes[place] > 1)
@@ -290,12 +289,46 @@ def _neighbourhoods(share: int):
     return run
 
 
-def _across(tied: DataFrame, keys: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components in the groups of ``keys``."""
-    rows = tied.join(keys.select("key"), "key", "left_semi").select("key", "node", "component").distinct()
-    left = rows.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "key").filter("ca < cb").select("a", "b")
+def _by_rarest(sets: DataFrame, facts: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes of different components that agree in one of the rarest n-grams of both.
+
+    ``facts`` (node, component, most, n, parity) names the nodes; one of a pair has ``most`` set. In order
+    of frequency, the first n-gram two linked sets share is early in both: the overlap they
+    need must still fit behind it.
+    """
+    # Partners are of nearly one size: nodes without a set of that kind near their size are left out.
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / share)))
+    steps = [r[0] for r in facts.filter("most").select(step).distinct().collect()]  # few: a logarithm of the largest size
+    near = sorted({s + d for s in steps for d in (-1, 0, 1)})
+    if not near:
+        return facts.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    facts = facts.filter(step.isin(near))
+    own = sets.join(_bounded(facts.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    grams = own.select("node", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").count()
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("count", "gram"))
+    placed = grams.join(often, "gram").withColumn("place", rank).join(facts, "node")
+    n = F.col("n")
+    columns = ("node", "n", "place", "component", "most", *_WORDS)
+    ceil = lambda x, y: F.expr(f"-(-({x}) div ({y}))")
+    low = placed.filter(F.col("place") <= n - ceil(f"{2 * share} * n", str(100 + share)) + 1)
+    high = placed.filter(F.col("place") <= n - ceil(f"{share} * n", "100") + 1)
+    x, y = _named(low.select("gram", *columns), "x_", "gram"), _named(high.select("gram", *columns), "y_", "gram")
+    fits = (
+        (F.struct("x_n", "x_node") < F.struct("y_n", "y_node"))
+        & _likely("x_", "y_", share)
+        & (F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) + 1 >= ceil(f"{share} * (x_n + y_n)", str(100 + share)))
+        & (F.col("x_component") != F.col("y_component"))
+        & (F.col("x_most") | F.col("y_most"))
+    )
+    return x.join(y, (x["gram"] == y["gram"]) & fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def _across(left: DataFrame, right: DataFrame, share: int) -> DataFrame:
+    """Likely pairs of nodes of different components with one key; both sides have node, component, n, parity."""
+    x, y = _named(left, "x_", "key"), _named(right, "y_", "key")
+    fits = (F.col("x_component") != F.col("y_component")) & _likely("x_", "y_", share)
+    return x.join(y, (x["key"] == y["key"]) & fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,11 +337,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str
     ``component_id`` is the smallest id reachable by links, the own one included. Rows with
     the same set are one node from the start. Other columns of ``docs`` are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = cut_lineage(rows.mapInArrow(_members(n, share), "doc_id long, n long, node long, counts binary, sparse boolean"))
-    nodes = members.groupBy("node").agg(
-        F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("counts").alias("counts"), F.max("sparse").alias("sparse")
-    )
+    members = cut_lineage(rows.mapInArrow(_members(n, share), "doc_id long, n long, node long, sparse boolean, " + ", ".join(f"{w} long" for w in _WORDS)))
+    nodes = cut_lineage(members.groupBy("node").agg(
+        F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sparse").alias("sparse"), *[F.max(w).alias(w) for w in _WORDS]
+    ))
     group = Window.partitionBy("key", "salt")
     keyed = rows.mapInArrow(_index(n, share), "key long, salt int, node long")
     shared = cut_lineage(
@@ -319,27 +353,25 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str
     )
     wanted = shared.select("node").distinct().unionByName(nodes.filter("sparse").select("node")).distinct()
     wanted = cut_lineage(wanted.join(nodes.select("node", "first_doc"), "node"))
-    small = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    fetched = rows.join(F.broadcast(wanted) if small else wanted, rows["id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
-    sets = cut_lineage(fetched.mapInArrow(_gram_rows(n), "node long, grams binary").dropDuplicates(["node"]))
+    fetched = rows.join(_bounded(wanted), rows["id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
+    sets = cut_lineage(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        facts = nodes.select("node", "n", "counts")
-        wide = (
-            pairs.distinct()
-            .join(facts.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("counts").alias("c1")), "a")
-            .join(facts.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("counts").alias("c2")), "b")
-        )
-        likely = wide.mapInArrow(_filter_pairs(share), "a long, b long")
-        both = likely.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("g1")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("grams").alias("g2")), "b"
-        )
-        return cut_lineage(both.mapInArrow(_verify(share), "a long, b long"))
+        pairs = cut_lineage(pairs.distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = sets.join(_bounded(ends), "node", "left_semi").dropDuplicates(["node"])
+        both = pairs.join(own.withColumnsRenamed({"node": "a", "grams": "g1"}), "a").join(own.withColumnsRenamed({"node": "b", "grams": "g2"}), "b")
+        shared_grams = F.size(F.array_intersect("g1", "g2"))
+        union = F.size("g1") + F.size("g2") - shared_grams
+        return cut_lineage(both.filter(shared_grams.cast("long") * 100 >= union.cast("long") * share).select("a", "b"))
 
     def tie(components: DataFrame, to: DataFrame) -> DataFrame:
         return to.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    stars = linked(shared.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    facts = nodes.select("node", "n", *_WORDS)
+    arms = shared.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    arms = arms.join(_named(facts.withColumnRenamed("node", "a"), "x_", "a"), "a").join(_named(facts.withColumnRenamed("node", "b"), "y_", "b"), "b")
+    stars = linked(arms.filter(_likely("x_", "y_", share)).select("a", "b"))
     components = connected_components(stars)
     tied = cut_lineage(tie(components, shared.select("key", "node")).distinct())
     spread = cut_lineage(tied.select("key", "component").distinct().groupBy("key").count().filter("count > 1"))
@@ -348,19 +380,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str
     thin = nodes.filter("sparse").select("node", F.lit(None).cast("array<bigint>").alias("dear"))
     thin = thin.join(left_out.select("node"), "node", "left_anti")
     around = cut_lineage(
-        sets.join(left_out.unionByName(thin), "node").select("node", "grams", "dear")
+        sets.join(_bounded(left_out.unionByName(thin), BROADCAST_ROWS // 10), "node").select("node", "grams", "dear")
         .mapInArrow(_neighbourhoods(share), "node long, kind string, key long")
     )
-    exact = around.filter("kind = 'E'").select("key", F.col("node").alias("a")).distinct()
-    deleted = around.filter("kind = 'D'").select("key", F.col("node").alias("b")).distinct()
-    one_off = exact.join(deleted, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in ("a", "b"):
-        one_off = tie(components, one_off.withColumnRenamed(side, "node")).withColumnsRenamed({"node": side, "component": f"c{side}"})
+    leaving = around.groupBy("node").agg(F.max(F.col("kind") == "K").alias("most"))
+    leaving = cut_lineage(tie(components, leaving).join(facts, "node"))
+    light = spread.filter(F.col("count") <= DEAR)
+    few = tied.join(light.select("key"), "key", "left_semi").join(facts, "node")
+    told = around.filter("kind <> 'K'").select("key", "node", "kind").distinct().join(leaving.drop("most"), "node")
     rest = (
-        _across(tied, spread.filter(F.col("count") <= DEAR))
-        .unionByName(_across(tied, around.filter("kind = 'K'").select("key").distinct()))
-        .unionByName(one_off.filter("ca <> cb").select("a", "b"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        _across(few, few, share)
+        .unionByName(_across(told.filter("kind = 'E'").drop("kind"), told.filter("kind = 'D'").drop("kind"), share))
+        .unionByName(_by_rarest(sets, leaving, share))
     )
     late = linked(rest)
     if not late.isEmpty():
