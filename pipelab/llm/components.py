@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from pipelab.session import cut_lineage
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+#: Edges up to which the smallest neighbour of every node is sent along instead of shuffled; steps make no more edges.
+BROADCAST_EDGES = 300_000
+
+
+def _star(edges: DataFrame, larger: bool, small: bool) -> DataFrame:
     """One star step: neighbours on one side of a node are tied to the smallest node around it."""
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(turned) if larger else turned  # in turned, b < a
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    tied = around.join(least, "a")
+    tied = around.join(F.broadcast(least) if small else least, "a")
     if larger:
         new = tied.filter("b > a").select(F.col("low").alias("a"), "b")
     else:
@@ -28,9 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ever gathers its neighbours in one row. Each round ends in a checkpoint.
     """
     now = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    mark = None
+    mark, small = None, now.count() <= BROADCAST_EDGES
     while True:
-        now = cut_lineage(_star(_star(now, True), False))
+        now = cut_lineage(_star(_star(now, True, small), False, small))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
