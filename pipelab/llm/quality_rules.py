@@ -12,23 +12,17 @@ Without labelled rows, or with one class only, the score is a constant: 0.5, or
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pipelab.llm.batches import bound_batches
+from pipelab.llm.text_statistics import statistics_of
 from pipelab.session import cut_lineage
 
-STATS = (
-    "log_chars", "log_words", "word_length", "long_words", "upper", "digits", "marks", "symbols", "letters",
-    "marked_words", "same_next", "distinct_words", "top_word", "distinct_pairs", "log_lines", "same_lines",
-)
 #: Labelled rows used for fitting, those with the lowest hash of the id.
 FIT_ROWS = 20_000
 TREES = 16
@@ -36,45 +30,6 @@ DEPTH = 3
 PENALTY = 0.0005
 THRESHOLD = 0.3
 
-_UPPER, _LOWER, _DIGIT, _MARK, _SYMBOL = (np.zeros(256, bool) for _ in range(5))
-_UPPER[65:91] = True
-_LOWER[97:123] = True
-_LOWER[128:] = True
-_DIGIT[48:58] = True
-_MARK[[ord(c) for c in ".,;:!?'\"()-"]] = True
-_SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
-_EDGE = tuple(bytes([k]) for k in range(256) if _SYMBOL[k] or k == ord("!"))
-
-
-def text_statistics(text: str) -> tuple[float, ...]:
-    raw = text.encode()
-    words = raw.split()
-    if not words:
-        return (float(np.log1p(len(text))),) + (0.0,) * (len(STATS) - 1)
-    seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n, size = len(words), len(raw)
-    upper, lower = int(seen[_UPPER].sum()), int(seen[_LOWER].sum())
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    pairs = set(zip(words, words[1:]))
-    lines = [x for x in text.split("\n") if x]
-    same = sum(map(bytes.__eq__, words, words[1:]))
-    return (
-        float(np.log1p(len(text))), float(np.log1p(n)), sum(map(len, words)) / n, sum(len(w) > 20 for w in words) / n,
-        upper / max(1, upper + lower), int(seen[_DIGIT].sum()) / size, int(seen[_MARK].sum()) / size,
-        int(seen[_SYMBOL].sum()) / size, (upper + lower) / size, sum(w.endswith(_EDGE) for w in words) / n,
-        same / n, len(counts) / n, max(counts.values()) / n, len(pairs) / n,
-        float(np.log1p(len(lines))), 1 - len(set(lines)) / max(1, len(lines)),
-    )
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def statistics_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The statistics of each text, in the order of STATS."""
-    for texts in parts:
-        yield pd.Series([text_statistics(t or "") for t in texts])
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -139,6 +94,7 @@ def fit_rules(
     At most ``fit_rows`` labelled ids are used, those with the lowest hash, so that the
     labels sent to the executors and the rows trained on have a fixed bound.
     """
+    bound_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("label"))
         .filter(F.col("label").isNotNull() & F.col("__id").isNotNull() & ~is_held_out(F.col("__id")))
@@ -165,6 +121,7 @@ def fit_rules(
 
 def with_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``rule_score`` and ``rule_label`` (1 where the score is at least the threshold)."""
+    bound_batches(docs.sparkSession)
     scored = docs.withColumn("rule_stats", statistics_of(F.coalesce(F.col(text_col), F.lit(""))))
     scored = scored.withColumn("rule_score", model.score(F.col("rule_stats"))).drop("rule_stats")
     return scored.withColumn("rule_label", (F.col("rule_score") >= threshold).cast("int"))
