@@ -1,16 +1,7 @@
 import pytest
+from llm_texts import prose
 from pyspark.sql import functions as F
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def prose(seed: int, size: int) -> str:
-    out, x = [], seed * 7919 + 13
-    for _ in range(size):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        out.append(WORDS[x >> 16 & 15] + str(x >> 20 & 31))
-    return " ".join(out)
-
 
 @pytest.fixture(scope="session")
 def texts():

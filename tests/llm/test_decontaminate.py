@@ -1,7 +1,7 @@
 import re
 from collections import defaultdict
 
-from conftest import prose  # noqa: F401  (tests/llm/conftest.py)
+from llm_texts import prose
 
 from pipelab.llm import decontaminate as dc
 
