@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 ROWS = 1_000
@@ -13,3 +14,8 @@ def bound_batches(spark: SparkSession, rows: int = ROWS) -> None:
     now = int(spark.conf.get(_SETTING))
     if now <= 0 or now > rows:
         spark.conf.set(_SETTING, str(rows))
+
+
+def release() -> None:
+    """Give memory that batches no longer use back to the machine, at the end of a task."""
+    pa.default_memory_pool().release_unused()

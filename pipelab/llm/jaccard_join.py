@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipelab.llm.batches import bound_batches
+from pipelab.llm.batches import bound_batches, release
 from pipelab.llm.components import connected_components
 from pipelab.session import cut_lineage
 
@@ -54,7 +54,7 @@ BAND = 1.5
 DEAR = 32
 #: In a chunk of rows, keys of more sets than this are grouped chunk by chunk first.
 HOT_IN_CHUNK = 64
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 2048
 #: Nodes whose texts are fetched with a broadcast at most; above it the join shuffles.
 BROADCAST_ROWS = 500_000
 #: Buckets of the parity bits, 64 to a column.
@@ -141,6 +141,7 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part.column("id").to_pylist(), part.column("text").to_pylist()
+    release()
 
 
 def _members(n: int, share: int):
@@ -226,6 +227,7 @@ def _gram_rows(n: int):
                         nodes.append(node)
                         sets.append(grams.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+        release()
 
     return run
 

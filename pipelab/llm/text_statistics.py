@@ -1,6 +1,6 @@
 """Statistics of texts that quality rules are made of.
 
-A module of its own, so that the Python workers load no training code.
+A module of its own, so that the Python workers load neither training code nor pandas.
 """
 
 from __future__ import annotations
@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pipelab.llm.batches import release
+
 STATS = (
     "log_chars", "log_words", "word_length", "long_words", "upper", "digits", "marks", "symbols", "letters",
     "marked_words", "same_next", "distinct_words", "top_word", "distinct_pairs", "log_lines", "same_lines",
@@ -50,8 +52,9 @@ def text_statistics(text: str) -> tuple[float, ...]:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def statistics_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def statistics_of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The statistics of each text, in the order of STATS."""
     for texts in parts:
-        yield pd.Series([text_statistics(t or "") for t in texts])
+        yield pa.array([text_statistics(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
+    release()
