@@ -22,7 +22,7 @@ def _star(edges: DataFrame, larger: bool, small: bool) -> DataFrame:
         new = tied.filter("b > a").select(F.col("low").alias("a"), "b")
     else:
         new = tied.select(F.col("low").alias("a"), "b").unionByName(least.select(F.col("low").alias("a"), F.col("a").alias("b")))
-    return new.filter("a < b").distinct()
+    return new.filter("a < b")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     mark, small = None, now.count() <= BROADCAST_EDGES
     while True:
-        now = cut_lineage(_star(_star(now, True, small), False, small))
+        now = cut_lineage(_star(_star(now, True, small), False, small).distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -397,7 +397,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str
     )
     late = linked(rest)
     if not late.isEmpty():
-        components = connected_components(stars.unionByName(late))
+        known = components.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        components = connected_components(known.unionByName(late))
     placed = members.select("doc_id", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("doc_id").alias("low"))
     return placed.join(lowest, "component").select(
