@@ -133,18 +133,34 @@ def _inverse(share: Column, knots: tuple[tuple[float, float], ...]) -> Column:
     return out
 
 
+def with_places(planned: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
+    """Every row of ``planned`` with ``mix_positions``: the training position (0 to 1) of each of its copies."""
+    kind = F.col("mix_rank") % len(schedules)
+
+    def place(copy: Column) -> Column:
+        ahead = copy * F.col("mix_source_size") + F.col("mix_before") + F.col("mix_size") / 2
+        share = F.least(F.lit(1.0), ahead / F.nullif(F.col("mix_target"), F.lit(0.0)))
+        position = F.lit(None).cast("double")
+        for k, knots in enumerate(schedules):
+            position = F.when(kind == k, _inverse(share, knots)).otherwise(position)
+        return position
+
+    copies = F.when(F.col("mix_copies") > 0, F.sequence(F.lit(0), F.col("mix_copies") - 1)).otherwise(F.array().cast("array<int>"))
+    return planned.withColumn("mix_positions", F.transform(copies, place))
+
+
 def with_positions(planned: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     """One row per taken copy, with ``mix_copy`` (from 0) and ``mix_position`` (0 to 1)."""
-    copies = planned.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    ahead = F.col("mix_copy") * F.col("mix_source_size") + F.col("mix_before") + F.col("mix_size") / 2
-    share = F.least(F.lit(1.0), ahead / F.nullif(F.col("mix_target"), F.lit(0.0)))
-    kind = F.col("mix_rank") % len(schedules)
-    position = F.lit(None).cast("double")
-    for k, knots in enumerate(schedules):
-        position = F.when(kind == k, _inverse(share, knots)).otherwise(position)
-    return copies.withColumn("mix_position", position)
+    placed = with_places(planned, schedules)
+    return placed.select(*planned.columns, F.posexplode("mix_positions").alias("mix_copy", "mix_position"))
 
 
 def training_order(planned: DataFrame, schedules: tuple = SCHEDULES, id_col: str = "doc_id") -> DataFrame:
-    """Copies in training order, range-sorted by position; ties by id and copy."""
-    return with_positions(planned, schedules).sort("mix_position", id_col, "mix_copy")
+    """Copies in training order, range-sorted by position; ties by id, source and place in the source."""
+    return with_positions(planned, schedules).sort("mix_position", id_col, "mix_rank", "mix_before", "mix_copy")
+
+
+def documents_in_order(planned: DataFrame, schedules: tuple = SCHEDULES, id_col: str = "doc_id") -> DataFrame:
+    """Every row of ``planned`` with the positions of its copies, range-sorted by the first; rows not taken come last."""
+    first = F.get("mix_positions", F.lit(0))
+    return with_places(planned, schedules).sort(first.asc_nulls_last(), id_col, "mix_rank", "mix_before", "mix_size")

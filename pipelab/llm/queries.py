@@ -73,13 +73,14 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = curriculum.plan_mixture(table(spark, sf_dir, "documents"))
-    return planned.select(
+    """One row a document, in the order in which the curriculum first comes to it; its check SQL fixes the columns."""
+    ordered = curriculum.documents_in_order(curriculum.plan_mixture(table(spark, sf_dir, "documents")))
+    return ordered.select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
-        F.col("mix_taken").alias("taken"),
+        (F.size("mix_positions") * F.col("mix_size")).alias("taken"),
     )
 
 

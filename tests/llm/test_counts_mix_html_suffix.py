@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pipelab.llm import curriculum as cu
 from pipelab.llm import html_extract as he
+from pipelab.llm import queries
 from pipelab.llm import suffix_dedup as sd
 from pipelab.llm import token_counts as tc
 from pipelab.llm.suffix_arrays import permuted_lcp, suffix_array
@@ -90,6 +91,63 @@ def test_mixture_takes_whole_copies_near_the_target(spark):
     assert abs(early - 0.3125) < 0.1
 
 
+def brute_positions(rows, weights=(5, 2, 1), most=3):
+    """(id, size, taken, positions) of (id, text, source) rows, by a fine grid over every schedule."""
+    names = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for _, _, s in rows) else [])
+    size = [len((t or "").split()) for _, t, _ in rows]
+    total = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in names}
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, free, left = {}, set(names), float(sum(size))
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > most * total[s]}
+        if not over:
+            break
+        target |= {s: float(most * total[s]) for s in over}
+        left, free = left - sum(target[s] for s in over), free - over
+    target |= {s: level * weight[s] for s in free}
+    out = []
+    for rank, s in enumerate(names):
+        grid = np.linspace(0, 1, 200_001)
+        w = np.interp(grid, *zip(*cu.SCHEDULES[rank % 3]))
+        demand = np.concatenate(([0.0], np.cumsum((w[1:] + w[:-1]) / 2)))
+        mine = sorted((hashlib.md5(str(r[0]).encode()).hexdigest(), k) for k, r in enumerate(rows) if r[2] == s)
+        full, before = min(most, target[s] // total[s]), 0
+        for _, k in mine:
+            copies = 0 if not size[k] else int(full + (full < most and before + size[k] / 2 <= target[s] - full * total[s]))
+            share = [(c * total[s] + before + size[k] / 2) / target[s] for c in range(copies)]
+            out.append((rows[k][0], size[k], copies * size[k], [float(np.interp(x * demand[-1], demand, grid)) for x in share]))
+            before += size[k]
+    return out
+
+
+def mixed_rows():
+    rng = random.Random(8)
+    return [(k, " ".join(["w"] * rng.choice((0, 1, 5, 40, 300))), rng.choice(("a", "a", "a", "b", "c", None))) for k in range(400)]
+
+
+def test_positions_equal_brute_force(spark):
+    rows = mixed_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    want = {d: places for d, _, _, places in brute_positions(rows)}
+    got = cu.documents_in_order(cu.plan_mixture(docs, range_rows=20)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert len(r["mix_positions"]) == len(want[r["doc_id"]]) and np.allclose(r["mix_positions"], want[r["doc_id"]], atol=1e-4)
+
+
+def test_curriculum_query_comes_in_training_order(spark, tmp_path):
+    """The registered query, written and read file by file, follows the first position of every document."""
+    rows = mixed_rows()
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    queries.op6_curriculum(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    got = [r for f in sorted((tmp_path / "out").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
+    want = {d: (size, taken, places) for d, size, taken, places in brute_positions(rows)}
+    assert len(got) == len(rows) and all((r["size"], r["taken"]) == want[r["doc_id"]][:2] for r in got)
+    first = [(want[r["doc_id"]][2] or [2.0])[0] for r in got]
+    assert all(a <= b + 1e-4 for a, b in zip(first, first[1:])) and first[-1] == 2.0
+
+
 def test_mixture_edge_cases(docs, empty, texts):
     planned = cu.plan_mixture(docs)
     assert planned.count() == len(texts) and planned.filter("mix_size = 0 and mix_taken > 0").count() == 0
