@@ -6,7 +6,7 @@ Parquet in the shared folder and reads it again for the next stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelab.llm import curriculum, decontaminate, jaccard_join, quality_rules, token_store
@@ -46,14 +46,24 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes, in training order."""
+    """One row per copy that the mix takes, in training order; part files and rows in them keep that order."""
     return curriculum.training_order(curriculum.plan_mixture(docs)).select(*docs.columns)
 
 
+def stored_order() -> tuple[Column, ...]:
+    """Place of a row in Parquet that was written sorted: number of its part, file, row in the file."""
+    name = F.col("_metadata.file_name")
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), name, F.col("_metadata.row_index")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids, and what the store holds for every document."""
+    """Packed token ids in training order, and what the store holds for every document.
+
+    ``docs`` is the Parquet that ``mixed`` was written to. The documents' columns have no room for
+    a position, so the order is taken from where a row lies in it.
+    """
     out = scratch_path(spark, "pipeline-tokens")
-    token_store.write_store(docs, out, tokenizer_path(), END_ID, vocabulary_size())
+    token_store.write_store(docs, out, tokenizer_path(), END_ID, vocabulary_size(), order=stored_order())
     return token_store.read_documents(spark, out)
 
 

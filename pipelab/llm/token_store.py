@@ -8,7 +8,7 @@ start. Blocks are independent: any of them can be read alone, an id is found by
 is lost and run again leaves no half-written or doubled block.
 
 Documents are in ascending order of id over the whole store (null ids first, equal ids by
-text). Shards are the ranges written by one task each; their starts come from the shard totals.
+text), or in an order given as columns. Shards are the ranges written by one task each; their starts come from the shard totals.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_IDS = 1 << 16
@@ -208,18 +208,24 @@ def _writer(path: str, end_id: int, bits: int, block_ids: int) -> Callable:
 
 def write_store(
     docs: DataFrame, out: str, tokenizer_path: str, end_id: int, vocabulary: int,
-    id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS,
+    id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS, order: tuple[Column, ...] = (),
 ) -> None:
     """Encode every whole text (null: empty), end each document with ``end_id`` and write blocks.
 
-    The text is shuffled once, by ranges of the id. A block holds ``block_ids`` ids or a few
+    The text is shuffled once, by ranges of the id, or of the columns of ``order`` where these are
+    given; documents are stored in that order. A block holds ``block_ids`` ids or a few
     more, since documents are not cut; one very long document makes a larger block of its own.
-    An empty table writes an empty store. Only the two named columns are read.
+    An empty table writes an empty store. Only the two named columns and those of ``order`` are read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    places = [f"order{k}" for k in range(len(order))]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *[c.alias(name) for c, name in zip(order, places)],
+    )
     (
-        rows.repartitionByRange(F.col("id"), F.xxhash64("text"))
-        .sortWithinPartitions("id", "text")
+        rows.repartitionByRange(*[F.col(c) for c in places], F.col("id"), F.xxhash64("text"))
+        .sortWithinPartitions(*places, "id", "text")
+        .select("id", "text")
         .mapInArrow(_writer(tokenizer_path, end_id, bits_for(vocabulary), block_ids), BLOCK_SCHEMA)
         .write.mode("overwrite").option("compression", "none").parquet(out)
     )

@@ -1,6 +1,14 @@
-import corpus_pipeline
+import zlib
+
+import numpy as np
+import pytest
+from test_counts_mix_html_suffix import brute_positions
+from test_decontaminate import brute as brute_leaks
+from test_jaccard_join import brute as brute_components
 
 import __spark_entry__ as entry_point
+import corpus_pipeline
+from pipelab.llm.queries import END_ID, tokenizer_path
 
 
 def test_all_are_registered():
@@ -24,6 +32,33 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0 and sizes[4] == sizes[5] > 0
 
 
+def brute_run(rows, items):
+    """doc_id, start, n_tokens, crc of the store that the stages after the classifier make of (id, text, source) rows."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    single = {d for d, _, low in brute_components([(d, t) for d, t, _ in rows], corpus_pipeline.WORDS, corpus_pipeline.SHARE) if d == low}
+    rows = [r for r in rows if r[0] in single]
+    leaked = {d for d, _ in brute_leaks([(d, t) for d, t, _ in rows], items)}
+    rows = [r for r in rows if r[0] not in leaked]
+    whole, text = Tokenizer.from_file(tokenizer_path()), {d: t for d, t, _ in rows}
+    out, start = [], 0
+    for _, d in sorted((p, d) for d, _, _, places in brute_positions(rows) for p in places):
+        ids = whole.encode(text[d] or "", add_special_tokens=False).ids + [END_ID]
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_run_equals_brute_force_in_rows_and_order(spark):
+    sf = "/root/testdata/sf0.001"
+    good = corpus_pipeline.quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    want = brute_run([tuple(r) for r in good.select("doc_id", "text", "source").collect()], items)
+    got = sorted((tuple(r) for r in corpus_pipeline.run(spark, sf).collect()), key=lambda r: r[1])
+    assert got == want and [r[0] for r in got] != sorted(r[0] for r in got)
+
+
 def test_an_empty_table_passes_through(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").filter("false")
