@@ -45,7 +45,8 @@ _CHUNK_BYTES = 1 << 18
 _PIECES = 200_000
 _ARRAY_BYTES = 1 << 20
 _ANCHORS = 1_000_000
-_LOW = np.uint64((1 << 24) - 1)
+_PLACES = 1 << 24
+_LOW = np.uint64(_PLACES - 1)
 _LAST = np.iinfo(np.int64).max
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,6 +71,26 @@ def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _owners(hashes: np.ndarray) -> np.ndarray:
+    """Position of the least gram of every window, the first among equals.
+
+    Hash and position share 64 bits, so longer arrays are searched in pieces whose positions fit;
+    pieces overlap by a window less one gram.
+    """
+    want = LENGTH - GRAM + 1
+    out = np.empty(len(hashes) - want + 1, np.int64)
+    for base in range(0, len(out), _PLACES - want + 1):
+        part = hashes[base : base + _PLACES]
+        least = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64)
+        reach = 1
+        while reach * 2 <= want:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        least = np.minimum(least[: len(least) - (want - reach)], least[want - reach :])
+        out[base : base + len(least)] = (least & _LOW).astype(np.int64) + base
+    return out
+
+
 def anchors(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with one anchor: document number, anchor hash, first and last window.
 
@@ -80,13 +101,7 @@ def anchors(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if len(raw) < LENGTH:
         return none, none.astype(np.uint64), none, none, raw
     hashes = _gram_hashes(raw)
-    least = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
-    reach, want = 1, LENGTH - GRAM + 1
-    while reach * 2 <= want:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    least = np.minimum(least[: len(least) - (want - reach)], least[want - reach :])
-    owner = (least & _LOW).astype(np.int64)
+    owner = _owners(hashes)
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
     windows = np.maximum(sizes - LENGTH + 1, 0)
     begins = np.cumsum(sizes) - sizes

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_texts import prose
 from pyspark.sql import functions as F
 
 from pipelab.llm import curriculum as cu
@@ -261,6 +262,17 @@ def test_repeats_of_edge_cases(docs, empty, texts):
     assert dedup(docs) == brute_repeats(texts) and dedup(empty) == []
 
 
+def test_repeats_beyond_16_mib_of_a_text(spark):
+    """A passage in the tail of a text over 16 MiB, over its 2^24th byte, and a later copy of the tail."""
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, (1 << 24) + 30_000, dtype=np.uint8).tobytes().decode()
+    edge, tail, early = long[(1 << 24) - 400 : (1 << 24) + 400], long[-9000:-1000], prose(71, 300)
+    rows = [(1, early), (2, long + early), (3, edge + " new words here"), (4, "other new words " + tail)]
+    want = [(1, 0, 0), (2, len(early), 1), (3, 800, 1), (4, 8000, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(d, removed, spans) for d, _, removed, spans, _ in dedup(df)] == want
+
+
 def test_repeats_of_passages(spark, monkeypatch):
     monkeypatch.setattr(sd, "_ANCHORS", 300)
     monkeypatch.setattr(sd, "_PIECES", 100)
