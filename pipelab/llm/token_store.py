@@ -138,12 +138,13 @@ class WordEncoder:
         """All ids end to end, and the number of ids of each text."""
         if len(self._place) > _WORDS_KEPT:
             self._forget()
-        # Lower-casing A-Z ahead changes no id, but might make a special token of plain text.
-        texts = pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w and w not in self._place]
+        # Lower-casing ASCII words ahead changes no id, but might make a special token of plain text.
+        # In other words the tokenizer composes letters before it lower-cases them.
+        plain = pc.and_not(pc.string_is_ascii(coded.dictionary), pc.match_substring(coded.dictionary, "<"))
+        words = pc.if_else(plain, pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()
+        new = list(dict.fromkeys(w for w in words if w and w not in self._place))
         if new:
             self._learn(new)
         # An edge of white space gives an empty word, which has no ids.

@@ -45,6 +45,17 @@ def test_words_give_the_ids_of_whole_texts():
     assert sizes.tolist() == [len(whole.encode(t, add_special_tokens=False).ids) for t in odd] and sizes.sum() == len(ids)
 
 
+def test_capitals_are_composed_before_they_are_lowered():
+    """J, H, T, W and Y with marks that only their lower case has a letter for."""
+    whole = Tokenizer.from_file(PATH)
+    encoder = ts.WordEncoder(PATH)
+    odd = ["J\u030c", "H\u0331 h\u0331", "xT\u0308.", "W\u030aORD Word WORD word. WORD.", "Y\u030a, <|endoftext|> J\u030c"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in odd]
+    ids, sizes = encoder.encode(pa.array(odd))
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    assert len(encoder._place) == len(encoder._uses) == len(encoder._sizes)
+
+
 def test_forgetting_keeps_results(monkeypatch):
     monkeypatch.setattr(ts, "_WORDS_KEPT", 20)
     encoder = ts.WordEncoder(PATH)
