@@ -32,16 +32,18 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset(
     "html head title body header footer nav main article section aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
     "table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend label button "
-    "select option address details summary hr center dialog menu".split()
+    "select option address details summary hr center dialog menu noscript template svg object".split()
 )
-RAW = frozenset("script style noscript template svg iframe textarea object math".split())
+RAW = frozenset("script style iframe textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
-PARAGRAPH_ENDS = BLOCKS - {"label", "button", "select", "option", "html", "head", "title", "body"}
+PARAGRAPH_ENDS = BLOCKS - {
+    "label", "button", "select", "option", "html", "head", "title", "body", "noscript", "template", "svg", "object",
+}
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S
@@ -141,12 +143,12 @@ def parse(page: str, marker: str | None = None) -> Tree:
                 if open_[k][0] in shut:
                     del open_[k:]
                     break
-        if name in VOID:
+        if name in VOID or name == "svg" and m[3].endswith("/"):
             continue
         names = [w for a, x, y, z in _NAMES.findall(m[3]) for w in (_PART.findall((x or y or z).lower()) or [a.lower()])]
         top = open_[-1][1]
         mark = tree.marked[top] or (marker is not None and marker in m[3])
-        open_.append((name, tree.add(top, name, names[:12], None, 0, mark)))
+        open_.append((name, tree.add(top, name, names, None, 0, mark)))
     end_run()
     return tree
 

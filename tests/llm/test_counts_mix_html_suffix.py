@@ -213,6 +213,24 @@ def test_page_details(content_model):
     assert he.extract_texts(["", "<", "<!-- open", "<p", "<script>x", "</div></p>"], content_model) == [""] * 4 + ["", ""]
 
 
+def test_no_element_hides_text():
+    def leaves(page):
+        return [x for x in he.parse(page).text if x is not None]
+
+    assert leaves("<p>So <math><mi>x</mi> = <mn>1</mn></math> holds.</p><p>After.") == ["So x = 1 holds.", "After."]
+    for name in ("object", "svg", "template", "noscript"):
+        assert leaves(f"<article><{name}><p>inside</p><article><p>after</p></article>") == ["inside", "after"]
+        assert leaves(f"<{name}>a<{name}>b</{name}>c</{name}><p>d</p>") == ["a", "b", "c", "d"]
+        assert leaves(f"<{name}/><p>d</p>") == ["d"]
+    assert leaves("<p>a</p><script>no</script><style>no</style><iframe>no</iframe><textarea>no</textarea><p>b") == ["a", "b"]
+    assert leaves("<p>a</p><math><p>b</p>") == ["a", "b"]
+
+
+def test_all_words_of_a_class_are_seen():
+    tree = he.parse('<div class="' + " ".join(f"u{'x' * k}" for k in range(30)) + ' sidebar">text</div>')
+    assert "sidebar" in tree.names[1] and len(tree.names[1]) == 31
+
+
 def test_extract_pages(spark, content_model):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>" * 3000), (4, "w", "<div>" * 3000 + "deep"), (4, "w", "plain text only.")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
