@@ -4,10 +4,11 @@ A document leaks an item when a window of the item's length is similar to the it
 Jaccard of the sets of five-word shingles at least ``SIMILARITY``, the weight of a shingle
 being the number of its letters and digits. Case and punctuation do not count.
 
-1. *Windows.* A window is similar only if it shares a shingle with the item; the windows that
-   lay a shared shingle on its place in the item (moved inward at the ends of the text) are the
-   ones compared. Every shingle of every document is
-   joined with the items' shingles, which are broadcast when counted small.
+1. *Windows.* A window is similar only if the shingles it shares with the item weigh at least
+   ``SIMILARITY`` of the item. Every shingle of every document is joined with the items'
+   shingles, which are broadcast when counted small; running sums over the shared places of a
+   document and an item give every start whose window has that weight, and all of these are
+   compared.
 2. *Fingerprints.* Window and item get a 64-bit SimHash of their weighted shingles. It is cut
    into ``RADIUS`` + 1 blocks; fingerprints at most ``RADIUS`` bits apart agree in a block,
    so an equality join on (item, block, value) finds all of them.
@@ -17,13 +18,13 @@ At a similarity of 0.8 fingerprints differ in about 10 bits (standard deviation
 radius of 20 loses no window but those some 3.5 deviations out; higher similarities are nearer.
 
 Null and empty texts have no shingles and match nothing. A text or item of one to four words
-is one shingle as a whole, so such an item matches a document of just these words. Repeated
-rows of one id give one result, the best.
+is one shingle as a whole; such an item matches every document that has these words in a row.
+Repeated rows of one id give one result, the best.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
@@ -87,15 +88,49 @@ def _weight(shingles: Column) -> Column:
 
 
 def prepare_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Items with at least a word: item_id, size in words, shingles, fingerprint."""
+    """Items with at least a word: item_id, item_key of the row, size in words, shingles, fingerprint."""
     words = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
-    shingled = words.select(
-        "item_id", F.size("words").alias("n"), shingle_hashes(F.col("words")).alias("places"),
+    shingled = words.dropDuplicates(["item_id", "words"]).select(
+        "item_id", F.xxhash64("item_id", F.concat_ws(" ", "words")).alias("item_key"), F.size("words").alias("n"),
         weighted_shingles(F.col("words")).alias("item_shingles"),
     )
     return shingled.withColumn("item_bits", simhash(F.col("item_shingles")))
 
 
+def _short_hashes(words: Column, n: int) -> Column:
+    """Hash of the ``n`` words from every position, as an item of ``n`` words has it."""
+    several = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i + 1, n))))
+    return F.when(F.size(words) >= n, several).otherwise(F.array().cast("array<bigint>"))
+
+
+def _starts(hits: DataFrame) -> DataFrame:
+    """doc_key, item_key, and ranges (low to high) of starts whose window holds shared shingles of weight ``need``.
+
+    ``hits`` has a row for every shared place: doc_key, item_key, reach (places in a window less
+    one), need, pos, w. A place counts for the windows that start at most ``reach`` before it.
+    """
+    together = ["doc_key", "item_key", "reach", "need"]
+    enough = (
+        hits.groupBy(*together).agg(F.sum("w").alias("total"), F.collect_list(F.struct("pos", "w")).alias("places"))
+        .filter("total >= need")
+        .select(*together, F.explode("places").alias("p"))
+    )
+    events = enough.select(
+        *together,
+        F.explode(F.array(
+            F.struct((F.col("p.pos") - F.col("reach")).alias("low"), F.col("p.w").cast("long").alias("change")),
+            F.struct((F.col("p.pos") + 1).alias("low"), (-F.col("p.w")).cast("long").alias("change")),
+        )).alias("e"),
+    ).select(*together, "e.*")
+    along = Window.partitionBy(*together).orderBy("low")
+    return (
+        events.withColumn("held", F.sum("change").over(along.rangeBetween(Window.unboundedPreceding, 0)))
+        .withColumn("high", F.lead("low").over(along) - 1)
+        .filter("held >= need and low <= high")
+        .select("doc_key", "item_key", "low", "high")
+    )
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text",
@@ -103,36 +138,43 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, similarity (of the best window) and start (its first word) of every leak."""
     ready = prepare_items(items, item_id_col, item_text_col)
-    places = ready.select("item_id", "n", F.posexplode("places").alias("item_pos", "h"))
+    places = ready.select(
+        "item_key", F.when(F.col("n") >= SHINGLE, F.col("n") - SHINGLE).otherwise(0).alias("reach"), (_weight(F.col("item_shingles")) * similarity - 1e-6).alias("need"), F.explode("item_shingles").alias("s")
+    ).select("item_key", "reach", "need", "s.h", "s.w")
     small = places.limit(broadcast_rows + 1).count() <= broadcast_rows
-    worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    spots = worded.select("doc_id", F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "h"))
-    starts = (
-        spots.join(F.broadcast(places) if small else places, "h")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("start"))
-        .distinct()
+    short = [r["n"] for r in ready.filter(F.col("n") < SHINGLE).select("n").distinct().collect()]
+    worded = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc_key"), words_of(F.col(text_col)).alias("words")
     )
-    found = starts.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "start")).alias("starts"))
+    spots = worded.select("doc_key", F.posexplode(shingle_hashes(F.col("words"))).alias("pos", "h"))
+    for n in short:
+        spots = spots.unionByName(worded.filter(F.size("words") > n).select("doc_key", F.posexplode(_short_hashes(F.col("words"), n)).alias("pos", "h")))
+    hits = spots.join(F.broadcast(places) if small else places, "h")
+    found = _starts(hits).groupBy("doc_key").agg(F.collect_list(F.struct("item_key", "low", "high")).alias("ranges"))
+    last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
     windows = (
-        worded.join(found, "doc_id")
-        .select("doc_id", "words", F.explode("starts").alias("s"))
-        .select("doc_id", "words", F.col("s.item_id").alias("item_id"), F.col("s.start").alias("start"))
-        .join(F.broadcast(ready) if small else ready, "item_id")
+        worded.filter(F.col("doc_id").isNotNull())
+        .join(found, "doc_key")
+        .select("doc_id", "words", F.explode("ranges").alias("r"))
+        .select("doc_id", "words", "r.*")
+        .join(F.broadcast(ready) if small else ready, "item_key")
+        .withColumns({"low": F.greatest(F.lit(0), F.col("low")), "high": F.least(F.col("high"), last)})
+        .filter("low <= high")
+        .withColumn("start", F.explode(F.sequence("low", "high")))
     )
-    first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("words") - F.col("n")))
-    cut = windows.withColumn("start", first).withColumn("window", F.slice("words", F.col("start") + 1, F.col("n"))).drop("words").distinct()
+    cut = windows.select("doc_id", "item_key", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
     hashed = cut.withColumn("shingles", weighted_shingles(F.col("window"))).withColumn("bits", simhash(F.col("shingles")))
     probes = hashed.select(
-        "doc_id", "item_id", "start", "shingles", "bits", F.explode(_blocks(F.col("bits"), BITS, radius)).alias("b")
+        "doc_id", "item_key", "item_id", "start", "shingles", "bits", F.explode(_blocks(F.col("bits"), BITS, radius)).alias("b")
     ).select("*", "b.block", "b.value")
-    index = ready.select("item_id", "item_shingles", "item_bits", F.explode(_blocks(F.col("item_bits"), BITS, radius)).alias("b")).select(
-        "item_id", "item_shingles", "item_bits", "b.block", "b.value"
+    index = ready.select("item_key", "item_shingles", "item_bits", F.explode(_blocks(F.col("item_bits"), BITS, radius)).alias("b")).select(
+        "item_key", "item_shingles", "item_bits", "b.block", "b.value"
     )
     apart = F.aggregate(F.zip_with("bits", "item_bits", lambda a, b: F.abs(a - b)), F.lit(0), lambda acc, x: acc + x)
     near = (
-        probes.join(F.broadcast(index) if small else index, ["item_id", "block", "value"])
+        probes.join(F.broadcast(index) if small else index, ["item_key", "block", "value"])
         .filter(apart <= radius)
-        .dropDuplicates(["doc_id", "item_id", "start", "shingles"])
+        .dropDuplicates(["doc_id", "item_key", "start", "shingles"])
     )
     shared = _weight(F.array_intersect("shingles", "item_shingles"))
     alike = shared / (_weight(F.col("shingles")) + _weight(F.col("item_shingles")) - shared)
