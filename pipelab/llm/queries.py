@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipelab.llm import curriculum, decontaminate, fingerprint, html_extract, jaccard_join, language_spans, quality_rules, suffix_dedup, token_counts, token_store
+from pipelab.llm import (
+    byte_shards, centroid_clusters, curriculum, decontaminate, fingerprint, html_extract, jaccard_join, language_spans, quality_rules, suffix_dedup,
+    token_alignment, token_counts, token_store,
+)
 from pipelab.session import scratch_path
 
 END_ID = 2
@@ -88,6 +91,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-alignment")
+    token_alignment.write_alignment(table(spark, sf_dir, "documents"), out, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return token_alignment.measured_documents(spark, out)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards.balanced_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_fingerprint": op2_fingerprint,
@@ -99,9 +116,48 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_spans": op9_language_spans,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_byte_shards": op13_byte_shards,
 }
 
+
+def _cluster_rounds(rounds: int) -> str:
+    """CTEs ``at0``, ``c0`` and so on: nearest centroid of every vector, and the centroids after that round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT v.vec_id, c.n, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{k} c),
+at{k} AS (SELECT vec_id, CAST(arg_min(n, [CAST(d AS BIGINT), n]) AS INT) AS cluster, CAST(min(d) AS BIGINT) AS distance FROM d{k} GROUP BY vec_id)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT a.cluster, i.i, CAST(floor(sum(v.x[i.i]) / count(*)) AS BIGINT) AS m FROM at{k} a JOIN v ON a.vec_id = v.vec_id, (SELECT unnest(range(1, 65)) AS i) i GROUP BY a.cluster, i.i),
+c{k + 1} AS (SELECT c.n, coalesce((SELECT list(m ORDER BY i) FROM s{k} WHERE cluster = c.n), c.x) AS x FROM c{k} c)""")
+    return ",\n".join(steps)
+
+
 CHECK_SQL = {
+    "op12_centroid_clusters": f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id))) - 1 AS n, x FROM (SELECT * FROM v ORDER BY sha256(concat('2:', vec_id)) LIMIT 40)),
+{_cluster_rounds(centroid_clusters.ROUNDS)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM at{centroid_clusters.ROUNDS} JOIN c{centroid_clusters.ROUNDS} c ON cluster = c.n""",
+    "op13_byte_shards": r"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab),
+sized AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+                         lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, t),
+placed AS (
+  SELECT *, CAST(sum(size) OVER w - size AS BIGINT) AS ahead, CAST(sum(size) OVER () AS BIGINT) AS total, row_number() OVER w AS place
+  FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cut AS (SELECT *, CAST(((2 * ahead + size) * 40) // (2 * total) AS INT) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM cut""",
     "op6_curriculum": r"""
 WITH sized AS (
   SELECT doc_id, source, text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,

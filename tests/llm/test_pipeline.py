@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from test_counts_mix_html_suffix import brute_positions
-from test_decontaminate import brute as brute_leaks
+from test_decontaminate import brute_every_start as brute_leaks
 from test_jaccard_join import brute as brute_components
 
 import __spark_entry__ as entry_point
@@ -13,7 +13,7 @@ from pipelab.llm.queries import END_ID, tokenizer_path
 
 def test_all_are_registered():
     names = entry_point.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
