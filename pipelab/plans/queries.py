@@ -1118,9 +1118,20 @@ def m11_save_load_model(spark, sf_dir):
     )
 
 
+def _large(spark, sf_dir) -> ev.Evaluation:
+    raw = views.clf_big(spark, sf_dir).drop("score", "y_pred", "constant_feature")
+    return ev.evaluate_spec(raw, PipelineSpec("large", "logistic", {"max_iter": 20}), TARGET, IDS)
+
+
 @query("m6_evaluate_large", _facts_sql("large", "clf_big"))
 def m6_evaluate_large(spark, sf_dir):
     """Split, preparation, training, scoring and metrics on the large table."""
-    raw = views.clf_big(spark, sf_dir).drop("score", "y_pred", "constant_feature")
-    spec = PipelineSpec("large", "logistic", {"max_iter": 20})
-    return _facts(spark, ev.evaluate_spec(raw, spec, TARGET, IDS))
+    return _facts(spark, _large(spark, sf_dir))
+
+
+def large_report(spark, sf_dir) -> DataFrame:
+    """(metric, value) of the held-out rows of the large table."""
+    done = _large(spark, sf_dir)
+    if done.error:
+        raise RuntimeError(done.error)
+    return me.metrics_report(done.predictions, "binary")

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry_point
 
 SF = "/root/testdata/sf0.001"
-TABLES = "part orders lineitem events documents labels conversations".split()
+TABLES = "part orders lineitem events documents labels conversations embeddings".split()
 SQL = entry_point.oracle_sql()
 
 
