@@ -37,14 +37,18 @@ from pyspark.sql import functions as F
 from pipelab.llm.batches import bound_batches, release
 
 #: Segments a chunk holds at least, but the last one of a task; documents are not cut.
-CHUNK_SEGMENTS = 1 << 20
-_SEGMENTS_KEPT = 200_000
+CHUNK_SEGMENTS = 1 << 18
+_SEGMENTS_KEPT = 150_000
 _LETTERS_KEPT = 1 << 25
 _CHUNK_ROWS = 256
+SPACE = "▁"
 #: A space with a character other than white space (as any of the two tokenizers may see it) on both sides.
 _PLAIN = "[^\\s\\x00-\\x20\\u180e\\u200b\\u2581\\ufeff]"
 BORDER = re.compile(f"(?<={_PLAIN}) (?={_PLAIN})")
-SPACE = "▁"
+_JOINABLE = re.compile(f"{_PLAIN}(?:[^{SPACE}]*{_PLAIN})?", re.DOTALL).fullmatch
+_JOINED = 256
+#: Ids as text, for vocabularies up to this size.
+_DECIMAL = [str(k) for k in range(1 << 17)]
 
 CHUNK_SCHEMA = (
     "chunk long, doc_ids array<long>, doc_ends binary, places binary, sizes binary, groups array<string>, "
@@ -128,18 +132,37 @@ class Aligner:
                 raise ValueError(f"a token goes on over a space: {token!r}")
         self._a_sizes = np.array([len(x) for x in self._a_bytes], np.int64)
         self._b_sizes = np.array([len(x) for x in self._b_bytes], np.int64)
-        self.forget()
+        self.reset()
 
-    def forget(self) -> None:
+    def reset(self) -> None:
         self.place: dict[str, int] = {}
         self.letters = 0
         self.groups: list[str] = []
         self._sizes = _Pool(np.int32)  # five numbers a segment
         self._pairs = _Pool(np.int64)
+        self._uses = _Pool(np.int64)
 
     def full(self) -> bool:
         return len(self.place) > _SEGMENTS_KEPT or self.letters > _LETTERS_KEPT
 
+    def forget(self) -> None:
+        """Keep segments met more than once, the half met most often at most; their places change."""
+        uses, words = self._uses.values(), list(self.place)
+        keep = np.sort(np.argsort(-uses, kind="stable")[: min(_SEGMENTS_KEPT // 2, int((uses > 1).sum()))])
+        kept = [words[k] for k in keep.tolist()]
+        groups, sizes, pairs, uses = [self.groups[k] for k in keep.tolist()], self.sizes[keep].ravel(), self.pairs_of(keep), uses[keep] // 2
+        self.reset()
+        if sum(map(len, kept)) <= _LETTERS_KEPT // 2:
+            self._remember(kept, groups, sizes, pairs, uses)
+
+    def _remember(self, words: list[str], groups: list[str], sizes: np.ndarray, pairs: np.ndarray, uses: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.letters += sum(map(len, words))
+        self.groups.extend(groups)
+        self._sizes.add(sizes)
+        self._pairs.add(pairs)
+        self._uses.add(uses)
+
     @property
     def sizes(self) -> np.ndarray:
         """Per segment: tokens of A, of B, groups, links, and 1 where its tokens give back its bytes."""
@@ -151,40 +174,50 @@ class Aligner:
         starts, n = (np.cumsum(links) - links)[places], links[places]
         return self._pairs.values()[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B over space + each text, end to end, and which texts are given back by them; the others have no ids."""
+        a_ids = [e.ids for e in self._a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        b_ids = self._b.encode(texts, num_threads=1)
+        whole = np.zeros(len(texts), bool)
+        for k, t in enumerate(texts):
+            raw = f" {t}".encode()
+            whole[k] = b"".join(map(self._a_bytes.__getitem__, a_ids[k])) == raw == b"".join(map(self._b_bytes.__getitem__, b_ids[k]))
+        flat = [np.array([x for k in np.flatnonzero(whole) for x in ids[k]], np.int64) for ids in (a_ids, b_ids)]
+        return flat[0], flat[1], whole
+
     def learn(self, words: list[str]) -> None:
-        """Encode and align new segments, each given without the space that it begins with."""
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.letters += sum(map(len, words))
-        a_ids = [e.ids for e in self._a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
-        b_ids = self._b.encode(words, num_threads=1)
-        table = np.zeros((len(words), 5), np.int32)
-        for k, w in enumerate(words):
-            raw = f" {w}".encode()
-            if w and b"".join(map(self._a_bytes.__getitem__, a_ids[k])) == raw and b"".join(map(self._b_bytes.__getitem__, b_ids[k])) == raw:
-                table[k, 0], table[k, 1], table[k, 4] = len(a_ids[k]), len(b_ids[k]), 1
-        whole = np.flatnonzero(table[:, 4])
-        a_flat = np.array([x for k in whole for x in a_ids[k]], np.int64)
-        b_flat = np.array([x for k in whole for x in b_ids[k]], np.int64)
-        a_group, b_group, a_token, b_token = coalesce(self._a_sizes[a_flat], self._b_sizes[b_flat])
-        texts = self._texts(a_flat, a_group, b_flat, b_group)
-        owner = np.repeat(whole, table[whole, 0])
-        table[:, 3] = np.bincount(owner[a_token], minlength=len(words))
-        held = np.zeros(len(words), np.int64)
-        if len(whole):
-            ends = a_group[np.cumsum(table[whole, 0]) - 1] + 1
-            held[whole] = np.diff(ends, prepend=0)
-        table[:, 2] = held
-        at = np.cumsum(held) - held
-        self.groups.extend(";".join(texts[s : s + n]) for s, n in zip(at.tolist(), held.tolist()))
-        self._sizes.add(table.ravel())
-        self._pairs.add(a_flat[a_token] << 32 | b_flat[b_token])
+        """Encode and align new segments, each given without the space that it begins with.
+
+        Segments that begin and end with plain characters are encoded many at a time, put together as a text.
+        """
+        joint = [w for w in words if _JOINABLE(w)]
+        texts = [" ".join(joint[k : k + _JOINED]) for k in range(0, len(joint), _JOINED)]
+        a_flat, b_flat, whole = self._encoded(texts)
+        odd = [w for w in words if not _JOINABLE(w)] + [w for k in np.flatnonzero(~whole) for w in joint[k * _JOINED : (k + 1) * _JOINED]]
+        a_odd, b_odd, good = self._encoded(odd)
+        fine = [w for k in np.flatnonzero(whole) for w in joint[k * _JOINED : (k + 1) * _JOINED]] + [w for w, g in zip(odd, good) if g]
+        self._align(fine, np.concatenate([a_flat, a_odd]), np.concatenate([b_flat, b_odd]))
+        lost = [w for w, g in zip(odd, good) if not g]
+        self._remember(lost, [""] * len(lost), np.zeros(5 * len(lost), np.int32), np.zeros(0, np.int64), np.zeros(len(lost), np.int64))
+
+    def _align(self, words: list[str], a_flat: np.ndarray, b_flat: np.ndarray) -> None:
+        a_size, b_size = self._a_sizes[a_flat], self._b_sizes[b_flat]
+        a_group, b_group, a_token, b_token = coalesce(a_size, b_size)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        a_upto, b_upto = np.searchsorted(np.cumsum(a_size), ends, "right"), np.searchsorted(np.cumsum(b_size), ends, "right")
+        upto = np.stack([a_upto, b_upto, a_group[a_upto - 1] + 1, np.searchsorted(a_token, a_upto)], axis=1) if words else np.zeros((0, 4), np.int64)
+        table = np.ones((len(words), 5), np.int32)
+        table[:, :4] = np.diff(upto, axis=0, prepend=0)
+        texts, cuts = self._texts(a_flat, a_group, b_flat, b_group), [0, *upto[:, 2].tolist()]
+        groups = [";".join(texts[s:e]) for s, e in zip(cuts, cuts[1:])]
+        self._remember(words, groups, table.ravel(), a_flat[a_token] << 32 | b_flat[b_token], np.zeros(len(words), np.int64))
 
     @staticmethod
     def _texts(a_flat: np.ndarray, a_group: np.ndarray, b_flat: np.ndarray, b_group: np.ndarray) -> list[str]:
         """``a1,a2|b1`` of every group."""
 
         def joined(flat: np.ndarray, group: np.ndarray) -> list[str]:
-            ids = list(map(str, flat.tolist()))
+            ids = list(map(_DECIMAL.__getitem__, flat.tolist()))
             cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(ids)]
             return [ids[s] if e - s == 1 else ",".join(ids[s:e]) for s, e in zip(cuts, cuts[1:])]
 
@@ -198,6 +231,8 @@ class Aligner:
             self.learn(new)
         get, good = self.place.__getitem__, self.sizes[:, 4]
         found = [np.fromiter(map(get, words), np.int64, len(words)) for words in split]
+        uses = self._uses.values()
+        uses += np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=len(uses))
         return [x if good[x].all() else x[:0] for x in found]
 
 

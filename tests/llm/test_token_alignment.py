@@ -114,15 +114,19 @@ def test_small_chunks_and_forgetting_change_nothing(spark, texts, monkeypatch):
     assert _rows(got) == brute(rows)
     assert ta.open_alignment(spark, out).filter("size(doc_ids) > 0").count() > 3
 
-    aligner, kept = ta.Aligner(A, B), []
-    monkeypatch.setattr(ta, "_SEGMENTS_KEPT", 50)
-    monkeypatch.setattr(ta, "_CHUNK_ROWS", 4)
-    for text in [t or "" for _, t in texts]:
+
+def test_forgetting_keeps_results(texts, monkeypatch):
+    whole, aligner, forgot = ta.Aligner(A, B), ta.Aligner(A, B), 0
+    monkeypatch.setattr(ta, "_SEGMENTS_KEPT", 60)
+    for text in [t or "" for _, t in texts] + ODD + [prose(k % 5, 40) for k in range(30)]:
         if aligner.full():
             aligner.forget()
-        kept.append(len(aligner.place))
-        aligner.locate([text])
-    assert kept.count(0) > 1
+            forgot += 1
+            assert len(aligner.place) == len(aligner.groups) == len(aligner.sizes) <= 30
+        (got,), (want,) = aligner.locate([text]), whole.locate([text])
+        assert [aligner.groups[k] for k in got.tolist()] == [whole.groups[k] for k in want.tolist()]
+        assert (aligner.sizes[got] == whole.sizes[want]).all() and (aligner.pairs_of(got) == whole.pairs_of(want)).all()
+    assert forgot > 10
 
 
 def test_groups_can_be_read_back(spark, docs, texts):
