@@ -11,8 +11,9 @@ for both vocabularies when they are loaded), so a text is cut there into segment
 is encoded and aligned once for as long as it is remembered. Groups never cross a segment's
 border, because tokens of both sides end there.
 
-Aligned texts are stored in *chunks* of whole documents: the places of the document's segments, the
-segments with their groups, and the id pairs that are linked in the chunk with their numbers of links. Corpus-wide counts come
+Aligned texts are stored in *chunks* of whole documents: sizes and the digest of the groups of every document
+(the groups themselves where asked for), the id pairs that are linked in the chunk with their numbers of links, and the
+links of every document as places among these pairs. Corpus-wide counts come
 from the chunks' pairs; each chunk gets back the counts of its own pairs, so nothing that
 grows with the corpus is broadcast, and a frequent pair is one row a chunk.
 
@@ -37,10 +38,11 @@ from pyspark.sql import functions as F
 from pipelab.llm.batches import bound_batches, release
 
 #: Segments a chunk holds at least, but the last one of a task; documents are not cut.
-CHUNK_SEGMENTS = 1 << 18
+CHUNK_SEGMENTS = 1 << 20
 _SEGMENTS_KEPT = 150_000
 _LETTERS_KEPT = 1 << 25
 _CHUNK_ROWS = 256
+_LINKED_AT_ONCE = 1 << 16
 SPACE = "▁"
 #: A space with a character other than white space (as any of the two tokenizers may see it) on both sides.
 _PLAIN = "[^\\s\\x00-\\x20\\u180e\\u200b\\u2581\\ufeff]"
@@ -51,12 +53,12 @@ _JOINED = 256
 _DECIMAL = [str(k) for k in range(1 << 17)]
 
 CHUNK_SCHEMA = (
-    "chunk long, doc_ids array<long>, doc_ends binary, places binary, sizes binary, groups array<string>, "
-    "pair_places binary, pair_keys array<long>, pair_links array<long>"
+    "chunk long, doc_ids array<long>, sizes binary, digests array<string>, groups array<string>, "
+    "width int, links binary, pair_keys array<long>, pair_links array<long>"
 )
 _ARROW = pa.schema([
-    ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()),
-    ("groups", pa.list_(pa.string())), ("pair_places", pa.binary()), ("pair_keys", pa.list_(pa.int64())), ("pair_links", pa.list_(pa.int64())),
+    ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("digests", pa.list_(pa.string())), ("groups", pa.list_(pa.string())),
+    ("width", pa.int32()), ("links", pa.binary()), ("pair_keys", pa.list_(pa.int64())), ("pair_links", pa.list_(pa.int64())),
 ])
 
 
@@ -74,6 +76,18 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(SPACE, " ").encode()
 
 
+def segments(text: str) -> list[str]:
+    """The text cut at borders. Where only plain characters, single spaces and line breaks apart from these occur, every space is one."""
+    if not text:
+        return []
+    if (
+        text.replace("\n", "x").isprintable() and text[0] != " " and text[-1] != " "
+        and not any(x in text for x in ("  ", " \n", "\n ", SPACE))
+    ):
+        return text.split(" ")
+    return BORDER.split(text)
+
+
 def coalesce(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Group of every A token and of every B token, and the linked pairs (A token, B token), for tokens of these sizes in bytes, end to end from 0."""
     a_end, b_end = np.cumsum(a_sizes), np.cumsum(b_sizes)
@@ -225,8 +239,8 @@ class Aligner:
 
     def locate(self, texts: list[str]) -> list[np.ndarray]:
         """Places of the segments of each text; none of a text that is empty or not given back by its tokens."""
-        split = [BORDER.split(t) if t else [] for t in texts]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.place]
+        split = [segments(t) for t in texts]
+        new = list(set().union(*split).difference(self.place))
         if new:
             self.learn(new)
         get, good = self.place.__getitem__, self.sizes[:, 4]
@@ -241,26 +255,31 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
-def _chunk(aligner: Aligner, number: int, docs: list, found: list[np.ndarray]) -> pa.RecordBatch:
+def _chunk(aligner: Aligner, number: int, docs: list, found: list[np.ndarray], keep_groups: bool) -> pa.RecordBatch:
     flat = np.concatenate(found)
     used = np.bincount(flat, minlength=len(aligner.place))
     distinct = np.flatnonzero(used)
-    renumbered = np.zeros(len(used), np.uint32)
-    renumbered[distinct] = np.arange(len(distinct), dtype=np.uint32)
-    sizes = aligner.sizes[distinct, :4]
-    keys, pair = np.unique(aligner.pairs_of(distinct), return_inverse=True)
-    links = np.zeros(len(keys), np.int64)
-    np.add.at(links, pair, np.repeat(used[distinct], sizes[:, 3]))
+    keys = np.unique(aligner.pairs_of(distinct))
+    width = 2 if len(keys) <= 1 << 16 else 4
+    sizes, links, digests, groups = np.zeros((len(docs), 4), "<i8"), [], [], []
+    counts = np.zeros(len(keys), np.int64)
+    for k, places in enumerate(found):
+        sizes[k] = aligner.sizes[places, :4].sum(axis=0, dtype=np.int64)
+        text = ";".join(map(aligner.groups.__getitem__, places.tolist()))
+        digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+        groups.append(text)
+    for k in range(0, len(flat), _LINKED_AT_ONCE):
+        at = np.searchsorted(keys, aligner.pairs_of(flat[k : k + _LINKED_AT_ONCE]))
+        counts += np.bincount(at, minlength=len(keys))
+        links.append(at.astype(f"<u{width}").tobytes())
     row = {
-        "chunk": number, "doc_ids": docs, "doc_ends": np.cumsum([len(x) for x in found]).astype("<i8").tobytes(),
-        "places": renumbered[flat].astype("<u4").tobytes(), "sizes": sizes.astype("<i4").tobytes(),
-        "groups": [aligner.groups[k] for k in distinct.tolist()], "pair_places": pair.astype("<u4").tobytes(),
-        "pair_keys": keys, "pair_links": links,
+        "chunk": number, "doc_ids": docs, "sizes": sizes.tobytes(), "digests": digests, "groups": groups if keep_groups else None,
+        "width": width, "links": b"".join(links), "pair_keys": keys, "pair_links": counts,
     }
     return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _ARROW], schema=_ARROW)
 
 
-def _storer(a_path: str, b_path: str, segments: int):
+def _storer(a_path: str, b_path: str, chunk_segments: int, keep_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
         number = TaskContext.get().partitionId() << 32
@@ -268,9 +287,9 @@ def _storer(a_path: str, b_path: str, segments: int):
         for batch in batches:
             for at in range(0, batch.num_rows, _CHUNK_ROWS):
                 part = batch.slice(at, _CHUNK_ROWS)
-                if held >= segments or aligner.full():
+                if held >= chunk_segments or aligner.full():
                     if docs:  # a chunk refers to segments that are remembered
-                        yield _chunk(aligner, number, docs, found)
+                        yield _chunk(aligner, number, docs, found, keep_groups)
                         number, docs, found, held = number + 1, [], [], 0
                     if aligner.full():
                         aligner.forget()
@@ -278,19 +297,20 @@ def _storer(a_path: str, b_path: str, segments: int):
                 docs.extend(part.column("id").to_pylist())
                 held += sum(map(len, found[-part.num_rows :]))
         if docs:
-            yield _chunk(aligner, number, docs, found)
+            yield _chunk(aligner, number, docs, found, keep_groups)
         release()
 
     return run
 
 
 def write_alignment(
-    docs: DataFrame, out: str, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_segments: int = CHUNK_SEGMENTS
+    docs: DataFrame, out: str, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
+    chunk_segments: int = CHUNK_SEGMENTS, keep_groups: bool = False,
 ) -> None:
-    """Encode and align every whole text (null: empty) and write the chunks; no shuffle."""
+    """Encode and align every whole text (null: empty) and write the chunks, with the groups of every document where asked for; no shuffle."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows.mapInArrow(_storer(a_path, b_path, chunk_segments), CHUNK_SCHEMA).write.mode("overwrite").parquet(out)
+    rows.mapInArrow(_storer(a_path, b_path, chunk_segments, keep_groups), CHUNK_SCHEMA).write.mode("overwrite").parquet(out)
 
 
 def open_alignment(spark: SparkSession, path: str) -> DataFrame:
@@ -307,36 +327,24 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     return named.withColumn("best", F.col("links") == F.max("links").over(Window.partitionBy("b_id")))
 
 
-def _documents(row: dict) -> Iterator[tuple[np.ndarray, int]]:
-    """Segment places of every document of a chunk."""
-    places, start = np.frombuffer(row["places"], "<u4").astype(np.int64), 0
-    for end in np.frombuffer(row["doc_ends"], "<i8").tolist():
-        yield places[start:end]
-        start = end
-
-
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {n: batch.column(n)[k].as_py() for n in ("doc_ids", "doc_ends", "places", "sizes", "groups", "pair_places")}
-            counted = batch.column("counted")[k].values
-            scores = np.zeros((2, 0 if counted is None else len(counted)), np.int64)
-            if counted is not None:
-                at = counted.field("at").to_numpy()
-                scores[0, at], scores[1, at] = counted.field("links").to_numpy(), counted.field("best").to_numpy(zero_copy_only=False)
-            sizes = np.frombuffer(row["sizes"], "<i4").reshape(-1, 4).astype(np.int64)
-            owner = np.repeat(np.arange(len(sizes)), sizes[:, 3])
-            linked = scores[:, np.frombuffer(row["pair_places"], "<u4")]
-            facts = np.zeros((len(sizes), 6), np.int64)  # of a segment: sizes, links with the best count, sum of counts
-            facts[:, :4] = sizes
-            np.add.at(facts[:, 4], owner, linked[1])
-            np.add.at(facts[:, 5], owner, linked[0])
-            table, digests = np.zeros((len(row["doc_ids"]), 6), np.int64), []
-            for n, places in enumerate(_documents(row)):
-                table[n] = facts[places].sum(axis=0)
-                digests.append(hashlib.sha256(";".join(map(row["groups"].__getitem__, places.tolist())).encode()).hexdigest() if len(places) else "")
+            doc_ids, digests, counted = (batch.column(n)[k].values for n in ("doc_ids", "digests", "counted"))
+            sizes = np.frombuffer(batch.column("sizes")[k].as_buffer(), "<i8").reshape(-1, 4)
+            facts = [sizes[:, 0], sizes[:, 1], sizes[:, 2], sizes[:, 3]]
+            if counted is None:  # no document of the chunk has tokens
+                facts += [np.zeros(len(sizes), np.int64)] * 2
+            else:
+                at, links = counted.field("at").to_numpy(), np.frombuffer(batch.column("links")[k].as_buffer(), f"<u{batch.column('width')[k].as_py()}")
+                ends = np.cumsum(sizes[:, 3])
+                for name in ("best", "links"):
+                    score = np.zeros(len(at) + 1, np.int64)
+                    score[at] = counted.field(name).to_numpy(zero_copy_only=False)
+                    upto = np.concatenate([[0], np.cumsum(score[links])])
+                    facts.append(upto[ends] - upto[ends - sizes[:, 3]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), *[pa.array(table[:, c]) for c in range(6)], pa.array(digests, pa.string())],
+                [doc_ids, *[pa.array(x) for x in facts], digests],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
             )
     release()
@@ -348,22 +356,15 @@ def measured_documents(spark: SparkSession, path: str) -> DataFrame:
     counts = pair_counts(chunks).select("key", "links", "best")
     asked = chunks.select("chunk", F.posexplode("pair_keys").alias("at", "key"))
     answers = asked.join(counts, "key").groupBy("chunk").agg(F.collect_list(F.struct("at", "links", "best")).alias("counted"))  # as many as the chunk has pairs
-    whole = chunks.drop("pair_keys", "pair_links").join(answers, "chunk", "left").drop("chunk")
+    whole = chunks.select("chunk", "doc_ids", "sizes", "digests", "width", "links").join(answers, "chunk", "left").drop("chunk")
     return whole.mapInArrow(
         _measure, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     )
 
 
-def _read_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            texts = [";".join(map(row["groups"].__getitem__, places.tolist())) for places in _documents(row)]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-
 def aligned_groups(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and groups (structs of a_ids and b_ids, in text order) of every document of a store; none without tokens."""
-    texts = open_alignment(spark, path).select("doc_ids", "doc_ends", "places", "groups").mapInArrow(_read_groups, "doc_id long, text string")
-    ids = lambda x: F.split(x, ",").cast("array<int>")
-    groups = F.transform(F.split("text", ";"), lambda g: F.struct(ids(F.split_part(g, F.lit("|"), F.lit(1))).alias("a_ids"), ids(F.split_part(g, F.lit("|"), F.lit(2))).alias("b_ids")))
+    """doc_id and groups (structs of a_ids and b_ids, in text order) of every document of a store that keeps groups; none without tokens."""
+    texts = open_alignment(spark, path).select(F.explode(F.arrays_zip("doc_ids", "groups")).alias("d")).select(F.col("d.doc_ids").alias("doc_id"), F.col("d.groups").alias("text"))
+    ids = lambda g, side: F.split(F.split_part(g, F.lit("|"), F.lit(side)), ",").cast("array<int>")
+    groups = F.transform(F.split("text", ";"), lambda g: F.struct(ids(g, 1).alias("a_ids"), ids(g, 2).alias("b_ids")))
     return texts.select("doc_id", F.when(F.col("text") != "", groups).otherwise(F.array().cast("array<struct<a_ids:array<int>,b_ids:array<int>>>")).alias("groups"))

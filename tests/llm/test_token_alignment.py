@@ -103,6 +103,22 @@ def test_segments_give_the_tokens_of_whole_texts():
         assert pairs == Counter(want[1] if want else [])
 
 
+def test_fast_cut_is_that_of_borders():
+    rng = random.Random(9)
+    for text in ODD + ["".join(rng.choices("ab .\n\té\u3000\u2581\x00", k=rng.randint(1, 12))) for _ in range(5000)] + ["one two\nthree four"]:
+        assert ta.segments(text) == ta.BORDER.split(text)
+    assert ta.segments("") == []
+
+
+def test_many_pairs_take_wide_places(monkeypatch):
+    aligner = ta.Aligner(A, B)
+    found = aligner.locate([prose(k, 50) for k in range(20)])
+    narrow = ta._chunk(aligner, 0, list(range(20)), found, False).to_pylist()[0]
+    monkeypatch.setattr(ta, "_LINKED_AT_ONCE", 7)
+    again = ta._chunk(aligner, 0, list(range(20)), found, False).to_pylist()[0]
+    assert narrow == again and narrow["width"] == 2 and sum(narrow["pair_links"]) == len(narrow["links"]) // 2
+
+
 def test_equals_brute_force(spark, docs, texts):
     assert _rows(_measured(spark, docs)[1]) == brute(texts)
 
@@ -130,7 +146,7 @@ def test_forgetting_keeps_results(texts, monkeypatch):
 
 
 def test_groups_can_be_read_back(spark, docs, texts):
-    out, _ = _measured(spark, docs)
+    out, _ = _measured(spark, docs, keep_groups=True)
     a, b = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
     want = []
     for d, t in texts:
