@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pipelab.sources.csv_records import read_csv_records
+
 #: Words of a CSV file that stand for a missing value; fixed values.
 NULL_WORDS = ("NA", "N/A", "n/a", "NaN", "nan", "NULL", "null", "None", "<NA>", "#N/A", "-nan", "-NaN")
 DONE = "_DONE"
@@ -24,18 +26,17 @@ ARCHIVE_TABLES = {
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, target: str | None = None, multi_line: bool = True, null_words: tuple[str, ...] = NULL_WORDS) -> DataFrame:
     """Read CSV or Parquet; rows without a target are dropped when a target is named.
 
-    Give a schema for CSV: without one the file is read twice. CSV fields may be quoted,
-    with doubled quotes and line breaks inside (``multi_line``; without it files are cut
-    into splits). Words that stand for a missing value become null.
+    Give a schema for CSV: without one the file is read once more. CSV fields may be quoted,
+    with doubled quotes and, unless ``multi_line`` is off, line breaks inside; files are cut into
+    splits either way. Words that stand for a missing value become null.
     """
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
-        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
+        if multi_line:
+            df = read_csv_records(spark, path, schema)
         else:
-            reader = reader.schema(schema)
-        df = reader.csv(path)
+            reader = spark.read.option("header", True).option("escape", '"')
+            df = (reader.option("inferSchema", True) if schema is None else reader.schema(schema)).csv(path)
         words = F.lit([*null_words]) if null_words else None
         if words is not None:
             df = df.select(*[
