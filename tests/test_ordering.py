@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pipelab.operators.ordering import exact_quantiles, into_ranges, preceding, range_splits, ranked
+from pipelab.operators.ordering import _counted, exact_quantiles, order_statistics, into_ranges, preceding, range_splits, ranked
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,35 @@ def test_exact_quantiles(spark, limit):
 def test_even_median_with_null(spark, limit):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5], distinct_limit=limit).first()["value"] == 2.5
+
+
+@pytest.mark.parametrize("accuracy,fetched", [(10_000, 200_000), (40, 300)])
+def test_order_statistics_of_odd_columns(spark, accuracy, fetched):
+    """Ties, infinities, NaN (above all numbers), nulls, extremes; loose sketches make brackets that are cut again, or missed."""
+    rng = random.Random(accuracy)
+    columns = {
+        "normal": [rng.gauss(0, 1) for _ in range(3000)],
+        "tied": [rng.choice([7.0, rng.random() * 10]) for _ in range(3000)],
+        "skewed": [rng.random() ** 40 for _ in range(3000)],
+        "odd": [rng.choice([float("inf"), float("-inf"), float("nan"), rng.random()]) for _ in range(3000)],
+        "holes": [rng.choice([None, rng.random()]) for _ in range(3000)],
+        "one": [3.0] * 3000,
+        "none": [None] * 3000,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(6)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    counts, found = order_statistics(df, {c: probs for c in columns}, accuracy, fetched)
+    for c, xs in columns.items():
+        known = sorted((x for x in xs if x is not None), key=lambda x: (x != x, x))
+        assert counts[c] == len(known)
+        for p in probs if known else ():
+            place = p * (len(known) - 1)
+            for rank in {int(place), -int(-place // 1)}:
+                assert repr(found[c][rank]) == repr(known[rank]), (c, p)
+
+
+def test_values_away_from_the_ranks_are_not_shuffled(spark):
+    df = spark.range(0, 200_000, 1, 8).selectExpr("cast(pmod(id * 7919, 200003) as double) AS x")
+    rows = _counted(df, {"x": [(99_900.0, 100_100.0)]}).collect()
+    assert len(rows) <= 203 and sum(r["n"] for r in rows) == 200_000
+    assert order_statistics(df, {"x": [0.5]})[1]["x"]
