@@ -2,7 +2,9 @@
 
 A row's place in the shuffle is the md5 of its id and the seed. Only the cut points
 are looked up (counts per hash range, then a rank inside the one range that holds a
-cut), so the rows themselves are labelled in a narrow pass without any shuffle.
+cut; a range that is too large to rank is counted by a longer prefix first, it alone), so
+the rows themselves are labelled in a narrow pass without any shuffle. Contiguous folds bracket
+their cut points by samples of whole order keys, closer and closer, until few rows are left to rank.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelab.functions.numeric import hash_key, join_on, small_side
-from pipelab.operators.ordering import HOT_ROWS, range_splits, with_bucket
+from pipelab.operators.ordering import HOT_ROWS
 
 MAX_LOCAL_STRATA = 10_000
-_HASH_DIGITS = 4  # 65,536 hash ranges per stratum
+_HASH_DIGITS = 4  # 65,536 hash ranges per stratum, and as many parts of one that holds a cut
+_KEY_DIGITS = 32
+#: Order keys that are sampled between two brackets at most.
+SAMPLED = 20_000
 
 
 def _placed(df: DataFrame, strata: list[str], bucket: str) -> DataFrame:
@@ -33,9 +38,33 @@ def _borders(aimed: DataFrame, strata: list[str], bucket: str) -> DataFrame:
     A rank of 0 comes with the first range and ``within`` 0.
     """
     hit = "cut_rank > __below AND cut_rank <= __below + __n OR cut_rank = 0 AND __below = 0"
-    found = aimed.filter(hit).select(*strata, bucket, "cut_rank", (F.col("cut_rank") - F.col("__below")).alias("__within"))
+    found = aimed.filter(hit).select(*strata, bucket, "__n", "cut_rank", (F.col("cut_rank") - F.col("__below")).alias("__within"))
     # equal borders are empty blocks: looked up once, counted each time
-    return found.groupBy(*strata, bucket, "cut_rank", "__within").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    return found.groupBy(*strata, bucket, "__n", "cut_rank", "__within").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
+def _narrowed(df: DataFrame, strata: list[str], bucket: str, borders: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows and borders with hash ranges so short that those with a border have at most ``most`` rows.
+
+    Only ranges that hold a border are counted again, by a longer prefix. Rows of equal hash stay together.
+    """
+    digits = _HASH_DIGITS
+    while digits < _KEY_DIGITS:
+        largest = borders.filter("__within > 0").agg(F.max("__n")).first()[0]
+        if largest is None or largest <= most:
+            break
+        digits = min(_KEY_DIGITS, digits + _HASH_DIGITS)
+        cuts = borders.filter("__within > 0")
+        ranges = cuts.select(*strata, bucket).distinct()
+        near = join_on(df.select(*strata, bucket, "__key"), small_side(ranges), [*strata, bucket], "left_semi", null_safe=True)
+        counts = near.groupBy(*strata, bucket, F.substring("__key", 1, digits).alias("__part")).agg(F.count(F.lit(1)).alias("__m"))
+        before = Window.partitionBy(*strata, bucket).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("__below", F.coalesce(F.sum("__m").over(before), F.lit(0)))
+        held = join_on(cuts.drop("__n"), placed, [*strata, bucket], null_safe=True).filter("__within > __below AND __within <= __below + __m")
+        finer = held.select(*strata, F.col("__part").alias(bucket), F.col("__m").alias("__n"), "cut_rank", (F.col("__within") - F.col("__below")).alias("__within"), "times")
+        borders = small_side(finer.unionByName(borders.filter("__within = 0")))
+        df = df.withColumn(bucket, F.substring("__key", 1, digits))
+    return df, borders
 
 
 def _cut_rows(df: DataFrame, strata: list[str], bucket: str, order: list[str], borders: DataFrame) -> DataFrame:
@@ -61,7 +90,7 @@ def _blocks_passed(order: list[str], cuts: Column, borders: int) -> Column:
 
 
 def _label_strata(
-    df: DataFrame, strata: list[str], bucket: str, order: list[str], targets: Callable[[DataFrame], DataFrame], out: str, borders: int
+    df: DataFrame, strata: list[str], bucket: str, order: list[str], targets: Callable[[DataFrame], DataFrame], out: str, borders: int, most: int
 ) -> DataFrame:
     """Number the block of each row inside its stratum.
 
@@ -71,8 +100,8 @@ def _label_strata(
     placed = _placed(df, strata, bucket)
     sizes = placed.groupBy(*strata).agg(F.sum("__n").alias("n"))
     aimed = join_on(placed, targets(sizes), strata, null_safe=True)
-    found = small_side(_borders(aimed, strata, bucket))
-    cuts = _cut_rows(df, strata, bucket, order, found).groupBy(*strata).agg(F.collect_list(F.struct("at", "times")).alias("__cuts"))
+    ranged, found = _narrowed(df, strata, bucket, small_side(_borders(aimed, strata, bucket)), most)
+    cuts = _cut_rows(ranged, strata, bucket, order, found).groupBy(*strata).agg(F.collect_list(F.struct("at", "times")).alias("__cuts"))
     empty = found.groupBy(*strata).agg(F.sum(F.when(F.col("__within") == 0, F.col("times")).otherwise(0)).alias("__empty"))
     lookup = small_side(join_on(empty, cuts, strata, "left", null_safe=True), MAX_LOCAL_STRATA)
     passed = _blocks_passed(order, F.col("__cuts"), borders)
@@ -83,24 +112,101 @@ def _label_strata(
     )
 
 
-def _label_all(df: DataFrame, bucket: str, order: list[str], ranks: list[int], out: str) -> DataFrame:
-    """Number the block of each row among all rows; cut points are literals."""
-    aimed = _placed(df, [], bucket).withColumn("cut_rank", F.explode(F.array(*[F.lit(r) for r in ranks]).cast("array<bigint>")))
-    found = small_side(_borders(aimed, [], bucket))  # at most one row per rank
-    rows = _cut_rows(df, [], bucket, order, found).collect()
-    empty = F.lit(sum(1 for r in ranks if r == 0))
+def _label_all(df: DataFrame, order: list[str], rows: list, empty: int, out: str) -> DataFrame:
+    """Number the block of each row among all rows; ``rows`` hold the last row of a block (``at``) and how many blocks end there."""
     if not rows:
-        return df.withColumn(out, empty.cast("int"))
-    cuts = F.array(*[
-        F.struct(
-            F.struct(*[F.lit(r["at"][c]).cast(df.schema[c].dataType).alias(c) for c in order]).alias("at"),
-            F.lit(r["times"]).alias("times"),
-        )
-        for r in rows
-    ])
+        return df.withColumn(out, F.lit(empty).cast("int"))
+    cuts = F.array(*[F.struct(_literal(df, order, r["at"]).alias("at"), F.lit(r["times"]).alias("times")) for r in rows])
     return df.withColumn(out, (_blocks_passed(order, cuts, len(rows)) + empty).cast("int"))
 
 
+def _literal(df: DataFrame, order: list[str], key) -> Column:
+    return F.struct(*[F.lit(key[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+
+
+def _hashed_rows(df: DataFrame, bucket: str, order: list[str], ranks: list[int], most: int) -> list:
+    aimed = _placed(df, [], bucket).withColumn("cut_rank", F.explode(F.array(*[F.lit(r) for r in ranks]).cast("array<bigint>")))
+    ranged, found = _narrowed(df, [], bucket, small_side(_borders(aimed, [], bucket)), most)  # at most one row per rank
+    return _cut_rows(ranged, [], bucket, order, found).collect()
+
+
+def _segment(df: DataFrame, order: list[str], brackets: list[tuple]) -> Column:
+    """Between brackets (pairs of order keys, None: no end) segments are even, inside one odd; both ends are inside."""
+    here, out = F.struct(*order), F.lit(2 * len(brackets))
+    for k, (low, high) in reversed(list(enumerate(brackets))):
+        if high is not None:
+            out = F.when(here > _literal(df, order, high), out)
+        out = F.when(F.lit(True), 2 * k + 1) if high is None else out.otherwise(2 * k + 1)
+        if low is not None:
+            out = F.when(here < _literal(df, order, low), 2 * k).otherwise(out)
+    return out
+
+
+def key_rows(df: DataFrame, order: list[str], ranks: list[int], total: int, most: int, sampled: int = SAMPLED) -> list:
+    """The rows (order columns) at these ranks, from 1, in the order of all ``order`` columns: (at, times), and no row for a rank of 0.
+
+    Samples of whole keys bracket every rank; rows between and inside the brackets are counted,
+    and the brackets are sampled again until at most ``most`` rows lie in one, which are ranked. Rows of equal keys
+    cannot be told apart and end one bracket.
+    """
+    wanted = sorted({r for r in ranks if r > 0})
+    if not wanted:
+        return []
+    narrow = df.select(*order)
+    brackets, sizes = [(None, None)], [total]  # in order and disjoint
+    belows = [0]
+    home = {r: 0 for r in wanted}
+    while max(sizes) > most:
+        share = min(1.0, sampled * len(brackets) / sum(sizes))
+        inside = narrow.withColumn("__segment", _segment(df, order, brackets)).filter("__segment % 2 = 1")
+        drawn = inside.sample(share, seed=len(brackets) + sum(sizes) % 9973).orderBy("__segment", F.struct(*order)).collect()
+        cuts = []  # (bracket, first and last place in its sample)
+        samples = {k: [r for r in drawn if r["__segment"] == 2 * k + 1] for k in range(len(brackets))}
+        for r in wanted:
+            k = home[r]
+            m = len(samples[k])
+            place, slack = (r - 1 - belows[k]) / sizes[k] * m, 5 * m**0.5 + 2
+            low, high = int(place - slack), int(place + slack) + 1
+            if cuts and cuts[-1][0] == k and low <= cuts[-1][2]:
+                cuts[-1] = (k, cuts[-1][1], max(cuts[-1][2], high))
+            else:
+                cuts.append((k, low, high))
+        closer = [
+            (samples[k][a] if a > 0 else brackets[k][0], samples[k][b] if b < len(samples[k]) else brackets[k][1]) for k, a, b in cuts
+        ]
+        counts = dict(narrow.groupBy(_segment(df, order, closer).alias("s")).count().collect())
+        spans, upto = [], 0  # segments with rows before them
+        for s in range(2 * len(closer) + 1):
+            spans.append((upto, counts.get(s, 0)))
+            upto += counts.get(s, 0)
+        used: dict[int, tuple] = {}
+        held = {}
+        for r in wanted:
+            s = next(i for i, (before, n) in enumerate(spans) if before < r <= before + n)
+            k = s // 2
+            # a rank that was missed is looked for in the gap it lies in, ends included
+            used[s] = closer[k] if s % 2 else (closer[k - 1][1] if k else None, closer[k][0] if k < len(closer) else None)
+            held[r] = s
+        order_of = {s: n for n, s in enumerate(sorted(used))}
+        if all(s % 2 for s in used):
+            fresh = ([used[s] for s in sorted(used)], [spans[s][1] for s in sorted(used)], [spans[s][0] for s in sorted(used)])
+        else:  # gaps share their ends with brackets: one bracket around all of it, counted anew
+            whole = (used[min(used)][0], used[max(used)][1])
+            again = dict(narrow.groupBy(_segment(df, order, [whole]).alias("s")).count().collect())
+            fresh, order_of = ([whole], [again.get(1, 0)], [again.get(0, 0)]), dict.fromkeys(used, 0)
+        if fresh[1] == sizes and fresh[2] == belows:
+            if max(sizes) == sum(sizes) and sampled >= sum(sizes) or all(a is not None and a == b for a, b in fresh[0]):
+                break  # rows of one key
+            sampled *= 4
+        brackets, sizes, belows = fresh
+        home = {r: order_of[s] for r, s in held.items()}
+    within = Window.partitionBy("__segment").orderBy(*order)
+    placed = narrow.withColumn("__segment", _segment(df, order, brackets)).filter("__segment % 2 = 1").withColumn("__nth", F.row_number().over(within))
+    hits = " OR ".join(f"(__segment = {2 * home[r] + 1} AND __nth = {r - belows[home[r]]})" for r in wanted)
+    found = {(q["__segment"], q["__nth"]): q for q in placed.filter(hits).collect()}
+    return [{"at": found[2 * home[r] + 1, r - belows[home[r]]], "times": ranks.count(r)} for r in wanted]
+
+
 def _shuffled(df: DataFrame, id_cols: list[str], seed: int) -> DataFrame:
     keyed = df.withColumn("__key", hash_key(seed, *id_cols))
     return keyed.withColumn("__range", F.substring("__key", 1, _HASH_DIGITS))  # hex sorts like its number
@@ -130,22 +236,23 @@ def holdout_quota(sizes: DataFrame, target: str, ratio: float) -> DataFrame:
 
 
 def stratified_split(
-    df: DataFrame, target: str, id_cols: list[str], ratio: float = 0.2, seed: int = 42, out: str = "is_validation"
+    df: DataFrame, target: str, id_cols: list[str], ratio: float = 0.2, seed: int = 42, out: str = "is_validation", most: int = HOT_ROWS
 ) -> DataFrame:
     """Mark ``ratio`` of every class for validation."""
     keyed = _shuffled(df, id_cols, seed)
     quota = lambda sizes: holdout_quota(sizes, target, ratio)
-    block = _label_strata(keyed, [target], "__range", ["__key", *id_cols], quota, "__block", 1)
+    block = _label_strata(keyed, [target], "__range", ["__key", *id_cols], quota, "__block", 1, most)
     return block.withColumn(out, F.col("__block") == 0).drop("__block", "__key", "__range")
 
 
 def random_split(
-    df: DataFrame, id_cols: list[str], ratio: float = 0.2, seed: int = 42, out: str = "is_validation"
+    df: DataFrame, id_cols: list[str], ratio: float = 0.2, seed: int = 42, out: str = "is_validation", most: int = HOT_ROWS
 ) -> DataFrame:
     """Mark ``ratio`` of all rows for validation, without strata."""
     held = math.ceil(ratio * df.count())
     keyed = _shuffled(df, id_cols, seed)
-    block = _label_all(keyed, "__range", ["__key", *id_cols], [held], "__block")
+    order = ["__key", *id_cols]
+    block = _label_all(keyed, order, _hashed_rows(keyed, "__range", order, [held], most), int(held == 0), "__block")
     return block.withColumn(out, F.col("__block") == 0).drop("__block", "__key", "__range")
 
 
@@ -166,7 +273,7 @@ def fold_quota(sizes: DataFrame, target: str, k: int) -> DataFrame:
 
 
 def stratified_kfold(
-    df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed: int = 42, out: str = "fold"
+    df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed: int = 42, out: str = "fold", most: int = HOT_ROWS
 ) -> DataFrame:
     """Shuffled folds with the same class mix; fold sizes differ by one row at most.
 
@@ -176,7 +283,7 @@ def stratified_kfold(
         return df.withColumn(out, F.lit(0))
     keyed = _shuffled(df, id_cols, seed)
     deal = lambda sizes: fold_quota(sizes, target, k)
-    return _label_strata(keyed, [target], "__range", ["__key", *id_cols], deal, out, k - 1).drop("__key", "__range")
+    return _label_strata(keyed, [target], "__range", ["__key", *id_cols], deal, out, k - 1, most).drop("__key", "__range")
 
 
 def kfold(
@@ -184,8 +291,6 @@ def kfold(
 ) -> DataFrame:
     """Contiguous folds in row order; the first n mod k folds hold one row more."""
     total = df.count()
-    splits = range_splits(df, order_cols[0], -(-2 * total // hot_rows)) if total > hot_rows else []
-    keyed = with_bucket(df, order_cols[0], splits, "__range")
     base, extra = divmod(total, k)
     borders = [base * (i + 1) + min(i + 1, extra) for i in range(k - 1)]
-    return _label_all(keyed, "__range", order_cols, borders, out).drop("__range")
+    return _label_all(df, order_cols, key_rows(df, order_cols, borders, total, hot_rows), borders.count(0), out)
