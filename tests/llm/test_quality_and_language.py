@@ -114,3 +114,21 @@ def test_fast_path_equals_full_viterbi():
         scores = rng.normal(0, rng.choice([0.5, 2, 6]), (rng.integers(1, 40), 3)) + rng.normal(0, 1, 3)
         path = ls.viterbi(scores, 4.0)
         assert abs(worth(scores, path, 4.0) - plain(scores, 4.0)) < 1e-9
+
+
+def test_shortcut_against_all_paths_at_the_real_penalty():
+    """Two neighbouring stretches of other languages share a switch; every path is tried."""
+    from itertools import product
+
+    def best(scores):
+        n, k = scores.shape
+        return max(sum(scores[i, p] for i, p in enumerate(path)) - ls.PENALTY * sum(a != b for a, b in zip(path, path[1:])) for path in product(range(k), repeat=n))
+
+    rng = np.random.default_rng(11)
+    cases = [np.array([[0.0, 14, -20], [0, -20, 14]])]
+    for k, n in ((2, 9), (3, 7), (4, 5)):
+        cases += [rng.normal(0, rng.choice([3, 7, 12]), (n, k)) for _ in range(120)]
+    for scores in cases:
+        path = ls.viterbi(scores, ls.PENALTY)
+        worth = scores[np.arange(len(path)), path].sum() - ls.PENALTY * (np.diff(path) != 0).sum()
+        assert abs(worth - best(scores)) < 1e-9
