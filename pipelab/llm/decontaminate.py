@@ -9,17 +9,19 @@ being the number of its letters and digits. Case and punctuation do not count.
    shingles, which are broadcast when counted small; running sums over the shared places of a
    document and an item give every start whose window has that weight, and all of these are
    compared.
-2. *Fingerprints.* Window and item get a 64-bit SimHash of their weighted shingles. It is cut
+2. *Fingerprints.* Window and item get a 64-bit SimHash of their shingles. A shingle of weight w
+   votes on every bit as w shingles of weight 1 would, each with a hash of its own, so the angle between
+   fingerprints follows the weighted overlap however unequal the weights are. It is cut
    into ``RADIUS`` + 1 blocks; fingerprints at most ``RADIUS`` bits apart agree in a block,
    so an equality join on (item, block, value) finds all of them.
 3. *Verification.* The weighted Jaccard of the shingle sets themselves decides.
 
 At a similarity of 0.8 fingerprints differ in about 10 bits (standard deviation 3), so a
-radius of 20 loses no window but those some 3.5 deviations out; higher similarities are nearer.
+radius of 24 loses no window but those 5 deviations out; higher similarities are nearer.
 
-Null and empty texts have no shingles and match nothing. A text or item of one to four words
+Null and empty texts have no shingles and match nothing. Rows with a null id are looked at like all others. A text or item of one to four words
 is one shingle as a whole; such an item matches every document that has these words in a row.
-Repeated rows of one id give one result, the best.
+Rows of one id give one result an item, the best; what is removed is decided for each id and text.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS = 64
-RADIUS = 20
+RADIUS = 24
 #: Item shingles sent to every executor at most; above it the join shuffles.
 BROADCAST_ROWS = 500_000
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -64,13 +66,18 @@ def weighted_shingles(words: Column, n: int = SHINGLE) -> Column:
 
 
 def simhash(shingles: Column, bits: int = BITS) -> Column:
-    """Fingerprint as an array of bits: the sign of the weighted votes of all shingles."""
+    """Fingerprint as an array of bits: the sign of the votes of all shingles, one vote for each letter."""
 
     def vote(b: Column) -> Column:
-        total = F.aggregate(
-            shingles, F.lit(0).cast("long"),
-            lambda acc, s: acc + F.when(F.getbit(s["h"], b) == 1, s["w"]).otherwise(-s["w"]),
-        )
+        def ones(s: Column) -> Column:
+            """Votes for the bit among the ``w`` of a shingle: set bits of as many hashed ones."""
+            full = F.when(s["w"] < 64, F.lit(0)).otherwise(
+                F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(s["w"] / 64), F.lit(1)).cast("int")), F.lit(0), lambda acc, k: acc + F.bit_count(F.xxhash64(s["h"], b, k)))
+            )
+            rest = F.xxhash64(s["h"], b).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (s["w"] % 64).cast("int")) - 1)
+            return full + F.bit_count(rest)
+
+        total = F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, s: acc + 2 * ones(s) - s["w"])
         return (total > 0).cast("int")
 
     return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), vote)
@@ -131,12 +138,10 @@ def _starts(hits: DataFrame) -> DataFrame:
     )
 
 
-def find_leaks(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_id_col: str = "item_id", item_text_col: str = "text",
-    similarity: float = SIMILARITY, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS,
+def _row_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, similarity: float, radius: int, broadcast_rows: int
 ) -> DataFrame:
-    """doc_id, item_id, similarity (of the best window) and start (its first word) of every leak."""
+    """doc_key (of id and text), doc_id, item_id, similarity and start of every similar window."""
     ready = prepare_items(items, item_id_col, item_text_col)
     places = ready.select(
         "item_key", F.when(F.col("n") >= SHINGLE, F.col("n") - SHINGLE).otherwise(0).alias("reach"), (_weight(F.col("item_shingles")) * similarity - 1e-6).alias("need"), F.explode("item_shingles").alias("s")
@@ -153,19 +158,18 @@ def find_leaks(
     found = _starts(hits).groupBy("doc_key").agg(F.collect_list(F.struct("item_key", "low", "high")).alias("ranges"))
     last = F.greatest(F.lit(0), F.size("words") - F.col("n"))
     windows = (
-        worded.filter(F.col("doc_id").isNotNull())
-        .join(found, "doc_key")
-        .select("doc_id", "words", F.explode("ranges").alias("r"))
-        .select("doc_id", "words", "r.*")
+        worded.join(found, "doc_key")
+        .select("doc_key", "doc_id", "words", F.explode("ranges").alias("r"))
+        .select("doc_key", "doc_id", "words", "r.*")
         .join(F.broadcast(ready) if small else ready, "item_key")
         .withColumns({"low": F.greatest(F.lit(0), F.col("low")), "high": F.least(F.col("high"), last)})
         .filter("low <= high")
         .withColumn("start", F.explode(F.sequence("low", "high")))
     )
-    cut = windows.select("doc_id", "item_key", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
+    cut = windows.select("doc_key", "doc_id", "item_key", "item_id", "start", F.slice("words", F.col("start") + 1, F.col("n")).alias("window")).distinct()
     hashed = cut.withColumn("shingles", weighted_shingles(F.col("window"))).withColumn("bits", simhash(F.col("shingles")))
     probes = hashed.select(
-        "doc_id", "item_key", "item_id", "start", "shingles", "bits", F.explode(_blocks(F.col("bits"), BITS, radius)).alias("b")
+        "doc_key", "doc_id", "item_key", "item_id", "start", "shingles", "bits", F.explode(_blocks(F.col("bits"), BITS, radius)).alias("b")
     ).select("*", "b.block", "b.value")
     index = ready.select("item_key", "item_shingles", "item_bits", F.explode(_blocks(F.col("item_bits"), BITS, radius)).alias("b")).select(
         "item_key", "item_shingles", "item_bits", "b.block", "b.value"
@@ -174,20 +178,32 @@ def find_leaks(
     near = (
         probes.join(F.broadcast(index) if small else index, ["item_key", "block", "value"])
         .filter(apart <= radius)
-        .dropDuplicates(["doc_id", "item_key", "start", "shingles"])
+        .dropDuplicates(["doc_key", "item_key", "start", "shingles"])
     )
     shared = _weight(F.array_intersect("shingles", "item_shingles"))
     alike = shared / (_weight(F.col("shingles")) + _weight(F.col("item_shingles")) - shared)
+    return near.withColumn("similarity", alike).filter(F.col("similarity") >= similarity).select("doc_key", "doc_id", "item_id", "similarity", "start")
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """doc_id, item_id, similarity (of the best window) and start (its first word) of every leak."""
+    found = _row_leaks(docs, items, id_col, text_col, item_id_col, item_text_col, similarity, radius, broadcast_rows)
     return (
-        near.withColumn("similarity", alike)
-        .filter(F.col("similarity") >= similarity)
-        .groupBy("doc_id", "item_id")
+        found.groupBy("doc_id", "item_id")
         .agg(F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start"))).alias("best"))
         .select("doc_id", "item_id", "best.similarity", "best.start")
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose id leaks no item; rows with a null id match nothing and stay."""
-    leaks = find_leaks(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs[id_col] == F.col("__leak"), "left_anti")
+def without_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, radius: int = RADIUS, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Rows of ``docs`` whose own text leaks no item, whatever other rows have their id; a null id is one like others."""
+    found = _row_leaks(docs, items, id_col, text_col, item_id_col, item_text_col, similarity, radius, broadcast_rows)
+    leaks = found.select(F.col("doc_key").alias("__leak")).distinct()
+    return docs.join(leaks, F.xxhash64(docs[id_col], docs[text_col]) == F.col("__leak"), "left_anti")

@@ -13,9 +13,11 @@ text), or in an order given as columns. Shards are the ranges written by one tas
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ BROADCAST_SHARDS = 500_000
 _WORDS_KEPT = 400_000
 _CHUNK = 2048
 _JOINED = 256
+#: What the vocabulary marks the end of a word with; fixed value.
+_WORD_END = "</w>"
 
 BLOCK_SCHEMA = (
     "shard int, block int, bits int, start long, n_ids long, "
@@ -72,9 +76,13 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[k for t, k in vocabulary.items() if t.endswith(_WORD_END)]] = True
         special = [t for t in self._tokenizer.get_added_tokens_decoder().items() if t[1].special]
         self._mark_id, self._mark = special[0][0], special[0][1].content
         self._place: dict[str, int] = {}
@@ -83,6 +91,16 @@ class WordEncoder:
         self._starts = np.zeros(0, np.int64)
         self._uses = np.zeros(0, np.int64)
 
+    def _ids_of_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_ids_of``, for words of ASCII letters: each has one token that ends a word, its last."""
+        groups = [words[k : k + _JOINED] for k in range(0, len(words), _JOINED)]
+        coded = self._tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        ids = np.concatenate([np.array(c.ids, np.uint32) for c in coded])
+        ends = np.flatnonzero(self._ends_word[ids])
+        if len(ends) != len(words):
+            return self._ids_of(words)
+        return ids, np.diff(ends, prepend=-1)
+
     def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words end to end, and the number of ids of each."""
         groups = [words[k : k + _JOINED] for k in range(0, len(words), _JOINED)]
@@ -110,10 +128,14 @@ class WordEncoder:
         self._uses = np.concatenate([self._uses, np.zeros(len(words), np.int64)])
 
     def _learn_whole(self, words: list[str]) -> None:
-        plain = [w for w in words if "<" not in w]
+        letters = [w for w in words if w.isascii() and w.isalpha()]
+        if letters:
+            self._add(letters, *self._ids_of_letters(letters))
+        other = set(words).difference(letters)
+        plain = [w for w in other if "<" not in w]
         if plain:
             self._add(plain, *self._ids_of(plain))
-        for w in set(words).difference(plain):
+        for w in other.difference(plain):
             ids = np.array(self._tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
             self._add([w], ids, np.array([len(ids)]))
 
@@ -122,7 +144,10 @@ class WordEncoder:
         sizes = self._sizes[used]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        return self._flat[np.repeat(self._starts[used] - (ends - sizes), sizes) + np.arange(total)], ends
+        kind = np.int32 if max(total, len(self._flat)) < 1 << 31 else np.int64
+        at = np.repeat((self._starts[used] - (ends - sizes)).astype(kind), sizes)
+        at += np.arange(total, dtype=kind)
+        return self._flat[at], ends
 
     def _forget(self) -> None:
         """Keep the half of the words met most often."""
@@ -144,11 +169,13 @@ class WordEncoder:
         # In other words the tokenizer composes letters before it lower-cases them.
         plain = pc.and_not(pc.string_is_ascii(coded.dictionary), pc.match_substring(coded.dictionary, "<"))
         words = pc.if_else(plain, pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()
-        new = list(dict.fromkeys(w for w in words if w and w not in self._place))
-        if new:
-            self._learn(new)
         # An edge of white space gives an empty word, which has no ids.
-        place = np.array([self._place[w] if w else -1 for w in words], np.int64)
+        place = np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = [k for k in np.flatnonzero(place < 0).tolist() if words[k]]
+        if unknown:
+            asked = [words[k] for k in unknown]
+            self._learn(list(dict.fromkeys(asked)))
+            place[unknown] = list(map(self._place.__getitem__, asked))
         used = place[coded.indices.to_numpy()]
         counts = np.diff(split.offsets.to_numpy())
         real = used >= 0

@@ -126,3 +126,27 @@ def test_blocks_cut_all_bits():
         for k in range(a, b):
             found[k] += 1
     assert dict(found) == {k: 1 for k in range(dc.BITS)}
+
+
+def test_unequal_weights_lose_no_window(spark):
+    """Items of 49 five-letter words and a last word of up to 200 letters; the document has another last word."""
+    rng, rows, items = random.Random(12), [], []
+    for size in (5, 100, 150, 200):
+        for _ in range(40):
+            k = len(items)
+            words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(49)]
+            items.append((k, " ".join([*words, "x" * size])))
+            rows.append((k, " ".join(["before"] * 3 + words + ["y" * size] + ["after"] * 3)))
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {k for k in brute_every_start(rows[:1] + rows[40:41] + rows[80:81] + rows[120:121], items)}
+    assert {d for d, _ in want} == {0, 40, 80, 120} and got == {(k, k) for k in range(160)}
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    passage = prose(99, 30)
+    rows = [(None, passage), (None, prose(3, 30)), (5, prose(4, 20) + " " + passage), (5, prose(5, 30)), (6, prose(6, 30)), (5, prose(5, 30))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert {r["doc_id"] for r in dc.find_leaks(docs, bench).collect()} == {None, 5}
+    stay = sorted(map(str, (tuple(r) for r in dc.without_leaks(docs, bench).collect())))
+    assert stay == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
