@@ -69,11 +69,12 @@ def brute_every_start(rows, items, least=0.8):
     out = {}
     for doc, text in rows:
         words = words_of(text)
+        held = weighted(words)
         for item, passage in items:
             want = weighted(words_of(passage))
             n = len(words_of(passage))
-            if not want or not words:
-                continue
+            if not want or not words or n >= 5 and not want.keys() & held.keys():
+                continue  # a window shares shingles only where the document does
             for s in range(max(0, len(words) - n) + 1):
                 have = weighted(words[s : s + n])
                 both = sum(v for k, v in want.items() if k in have)
