@@ -10,6 +10,8 @@ from pipelab.session import cut_lineage
 
 #: Edges up to which the smallest neighbour of every node is sent along instead of shuffled; steps make no more edges.
 BROADCAST_EDGES = 300_000
+#: Edges in one part of a list. A short list in many parts would make many nearly empty shuffle files in every step.
+EDGES_A_PART = 500_000
 
 
 def _star(edges: DataFrame, larger: bool, small: bool) -> DataFrame:
@@ -29,12 +31,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node) for every node of ``edges`` (a, b), by alternating star steps.
 
     Edges are rewritten until every node hangs on the smallest of its component; no node
-    ever gathers its neighbours in one row. Each round ends in a checkpoint.
+    ever gathers its neighbours in one row. Each round ends in a checkpoint, in parts by the number of edges.
     """
     now = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    mark, small = None, now.count() <= BROADCAST_EDGES
+    count = now.count()
+    mark, small, parts = None, count <= BROADCAST_EDGES, 1 + count // EDGES_A_PART
+    now = now.coalesce(parts)
     while True:
-        now = cut_lineage(_star(_star(now, True, small), False, small).distinct())
+        now = cut_lineage(_star(_star(now, True, small), False, small).distinct().coalesce(parts))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -9,10 +9,11 @@ the universe of n-grams:
 2. *Segments.* A hash deals the n-grams of a band out to m = H + 1 + Z segments. At most H
    segments of a linked pair differ, so at least Z + 1 are equal: the part of the set in each
    segment is hashed to a key. Up to Z segments of a set can be left out at no loss.
-3. *Stars.* In each group of sets with one key, the smallest is paired with every other one;
-   verified pairs are joined to components. Copies and near copies so collapse without all
+3. *Stars.* In each group of sets with one key, the smallest is paired with every other one.
+   Of its pairs, a set is first verified against the smallest it shares most keys with; what then still
+   joins different components is verified after that. Copies and near copies so collapse without all
    their pairs. What is left are keys whose sets lie in several components.
-4. *Rest.* Of those, keys with few components are paired across components. Keys with many
+4. *Rest.* Of those, keys with few components and few partners a set are paired across components. Keys with many
    (common passages) and empty segments are too dear: a set leaves them out. Where it leaves
    out more than Z, it is indexed by the *one-deletion neighbourhoods* of its other segments:
    two sets that share a left-out segments (a > Z) and no other one differ by exactly one
@@ -45,17 +46,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelab.llm.batches import bound_batches, release
-from pipelab.llm.components import connected_components
+from pipelab.llm.components import EDGES_A_PART, connected_components
 from pipelab.session import cut_lineage
 
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
 #: Keys with sets of more components than this are left out in favour of one-deletion neighbourhoods.
 DEAR = 32
+#: So are keys under which a set has, on average, more partners in other components than this.
+PARTNERS = 1_000
 #: In a chunk of rows, keys of more sets than this are grouped chunk by chunk first.
 HOT_IN_CHUNK = 64
 CHUNK_ROWS = 2048
-#: Nodes whose texts are fetched with a broadcast at most; above it the join shuffles.
+#: Nodes whose texts are fetched with a broadcast at most; above it the join shuffles. Keys a row holds count as rows.
 BROADCAST_ROWS = 500_000
 #: Buckets of the parity bits, 64 to a column.
 PARITY = 512
@@ -136,17 +139,17 @@ def segment_keys(sums: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
     return _mix(sums + (places.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[list, list]]:
+def _texts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int = 512) -> Iterator[tuple[list, ...]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            yield part.column("id").to_pylist(), part.column("text").to_pylist()
+            yield tuple(part.column(c).to_pylist() for c in columns)
     release()
 
 
 def _members(n: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches):
+        for ids, texts, tags in _texts(batches, ("id", "text", "tag")):
             sizes, nodes, parity, spare = [], [], [], []
             for text in texts:
                 grams = ngram_set(text, n)
@@ -155,9 +158,9 @@ def _members(n: int, share: int):
                 parity.append(parity_bits(grams))
                 spare.append(any((segments(grams, m, seed)[3] == 0).sum() > slack for _, _, m, slack, seed in bands_of(len(grams), share)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(spare, pa.bool_()),
+                [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(spare, pa.bool_()),
                  *map(pa.array, np.stack(parity).T.copy() if parity else np.zeros((len(_WORDS), 0), np.int64))],
-                ["doc_id", "n", "node", "sparse", *_WORDS],
+                ["doc_id", "tag", "n", "node", "sparse", *_WORDS],
             )
 
     return run
@@ -188,7 +191,7 @@ def _index(n: int, share: int):
         keys: list[np.ndarray] = []
         nodes: list[int] = []
         rows = 0
-        for _, texts in _texts(batches):
+        for (texts,) in _texts(batches, ("text",)):
             for text in texts:
                 rows += 1
                 grams = ngram_set(text, n)
@@ -232,9 +235,23 @@ def _gram_rows(n: int):
     return run
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Sent to all executors if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS, held: Column | None = None) -> DataFrame:
+    """Sent to all executors if it has at most so many rows, and values ``held`` in them."""
+    weight = F.lit(1) if held is None else held + 1
+    total = df.limit(rows + 1).agg(F.sum(weight)).first()[0]
+    return F.broadcast(df) if (total or 0) <= rows else df
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpoint, after which shuffle files that nothing refers to go.
+
+    The driver's collector tells Spark's cleaner of them; by itself it runs too seldom
+    (``spark.cleaner.periodicGC.interval`` is half an hour), and many large shuffles would pile up.
+    """
+    out = cut_lineage(df)
+    del df
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def _likely(x: str, y: str, share: int) -> Column:
@@ -333,61 +350,82 @@ def _across(left: DataFrame, right: DataFrame, share: int) -> DataFrame:
     return x.join(y, (x["key"] == y["key"]) & fits).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, n: int = 4, share: int = 85, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     ``component_id`` is the smallest id reachable by links, the own one included. Rows with
-    the same set are one node from the start. Other columns of ``docs`` are not read.
+    the same set are one node from the start. Other columns of ``docs`` are not read. With ``tag``,
+    a whole number that tells rows of one id apart, ``tag`` and ``component`` follow: a number of the component, null where the set is empty.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    members = cut_lineage(rows.mapInArrow(_members(n, share), "doc_id long, n long, node long, sparse boolean, " + ", ".join(f"{w} long" for w in _WORDS)))
-    nodes = cut_lineage(members.groupBy("node").agg(
+    mark = F.lit(None) if tag is None else tag
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.cast("long").alias("tag"))
+    members = _cut(rows.mapInArrow(_members(n, share), "doc_id long, tag long, n long, node long, sparse boolean, " + ", ".join(f"{w} long" for w in _WORDS)))
+    nodes = _cut(members.groupBy("node").agg(
         F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sparse").alias("sparse"), *[F.max(w).alias(w) for w in _WORDS]
     ))
     group = Window.partitionBy("key", "salt")
-    keyed = rows.mapInArrow(_index(n, share), "key long, salt int, node long")
-    shared = cut_lineage(
-        keyed.withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
+    shared = _cut(
+        rows.select("text").mapInArrow(_index(n, share), "key long, salt int, node long")
+        .withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
         .filter("lead < last")
         .dropDuplicates(["key", "salt", "node"])
         .select("key", "node", "lead")
     )
     wanted = shared.select("node").distinct().unionByName(nodes.filter("sparse").select("node")).distinct()
-    wanted = cut_lineage(wanted.join(nodes.select("node", "first_doc"), "node"))
+    wanted = _cut(wanted.join(nodes.select("node", "first_doc"), "node"))
     fetched = rows.join(_bounded(wanted), rows["id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
-    sets = cut_lineage(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
+    sets = _cut(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs.distinct())
+        pairs = _cut(pairs.distinct())
+        count = pairs.count()
+        pairs = pairs.coalesce(1 + count // EDGES_A_PART)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         own = sets.join(_bounded(ends), "node", "left_semi").dropDuplicates(["node"])
         both = pairs.join(own.withColumnsRenamed({"node": "a", "grams": "g1"}), "a").join(own.withColumnsRenamed({"node": "b", "grams": "g2"}), "b")
         shared_grams = F.size(F.array_intersect("g1", "g2"))
         union = F.size("g1") + F.size("g2") - shared_grams
-        return cut_lineage(both.filter(shared_grams.cast("long") * 100 >= union.cast("long") * share).select("a", "b"))
+        return _cut(both.filter(shared_grams.cast("long") * 100 >= union.cast("long") * share).select("a", "b"))
 
-    def tie(components: DataFrame, to: DataFrame) -> DataFrame:
-        return to.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def tie(components: DataFrame, to: DataFrame, end: str = "node", out: str = "component") -> DataFrame:
+        names = components.select(F.col("node").alias(end), F.col("component").alias(out))
+        return to.join(names, end, "left").withColumn(out, F.coalesce(out, end))
+
+    def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+        known = components.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        return connected_components(known.unionByName(links))
 
     facts = nodes.select("node", "n", *_WORDS)
-    arms = shared.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    arms = shared.filter("node > lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     arms = arms.join(_named(facts.withColumnRenamed("node", "a"), "x_", "a"), "a").join(_named(facts.withColumnRenamed("node", "b"), "y_", "b"), "b")
-    stars = linked(arms.filter(_likely("x_", "y_", share)).select("a", "b"))
-    components = connected_components(stars)
-    tied = cut_lineage(tie(components, shared.select("key", "node")).distinct())
-    spread = cut_lineage(tied.select("key", "component").distinct().groupBy("key").count().filter("count > 1"))
-    dear = spread.filter(F.col("count") > DEAR)
+    arms = _cut(arms.filter(_likely("x_", "y_", share)).select("a", "b", "keys"))
+    nearest = arms.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+    components = connected_components(linked(nearest.select("a", "b")))
+    others = tie(components, tie(components, arms.select("a", "b"), "a", "x"), "b", "y").filter("x <> y")
+    more = linked(others.select("a", "b"))
+    if not more.isEmpty():
+        components = joined(components, more)
+    tied = _cut(tie(components, shared.select("key", "node")).distinct())
+    sizes = tied.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    spread = _cut(
+        sizes.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum("c").alias("sets"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        .filter("count > 1").withColumn("dear", (F.col("count") > DEAR) | ((F.col("sets") - F.col("own") / F.col("sets")) > PARTNERS))
+        .select("key", "dear")
+    )
+    dear = spread.filter("dear")
     left_out = tied.join(dear.select("key"), "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("dear"))
     thin = nodes.filter("sparse").select("node", F.lit(None).cast("array<bigint>").alias("dear"))
-    thin = thin.join(left_out.select("node"), "node", "left_anti")
-    around = cut_lineage(
-        sets.join(_bounded(left_out.unionByName(thin), BROADCAST_ROWS // 10), "node").select("node", "grams", "dear")
+    left_out = _cut(left_out.unionByName(thin.join(left_out.select("node"), "node", "left_anti")))
+    around = _cut(
+        sets.join(_bounded(left_out, held=F.coalesce(F.size("dear"), F.lit(0))), "node").select("node", "grams", "dear")
         .mapInArrow(_neighbourhoods(share), "node long, kind string, key long")
     )
     leaving = around.groupBy("node").agg(F.max(F.col("kind") == "K").alias("most"))
-    leaving = cut_lineage(tie(components, leaving).join(facts, "node"))
-    light = spread.filter(F.col("count") <= DEAR)
+    leaving = _cut(tie(components, leaving).join(facts, "node"))
+    light = spread.filter(~F.col("dear"))
     few = tied.join(light.select("key"), "key", "left_semi").join(facts, "node")
     told = around.filter("kind <> 'K'").select("key", "node", "kind").distinct().join(leaving.drop("most"), "node")
     rest = (
@@ -397,10 +435,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, share: int = 85, id_col: str
     )
     late = linked(rest)
     if not late.isEmpty():
-        known = components.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        components = connected_components(known.unionByName(late))
-    placed = members.select("doc_id", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        components = joined(components, late)
+    placed = members.select("doc_id", "tag", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = placed.groupBy("component").agg(F.min("doc_id").alias("low"))
+    some = F.col("n") > 0
     return placed.join(lowest, "component").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([] if tag is None else ["tag", F.when(some, F.col("component")).alias("component")]),
     )
