@@ -24,20 +24,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked documents; all others are single.
+    """One document of each group of linked documents, that of the smallest id; all others are single.
 
-    Texts without words link with nothing and stay. Rows that repeat id and text count once;
-    rows of one id with other texts are documents of their own. Rows with a null id stay where
-    one of them is not linked to a document with an id.
+    Rows are told apart by id and text, so each row of a repeated or null id is decided by itself. A row
+    without an id goes where its group has one with an id. Texts without words link with nothing and
+    stay. Rows that repeat id and text count once.
     """
-    found = jaccard_join.jaccard_components(docs, n=WORDS, share=SHARE)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    repeated = not kept.filter("rows > 1").isEmpty()
-    ids = kept.select(F.col("doc_id").alias("__kept"))
-    stay = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
-    if repeated:
-        stay = stay.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return stay
+    text = F.xxhash64("text")
+    found = jaccard_join.jaccard_components(docs, n=WORDS, share=SHARE, tag=text)
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("tag"))).alias("first")
+    grouped = found.filter("component is not null").groupBy("component").agg(first).select("first.id", "first.tag")
+    single = found.filter("component is null").select(F.col("doc_id").alias("id"), "tag").distinct()
+    kept = grouped.unionByName(single)
+    stay = docs.withColumn("__text", text)
+    stay = stay.join(kept, stay["doc_id"].eqNullSafe(kept["id"]) & (stay["__text"] == kept["tag"]), "left_semi")
+    if not stay.groupBy("doc_id", "__text").count().filter("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "__text"])
+    return stay.drop("__text")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
