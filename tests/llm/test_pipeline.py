@@ -66,3 +66,17 @@ def test_an_empty_table_passes_through(spark, tmp_path):
         stage(spark, docs, sf).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_near_duplicates_decide_rows_of_null_and_repeated_ids(spark):
+    words = [f"word{k}" for k in range(60)]
+    near = words[:59] + ["other"]
+    apart = [f"else{k}" for k in range(40)]
+    rows = [
+        (1, " ".join(words), "s"), (2, " ".join(near), "s"), (2, " ".join(apart), "s"), (None, " ".join(words), "s"),
+        (None, " ".join(near), "s"), (None, "alone " * 3 + "here", "s"), (None, "", "s"), (None, None, "s"), (3, "", "s"), (3, "", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    want = [rows[0], rows[2], rows[5], rows[6], rows[7], rows[8]]
+    assert got == sorted(want, key=str)
