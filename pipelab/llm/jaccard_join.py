@@ -24,7 +24,7 @@ the universe of n-grams:
    places that leave room for the overlap they need.
 
 Every candidate pair passes a lossless test of size and of parity bits inside the join that
-makes it, and is then verified on the sets. Parity bits: n-grams are dealt to PARITY buckets; a
+makes it, and is then verified on the sets, in rounds that bound the data on its way. Parity bits: n-grams are dealt to PARITY buckets; a
 bucket in which one set has an odd and the other an even number holds a differing n-gram.
 
 N-grams are compared by 64-bit hash, and equal sets are found by a 64-bit hash of the set.
@@ -36,7 +36,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +60,8 @@ HOT_IN_CHUNK = 64
 CHUNK_ROWS = 2048
 #: Nodes whose texts are fetched with a broadcast at most; above it the join shuffles. Keys a row holds count as rows.
 BROADCAST_ROWS = 500_000
+#: N-grams sent along with pairs in one round of verification, as a share of those of all sets.
+ROUND = 0.5
 #: Buckets of the parity bits, 64 to a column.
 PARITY = 512
 _WORDS = [f"p{k}" for k in range(PARITY // 64)]
@@ -379,10 +381,18 @@ def jaccard_components(
     fetched = rows.join(_bounded(wanted), rows["id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
     sets = _cut(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
 
+    grams_held = max(1, nodes.agg(F.sum("n")).first()[0] or 0)
+
     def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs that link. Verified in rounds, so that the sets on their way stay a share of all, however many pairs there are."""
         pairs = _cut(pairs.distinct())
-        count = pairs.count()
+        count, sent = pairs.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.count(F.lit(1)), F.sum("n")).first()
         pairs = pairs.coalesce(1 + count // EDGES_A_PART)
+        rounds = 1 + int((sent or 0) / (ROUND * grams_held))
+        parts = [verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)) for k in range(rounds)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         own = sets.join(_bounded(ends), "node", "left_semi").dropDuplicates(["node"])
         both = pairs.join(own.withColumnsRenamed({"node": "a", "grams": "g1"}), "a").join(own.withColumnsRenamed({"node": "b", "grams": "g2"}), "b")

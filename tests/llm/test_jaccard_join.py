@@ -107,3 +107,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_verified_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jj, "ROUND", 0.3)
+    words = [f"w{k}" for k in range(80)]
+    texts = [(k, " ".join(words[: 80 - k % 9] + [f"x{k}"])) for k in range(18)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    compare(df, texts, 4, 85)
