@@ -12,6 +12,22 @@ from pipelab.session import cut_lineage
 BROADCAST_EDGES = 300_000
 #: Edges in one part of a list. A short list in many parts would make many nearly empty shuffle files in every step.
 EDGES_A_PART = 500_000
+#: With it, the shuffle files of an action go when that action ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_and_clear(df: DataFrame) -> DataFrame:
+    """Checkpoint whose shuffle files go as soon as it is written, and not when the driver next collects garbage.
+
+    Only the plan made here is cleared: ``df`` and other frames made from it keep theirs.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, "false")
+    conf.set(_CLEAN, "true")
+    try:
+        return cut_lineage(df.select("*"))
+    finally:
+        conf.set(_CLEAN, before)
 
 
 def _star(edges: DataFrame, larger: bool, small: bool) -> DataFrame:
@@ -33,12 +49,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Edges are rewritten until every node hangs on the smallest of its component; no node
     ever gathers its neighbours in one row. Each round ends in a checkpoint, in parts by the number of edges.
     """
-    now = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    now = cut_and_clear(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     count = now.count()
     mark, small, parts = None, count <= BROADCAST_EDGES, 1 + count // EDGES_A_PART
     now = now.coalesce(parts)
     while True:
-        now = cut_lineage(_star(_star(now, True, small), False, small).distinct().coalesce(parts))
+        now = cut_and_clear(_star(_star(now, True, small), False, small).distinct().coalesce(parts))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -46,8 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelab.llm.batches import bound_batches, release
-from pipelab.llm.components import EDGES_A_PART, connected_components
-from pipelab.session import cut_lineage
+from pipelab.llm.components import EDGES_A_PART, connected_components, cut_and_clear
 
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.5
@@ -245,12 +244,12 @@ def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS, held: Column | None = No
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint, after which shuffle files that nothing refers to go.
+    """Checkpoint, after which its shuffle files go, and later the checkpoints and broadcasts that nothing refers to.
 
-    The driver's collector tells Spark's cleaner of them; by itself it runs too seldom
-    (``spark.cleaner.periodicGC.interval`` is half an hour), and many large shuffles would pile up.
+    The driver's collector tells Spark's cleaner of the latter; by itself it runs too seldom
+    (``spark.cleaner.periodicGC.interval`` is half an hour), and many large ones would pile up.
     """
-    out = cut_lineage(df)
+    out = cut_and_clear(df)
     del df
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
@@ -328,7 +327,7 @@ def _by_rarest(sets: DataFrame, facts: DataFrame, share: int) -> DataFrame:
     grams = own.select("node", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").count()
     rank = F.row_number().over(Window.partitionBy("node").orderBy("count", "gram"))
-    placed = grams.join(often, "gram").withColumn("place", rank).join(facts, "node")
+    placed = _cut(grams.join(often, "gram").withColumn("place", rank)).join(facts, "node")
     n = F.col("n")
     columns = ("node", "n", "place", "component", "most", *_WORDS)
     ceil = lambda x, y: F.expr(f"-(-({x}) div ({y}))")
@@ -438,12 +437,13 @@ def jaccard_components(
     light = spread.filter(~F.col("dear"))
     few = tied.join(light.select("key"), "key", "left_semi").join(facts, "node")
     told = around.filter("kind <> 'K'").select("key", "node", "kind").distinct().join(leaving.drop("most"), "node")
-    rest = (
-        _across(few, few, share)
-        .unionByName(_across(told.filter("kind = 'E'").drop("kind"), told.filter("kind = 'D'").drop("kind"), share))
-        .unionByName(_by_rarest(sets, leaving, share))
-    )
-    late = linked(rest)
+    # One kind of candidates after the other, so that the shuffles of each go before the next.
+    rest = [
+        _cut(_across(few, few, share).distinct()),
+        _cut(_across(told.filter("kind = 'E'").drop("kind"), told.filter("kind = 'D'").drop("kind"), share).distinct()),
+        _cut(_by_rarest(sets, leaving, share)),
+    ]
+    late = linked(reduce(DataFrame.unionByName, rest))
     if not late.isEmpty():
         components = joined(components, late)
     placed = members.select("doc_id", "tag", "n", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
