@@ -115,3 +115,16 @@ def test_pairs_verified_in_several_rounds(spark, monkeypatch):
     texts = [(k, " ".join(words[: 80 - k % 9] + [f"x{k}"])) for k in range(18)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     compare(df, texts, 4, 85)
+
+
+def test_cut_and_clear_leaves_the_source_and_the_setting(spark):
+    from pipelab.llm.components import _CLEAN, cut_and_clear
+
+    before = spark.conf.get(_CLEAN, "false")
+    counted = spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count()
+    want = sorted(map(tuple, counted.collect()))
+    cut = cut_and_clear(counted)
+    assert sorted(map(tuple, cut.collect())) == want
+    assert sorted(map(tuple, counted.collect())) == want
+    assert sorted(map(tuple, cut.join(counted.withColumnRenamed("count", "n"), "k").select("k", "n").collect())) == want
+    assert spark.conf.get(_CLEAN, "false") == before
