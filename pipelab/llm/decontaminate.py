@@ -74,7 +74,7 @@ def simhash(shingles: Column, bits: int = BITS) -> Column:
             full = F.when(s["w"] < 64, F.lit(0)).otherwise(
                 F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(s["w"] / 64), F.lit(1)).cast("int")), F.lit(0), lambda acc, k: acc + F.bit_count(F.xxhash64(s["h"], b, k)))
             )
-            rest = F.xxhash64(s["h"], b).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (s["w"] % 64).cast("int")) - 1)
+            rest = F.xxhash64(s["h"], b).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), (s["w"] % 64).cast("int"))))
             return full + F.bit_count(rest)
 
         total = F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, s: acc + 2 * ones(s) - s["w"])

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 from llm_texts import prose
+from pyspark.sql import functions as F
 
 from pipelab.llm import decontaminate as dc
 
@@ -151,3 +152,36 @@ def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     assert {r["doc_id"] for r in dc.find_leaks(docs, bench).collect()} == {None, 5}
     stay = sorted(map(str, (tuple(r) for r in dc.without_leaks(docs, bench).collect())))
     assert stay == sorted(map(str, [rows[1], rows[3], rows[4], rows[5]]))
+
+
+def test_shingles_of_63_letters_vote(spark):
+    """A weight of 63 above a multiple of 64 takes 63 bits of the last hash; every vote is counted bit by bit here."""
+    weights = [1, 2, 62, 63, 64, 65, 126, 127, 128, 191, 255]
+    rows = [(w, [(1000 + w, w)]) for w in weights] + [(0, [(5, 63), (6, 127), (7, 20)])]
+    frame = spark.createDataFrame(rows, "k int, s array<struct<h: long, w: int>>")
+    got = {r["k"]: r["bits"] for r in frame.select("k", dc.simhash(F.col("s")).alias("bits")).collect()}
+    hashed = {
+        (r["h"], r["b"], r["part"]): r["x"] & (2**64 - 1)
+        for r in frame.selectExpr("explode(s) AS s").selectExpr("s.h", "explode(sequence(0, 63)) AS b").distinct()
+        .selectExpr("h", "b", "explode(sequence(0, 3)) AS part").selectExpr("*", "if(part = 0, xxhash64(h, b), xxhash64(h, b, part)) AS x").collect()
+    }
+
+    def bit(shingles, b):
+        ones = 0
+        for h, w in shingles:
+            ones += sum(hashed[h, b, part].bit_count() for part in range(1, w // 64 + 1))
+            ones += sum(hashed[h, b, 0] >> i & 1 for i in range(w % 64))
+        return int(2 * ones > sum(w for _, w in shingles))
+
+    assert got == {k: [bit(s, b) for b in range(64)] for k, s in rows}
+
+
+def test_leaks_of_63_and_127_letters_are_found(spark):
+    rows, items = [], []
+    for k, sizes in enumerate([(13, 13, 13, 12, 12), (60, 30, 20, 10, 7)]):
+        passage = " ".join("abcde"[i] * n for i, n in enumerate(sizes))
+        items.append((k, passage))
+        rows.append((k, "some words before " + passage + " and some after"))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["similarity"]) for r in dc.find_leaks(docs, bench).collect()} == {(0, 0, 1.0), (1, 1, 1.0)}
+    assert dc.without_leaks(docs, bench).count() == 0
