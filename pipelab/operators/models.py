@@ -52,6 +52,8 @@ SPACES = {
     "linear": LOGISTIC_SPACE, "random_forest_regressor": FOREST_SPACE, "gbt_regressor": BOOSTED_SPACE,
 }
 REGRESSORS = ("linear", "random_forest_regressor", "gbt_regressor")
+#: Models that sample no rows (trees do, at least for their split candidates): what a partition holds does not matter.
+UNSAMPLED = ("logistic", "linear")
 
 
 def is_job_abort(error: Exception) -> bool:
@@ -97,6 +99,12 @@ def training_frame(df: DataFrame, features: list[str], target: str, id_cols: lis
     return _vectors(placed, features, [label])
 
 
+def _placing(kind: str, id_cols: list[str] | None) -> list[str] | None:
+    """Ids to place training rows by. Models that sample nothing get the rows where they are: placing would
+    shuffle and sort them for every pass of the fit and again for its summary."""
+    return None if kind in UNSAMPLED else id_cols
+
+
 def _estimator(kind: str, params: dict[str, Any], seed: int):
     common = {"featuresCol": VECTOR, "labelCol": LABEL}
     p = dict(params)
@@ -155,7 +163,7 @@ def _widths(frame: DataFrame, features: list[str]) -> list[int]:
 
 
 def fit(df: DataFrame, features: list[str], target: str, kind: str = "random_forest", params: dict | None = None, seed: int = 42, id_cols: list[str] | None = None) -> Trained:
-    return _fit_vectors(training_frame(df, features, target, id_cols), features, kind, params or {}, seed)
+    return _fit_vectors(training_frame(df, features, target, _placing(kind, id_cols)), features, kind, params or {}, seed)
 
 
 def fit_logistic(df: DataFrame, features: list[str], target: str, **params) -> Trained:
@@ -208,7 +216,7 @@ def tune(
     if space is None and kind not in SPACES:
         raise ValueError(f"unknown model: {kind}")
     trials = [draw_params(space or SPACES[kind], rng) for _ in range(n_trials)]
-    fit_rows = training_frame(train, features, target, id_cols).persist()
+    fit_rows = training_frame(train, features, target, _placing(kind, id_cols)).persist()
     test_rows = training_frame(valid, features, target).persist()
 
     def run(params: dict[str, Any]) -> float:

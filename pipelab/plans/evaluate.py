@@ -56,7 +56,7 @@ def with_class_numbers(df: DataFrame, target: str) -> DataFrame:
     """
     if dict(df.dtypes)[target] in ("tinyint", "smallint", "int", "bigint"):
         known = with_int_target(df, target)
-        low, high, n = known.agg(F.min(target), F.max(target), F.approx_count_distinct(target, 0.01)).first()
+        low, high, n = known.select(target).distinct().agg(F.min(target), F.max(target), F.count(target)).first()
         if low == 0 and high + 1 <= max(2, 1.1 * n):
             return known
     labels = class_labels(df, target)

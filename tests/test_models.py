@@ -4,6 +4,7 @@ import pytest
 
 from pipelab.operators import models as mo
 from pipelab.plans import evaluate as ev
+from pipelab.plans import queries
 from pipelab.plans.specs import PipelineSpec, mutate, prepare
 
 
@@ -114,3 +115,47 @@ def test_search_keeps_its_best(rows):
     assert len(log) == 3 and result.best.score == max(r["score"] for r in log)
     assert result.archive.count() <= 2
     assert ev.best_of(result).first()["score"] == result.best.score
+
+
+def test_only_models_that_sample_get_placed_rows(rows, monkeypatch):
+    plans = {}
+    fitted = mo._fit_vectors
+    monkeypatch.setattr(mo, "_fit_vectors", lambda frame, features, kind, params, seed: (
+        plans.update({kind: frame._jdf.queryExecution().executedPlan().toString()}), fitted(frame, features, kind, params, seed))[1])
+    for kind, params in (("logistic", {"max_iter": 2}), ("linear", {}), ("gbt", {"n_estimators": 1}), ("random_forest", {"n_estimators": 1})):
+        mo.fit(rows.filter("x IS NOT NULL AND y IS NOT NULL"), ["x"], "y", kind, params, id_cols=["id"])
+    assert {k: ("Exchange" in p, "Sort" in p) for k, p in plans.items()} == {
+        "logistic": (False, False), "linear": (False, False), "gbt": (True, True), "random_forest": (True, True)}
+
+
+def counted_ids(spark, n, parts=4):
+    """Rows whose id is made by Python, and an accumulator of how many were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def number(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.range(0, n, 1, parts).mapInArrow(number, "id long"), made
+
+
+def test_large_query_keeps_its_split_until_it_is_measured(spark, monkeypatch):
+    """The rows are made for the classes, for two looks at the cut points and to be kept; and for nothing after."""
+    df, made = counted_ids(spark, 500)
+    raw = df.selectExpr(
+        "cast(id AS string) AS row_id", "cast(id % 7 < 3 AS int) AS y_true", "0.5D AS score", "1 AS y_pred", "5.0D AS constant_feature",
+        "cast(id % 7 AS double) AS quantity", "if(id % 5 = 0, NULL, cast(id % 3 AS string)) AS line_level")
+    monkeypatch.setattr(queries.views, "clf_big", lambda spark, sf_dir: raw)
+    got = queries.QUERIES["m6_evaluate_large"](spark, "").collect()
+    assert {r["metric"] for r in got} == {"accuracy", "precision", "recall", "f1", "f1_weighted", "roc_auc"}
+    assert all(r["agrees"] and r["n_valid"] == 100 for r in got) and made.value == 4 * 500
+    assert {r["metric"] for r in queries.large_report(spark, "").collect()} == {"accuracy", "precision", "recall", "f1", "roc_auc"}
+
+
+def test_gaps_in_class_numbers_are_told_exactly(spark):
+    """4,501 classes below 4,951 leave at most a tenth of the numbers unused; one fewer does not."""
+    rows = spark.range(4951).selectExpr("id", "cast(id AS int) AS y")
+    kept = rows.filter("id < 4500 OR id = 4950")
+    assert ev.class_count(ev.with_class_numbers(kept, "y"), "y") == 4951
+    assert ev.class_count(ev.with_class_numbers(kept.filter("id <> 7"), "y"), "y") == 4500
