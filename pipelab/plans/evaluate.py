@@ -136,11 +136,20 @@ def fold_rows(df: DataFrame, target: str, id_cols: list[str], k: int = 5, seed:
 
 
 def _folds(df: DataFrame, target: str, id_cols: list[str], k: int, seed: int, task_type: str) -> DataFrame:
-    """Stratified folds for classes, contiguous ones in id order for a number."""
-    if task_type == "regression":
-        known = df.filter(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
-        return kfold(known, id_cols, k).persist()
-    return fold_rows(df, target, id_cols, k, seed)
+    """Stratified folds for classes, contiguous ones in id order for a number.
+
+    Borders of contiguous folds are looked up in several passes, so the rows are kept before that,
+    until they are kept with their folds.
+    """
+    if task_type != "regression":
+        return fold_rows(df, target, id_cols, k, seed)
+    known = df.filter(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double")).persist()
+    try:
+        folded = kfold(known, id_cols, k).persist()
+        folded.count()
+    finally:
+        known.unpersist()
+    return folded
 
 
 def _classes(folded: DataFrame, target: str, task_type: str) -> int:

@@ -140,6 +140,14 @@ def counted_ids(spark, n, parts=4):
     return spark.range(0, n, 1, parts).mapInArrow(number, "id long"), made
 
 
+def test_contiguous_folds_make_their_rows_once(spark):
+    df, made = counted_ids(spark, 400)
+    rows = df.selectExpr("id", "cast(3 * id + 1 AS double) AS y", "cast(id AS double) AS x")
+    got = ev.cross_validate(rows, PipelineSpec("line", "linear", scale=False), "y", ["id"], 3, metrics=["mae", "r2"], task_type="regression")
+    means = {r["metric"]: r["mean"] for r in got.collect()}
+    assert means == pytest.approx({"mae": 0.0, "r2": 1.0}, abs=1e-6) and made.value == 400
+
+
 def test_large_query_keeps_its_split_until_it_is_measured(spark, monkeypatch):
     """The rows are made for the classes, for two looks at the cut points and to be kept; and for nothing after."""
     df, made = counted_ids(spark, 500)
