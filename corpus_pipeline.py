@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipelab.llm import curriculum, decontaminate, jaccard_join, quality_rules, token_store
+from pipelab.llm.components import cut_and_clear
 from pipelab.llm.queries import END_ID, table, tokenizer_path, vocabulary_size
 from pipelab.session import scratch_path
 
@@ -31,11 +32,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay. Rows that repeat id and text count once.
     """
     text = F.xxhash64("text")
-    found = jaccard_join.jaccard_components(docs, n=WORDS, share=SHARE, tag=text)
+    found = cut_and_clear(jaccard_join.jaccard_components(docs, n=WORDS, share=SHARE, tag=text))  # read twice
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("tag"))).alias("first")
     grouped = found.filter("component is not null").groupBy("component").agg(first).select("first.id", "first.tag")
     single = found.filter("component is null").select(F.col("doc_id").alias("id"), "tag").distinct()
-    kept = grouped.unionByName(single)
+    kept = cut_and_clear(grouped.unionByName(single))  # and this by the look for repeated rows and the result
     stay = docs.withColumn("__text", text)
     stay = stay.join(kept, stay["doc_id"].eqNullSafe(kept["id"]) & (stay["__text"] == kept["tag"]), "left_semi")
     if not stay.groupBy("doc_id", "__text").count().filter("count > 1").isEmpty():

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pipelab.session import cut_lineage
 
 
-#: Edges up to which the smallest neighbour of every node is sent along instead of shuffled; steps make no more edges.
-BROADCAST_EDGES = 300_000
+#: Edges up to which a round is one task without shuffles; steps make no more edges. More are dealt out to all tasks.
+SHORT_EDGES = 200_000
 #: Edges in one part of a list. A short list in many parts would make many nearly empty shuffle files in every step.
 EDGES_A_PART = 500_000
 #: With it, the shuffle files of an action go when that action ends.
@@ -30,17 +30,25 @@ def cut_and_clear(df: DataFrame) -> DataFrame:
         conf.set(_CLEAN, before)
 
 
-def _star(edges: DataFrame, larger: bool, small: bool) -> DataFrame:
-    """One star step: neighbours on one side of a node are tied to the smallest node around it."""
+def _star(edges: DataFrame, larger: bool, short: bool) -> DataFrame:
+    """One star step: neighbours on one side of a node are tied to the smallest node around it.
+
+    A ``short`` list is one part, which Spark groups without a shuffle, so that the step stays in its task.
+    """
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = edges.unionByName(turned) if larger else turned  # in turned, b < a
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    tied = around.join(F.broadcast(least) if small else least, "a")
+    if short:
+        tied = around.coalesce(1).withColumn("low", F.least(F.min("b").over(Window.partitionBy("a")), F.col("a")))
+        least = tied.select("a", "low").distinct()
+    else:
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        tied = around.join(least, "a")
     if larger:
         new = tied.filter("b > a").select(F.col("low").alias("a"), "b")
     else:
         new = tied.select(F.col("low").alias("a"), "b").unionByName(least.select(F.col("low").alias("a"), F.col("a").alias("b")))
-    return new.filter("a < b")
+    new = new.filter("a < b")
+    return new.coalesce(1) if short else new
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,10 +59,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = cut_and_clear(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     count = now.count()
-    mark, small, parts = None, count <= BROADCAST_EDGES, 1 + count // EDGES_A_PART
+    mark, short, parts = None, count <= SHORT_EDGES, 1 + count // EDGES_A_PART
     now = now.coalesce(parts)
     while True:
-        now = cut_and_clear(_star(_star(now, True, small), False, small).distinct().coalesce(parts))
+        now = cut_and_clear(_star(_star(now, True, short), False, short).distinct().coalesce(parts))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -59,6 +59,8 @@ HOT_IN_CHUNK = 64
 CHUNK_ROWS = 2048
 #: Nodes whose texts are fetched with a broadcast at most; above it the join shuffles. Keys a row holds count as rows.
 BROADCAST_ROWS = 500_000
+#: Nodes in one part of their list. A short list in many parts would make many nearly empty tasks in every step that reads it.
+NODES_A_PART = 50_000
 #: N-grams sent along with pairs in one round of verification, as a share of those of all sets.
 ROUND = 0.5
 #: Buckets of the parity bits, 64 to a column.
@@ -367,6 +369,9 @@ def jaccard_components(
     nodes = _cut(members.groupBy("node").agg(
         F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sparse").alias("sparse"), *[F.max(w).alias(w) for w in _WORDS]
     ))
+    held, count = nodes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    grams_held = max(1, held or 0)
+    nodes = nodes.coalesce(1 + count // NODES_A_PART)
     group = Window.partitionBy("key", "salt")
     shared = _cut(
         rows.select("text").mapInArrow(_index(n, share), "key long, salt int, node long")
@@ -380,16 +385,15 @@ def jaccard_components(
     fetched = rows.join(_bounded(wanted), rows["id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
     sets = _cut(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
 
-    grams_held = max(1, nodes.agg(F.sum("n")).first()[0] or 0)
-
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs that link. Verified in rounds, so that the sets on their way stay a share of all, however many pairs there are."""
         pairs = _cut(pairs.distinct())
         count, sent = pairs.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.count(F.lit(1)), F.sum("n")).first()
-        pairs = pairs.coalesce(1 + count // EDGES_A_PART)
+        parts = 1 + count // EDGES_A_PART
+        pairs = pairs.coalesce(parts)
         rounds = 1 + int((sent or 0) / (ROUND * grams_held))
-        parts = [verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)) for k in range(rounds)]
-        return reduce(DataFrame.unionByName, parts)
+        found = [verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)) for k in range(rounds)]
+        return reduce(DataFrame.unionByName, found).coalesce(parts)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -25,6 +25,8 @@ from pipelab.session import cut_lineage
 
 #: Labelled rows used for fitting, those with the lowest hash of the id.
 FIT_ROWS = 20_000
+#: Of them, rows in one part. Every step of the fit is a task for each part, and the driver keeps note of every task.
+FIT_PART_ROWS = 5_000
 TREES = 16
 DEPTH = 3
 PENALTY = 0.0005
@@ -109,6 +111,7 @@ def fit_rules(
     classes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(classes) < 2:
         return RuleModel((), (), 0.0 if not classes else (30.0 if 1.0 in classes else -30.0))
+    train = train.coalesce(1 + sum(classes.values()) // FIT_PART_ROWS)
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", subsamplingRate=0.7
     ).fit(train.select("label", array_to_vector("stats").alias("x")))

@@ -8,6 +8,7 @@ from test_jaccard_join import brute as brute_components
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
+from pipelab.llm.components import connected_components
 from pipelab.llm.queries import END_ID, tokenizer_path
 
 
@@ -80,3 +81,57 @@ def test_near_duplicates_decide_rows_of_null_and_repeated_ids(spark):
     got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
     want = [rows[0], rows[2], rows[5], rows[6], rows[7], rows[8]]
     assert got == sorted(want, key=str)
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Shuffles in 40 parts that stay as they are."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def tasks_of(spark, run):
+    """Tasks that the driver kept note of while ``run`` went."""
+    context, group = spark.sparkContext, f"tasks-{id(run)}"
+    context.setJobGroup(group, "counted")
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    status = context.statusTracker()
+    stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+    return sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+
+
+def test_the_fit_makes_few_tasks_however_many_parts_shuffles_have(spark, many_parts):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert tasks_of(spark, lambda: corpus_pipeline.quality(spark, docs, sf)) < 500
+
+
+def test_components_of_a_short_list_make_few_tasks(spark, many_parts):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(100)], "a long, b long")
+    got = {}
+    n = tasks_of(spark, lambda: got.update((r["node"], r["component"]) for r in connected_components(edges).collect()))
+    assert n < 200 and got == dict.fromkeys(range(101), 0)
+
+
+def test_near_duplicates_make_few_tasks(spark, many_parts):
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(words[: 60 - k % 3] + [f"x{k // 9}"] * (k % 2))) for k in range(90)] + [(100 + k, f"else{k} " * 9) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = tasks_of(spark, lambda: corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert n < 2_750
+
+
+def test_components_of_short_and_long_lists_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))], "a long, b long")
+    short = sorted(map(tuple, connected_components(edges).collect()))
+    monkeypatch.setattr("pipelab.llm.components.SHORT_EDGES", 0)
+    assert sorted(map(tuple, connected_components(edges).collect())) == short
