@@ -8,6 +8,7 @@ from test_jaccard_join import brute as brute_components
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
+from pipelab.llm import quality_rules
 from pipelab.llm.components import connected_components
 from pipelab.llm.queries import END_ID, tokenizer_path
 
@@ -109,9 +110,13 @@ def tasks_of(spark, run):
 
 
 def test_the_fit_makes_few_tasks_however_many_parts_shuffles_have(spark, many_parts):
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert tasks_of(spark, lambda: corpus_pipeline.quality(spark, docs, sf)) < 500
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9 if k % 2 else 400, 20 + int(rng.integers(0, 40)))) for k in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0 or k % 17 == 0)) for k in range(400)], "doc_id long, quality int")
+    models = []
+    n = tasks_of(spark, lambda: models.append(quality_rules.fit_rules(docs, labels)))
+    assert n < 500 and models[0].rules
 
 
 def test_components_of_a_short_list_make_few_tasks(spark, many_parts):
