@@ -63,6 +63,8 @@ BROADCAST_ROWS = 500_000
 NODES_A_PART = 50_000
 #: N-grams sent along with pairs in one round of verification, as a share of those of all sets.
 ROUND = 0.5
+#: Rounds of verification after which garbage is collected, as after the last.
+COLLECT_ROUNDS = 4
 #: Buckets of the parity bits, 64 to a column.
 PARITY = 512
 _WORDS = [f"p{k}" for k in range(PARITY // 64)]
@@ -245,16 +247,14 @@ def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS, held: Column | None = No
     return F.broadcast(df) if (total or 0) <= rows else df
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint, after which its shuffle files go, and later the checkpoints and broadcasts that nothing refers to.
+def _collect_garbage(df: DataFrame) -> None:
+    """Let Spark's cleaner drop the checkpoints and broadcasts that nothing refers to.
 
-    The driver's collector tells Spark's cleaner of the latter; by itself it runs too seldom
-    (``spark.cleaner.periodicGC.interval`` is half an hour), and many large ones would pile up.
+    The driver's collector tells the cleaner of them; by itself it runs too seldom
+    (``spark.cleaner.periodicGC.interval`` is half an hour), and many large ones would pile up. A full collection
+    stops the driver, and several close together make its heap grow, so there is none after each result.
     """
-    out = cut_and_clear(df)
-    del df
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _likely(x: str, y: str, share: int) -> Column:
@@ -329,7 +329,7 @@ def _by_rarest(sets: DataFrame, facts: DataFrame, share: int) -> DataFrame:
     grams = own.select("node", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").count()
     rank = F.row_number().over(Window.partitionBy("node").orderBy("count", "gram"))
-    placed = _cut(grams.join(often, "gram").withColumn("place", rank)).join(facts, "node")
+    placed = cut_and_clear(grams.join(often, "gram").withColumn("place", rank)).join(facts, "node")
     n = F.col("n")
     columns = ("node", "n", "place", "component", "most", *_WORDS)
     ceil = lambda x, y: F.expr(f"-(-({x}) div ({y}))")
@@ -365,15 +365,15 @@ def jaccard_components(
     bound_batches(docs.sparkSession)
     mark = F.lit(None) if tag is None else tag
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.cast("long").alias("tag"))
-    members = _cut(rows.mapInArrow(_members(n, share), "doc_id long, tag long, n long, node long, sparse boolean, " + ", ".join(f"{w} long" for w in _WORDS)))
-    nodes = _cut(members.groupBy("node").agg(
+    members = cut_and_clear(rows.mapInArrow(_members(n, share), "doc_id long, tag long, n long, node long, sparse boolean, " + ", ".join(f"{w} long" for w in _WORDS)))
+    nodes = cut_and_clear(members.groupBy("node").agg(
         F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("sparse").alias("sparse"), *[F.max(w).alias(w) for w in _WORDS]
     ))
     held, count = nodes.agg(F.sum("n"), F.count(F.lit(1))).first()
     grams_held = max(1, held or 0)
     nodes = nodes.coalesce(1 + count // NODES_A_PART)
     group = Window.partitionBy("key", "salt")
-    shared = _cut(
+    shared = cut_and_clear(
         rows.select("text").mapInArrow(_index(n, share), "key long, salt int, node long")
         .withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
         .filter("lead < last")
@@ -381,18 +381,22 @@ def jaccard_components(
         .select("key", "node", "lead")
     )
     wanted = shared.select("node").distinct().unionByName(nodes.filter("sparse").select("node")).distinct()
-    wanted = _cut(wanted.join(nodes.select("node", "first_doc"), "node"))
+    wanted = cut_and_clear(wanted.join(nodes.select("node", "first_doc"), "node"))
     fetched = rows.join(_bounded(wanted), rows["id"].eqNullSafe(wanted["first_doc"])).select("node", "text")
-    sets = _cut(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
+    sets = cut_and_clear(fetched.mapInArrow(_gram_rows(n), "node long, grams array<bigint>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Pairs that link. Verified in rounds, so that the sets on their way stay a share of all, however many pairs there are."""
-        pairs = _cut(pairs.distinct())
+        pairs = cut_and_clear(pairs.distinct())
         count, sent = pairs.join(nodes.select(F.col("node").alias("a"), "n"), "a").agg(F.count(F.lit(1)), F.sum("n")).first()
         parts = 1 + count // EDGES_A_PART
         pairs = pairs.coalesce(parts)
         rounds = 1 + int((sent or 0) / (ROUND * grams_held))
-        found = [verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)) for k in range(rounds)]
+        found = []
+        for k in range(rounds):
+            found.append(verified(pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k)))
+            if k + 1 == rounds or k % COLLECT_ROUNDS == COLLECT_ROUNDS - 1:
+                _collect_garbage(pairs)
         return reduce(DataFrame.unionByName, found).coalesce(parts)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -401,7 +405,7 @@ def jaccard_components(
         both = pairs.join(own.withColumnsRenamed({"node": "a", "grams": "g1"}), "a").join(own.withColumnsRenamed({"node": "b", "grams": "g2"}), "b")
         shared_grams = F.size(F.array_intersect("g1", "g2"))
         union = F.size("g1") + F.size("g2") - shared_grams
-        return _cut(both.filter(shared_grams.cast("long") * 100 >= union.cast("long") * share).select("a", "b"))
+        return cut_and_clear(both.filter(shared_grams.cast("long") * 100 >= union.cast("long") * share).select("a", "b"))
 
     def tie(components: DataFrame, to: DataFrame, end: str = "node", out: str = "component") -> DataFrame:
         names = components.select(F.col("node").alias(end), F.col("component").alias(out))
@@ -414,16 +418,16 @@ def jaccard_components(
     facts = nodes.select("node", "n", *_WORDS)
     arms = shared.filter("node > lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     arms = arms.join(_named(facts.withColumnRenamed("node", "a"), "x_", "a"), "a").join(_named(facts.withColumnRenamed("node", "b"), "y_", "b"), "b")
-    arms = _cut(arms.filter(_likely("x_", "y_", share)).select("a", "b", "keys"))
+    arms = cut_and_clear(arms.filter(_likely("x_", "y_", share)).select("a", "b", "keys"))
     nearest = arms.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
     components = connected_components(linked(nearest.select("a", "b")))
     others = tie(components, tie(components, arms.select("a", "b"), "a", "x"), "b", "y").filter("x <> y")
     more = linked(others.select("a", "b"))
     if not more.isEmpty():
         components = joined(components, more)
-    tied = _cut(tie(components, shared.select("key", "node")).distinct())
+    tied = cut_and_clear(tie(components, shared.select("key", "node")).distinct())
     sizes = tied.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    spread = _cut(
+    spread = cut_and_clear(
         sizes.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum("c").alias("sets"), F.sum(F.col("c") * F.col("c")).alias("own"))
         .filter("count > 1").withColumn("dear", (F.col("count") > DEAR) | ((F.col("sets") - F.col("own") / F.col("sets")) > PARTNERS))
         .select("key", "dear")
@@ -431,21 +435,21 @@ def jaccard_components(
     dear = spread.filter("dear")
     left_out = tied.join(dear.select("key"), "key", "left_semi").groupBy("node").agg(F.collect_set("key").alias("dear"))
     thin = nodes.filter("sparse").select("node", F.lit(None).cast("array<bigint>").alias("dear"))
-    left_out = _cut(left_out.unionByName(thin.join(left_out.select("node"), "node", "left_anti")))
-    around = _cut(
+    left_out = cut_and_clear(left_out.unionByName(thin.join(left_out.select("node"), "node", "left_anti")))
+    around = cut_and_clear(
         sets.join(_bounded(left_out, held=F.coalesce(F.size("dear"), F.lit(0))), "node").select("node", "grams", "dear")
         .mapInArrow(_neighbourhoods(share), "node long, kind string, key long")
     )
     leaving = around.groupBy("node").agg(F.max(F.col("kind") == "K").alias("most"))
-    leaving = _cut(tie(components, leaving).join(facts, "node"))
+    leaving = cut_and_clear(tie(components, leaving).join(facts, "node"))
     light = spread.filter(~F.col("dear"))
     few = tied.join(light.select("key"), "key", "left_semi").join(facts, "node")
     told = around.filter("kind <> 'K'").select("key", "node", "kind").distinct().join(leaving.drop("most"), "node")
     # One kind of candidates after the other, so that the shuffles of each go before the next.
     rest = [
-        _cut(_across(few, few, share).distinct()),
-        _cut(_across(told.filter("kind = 'E'").drop("kind"), told.filter("kind = 'D'").drop("kind"), share).distinct()),
-        _cut(_by_rarest(sets, leaving, share)),
+        cut_and_clear(_across(few, few, share).distinct()),
+        cut_and_clear(_across(told.filter("kind = 'E'").drop("kind"), told.filter("kind = 'D'").drop("kind"), share).distinct()),
+        cut_and_clear(_by_rarest(sets, leaving, share)),
     ]
     late = linked(reduce(DataFrame.unionByName, rest))
     if not late.isEmpty():

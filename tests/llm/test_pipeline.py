@@ -134,6 +134,18 @@ def test_near_duplicates_make_few_tasks(spark, many_parts):
     assert n < 2_750
 
 
+def test_near_duplicates_ask_for_few_full_collections(spark):
+    """Each asked for stops the driver, and close together they make its heap grow."""
+    words = [f"word{k}" for k in range(60)]
+    rows = [(k, " ".join(words[: 60 - k % 3] + [f"x{k // 9}"] * (k % 2))) for k in range(90)] + [(100 + k, f"else{k} " * 9) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    before = sum(b.getCollectionCount() for b in full)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").count()
+    assert full and sum(b.getCollectionCount() for b in full) - before <= 4 and 50 < kept < 140
+
+
 def test_components_of_short_and_long_lists_agree(spark, monkeypatch):
     rng = np.random.default_rng(5)
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))], "a long, b long")
